@@ -178,7 +178,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
     Each round packs groups of about ``group_rows`` rows in parallel and passes on only the bins that stay underfull.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    schema = pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}).schema
     columns = pieces.columns
     left = common.settle(pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
     rows, base, done, last = left.count(), 0, [], False
