@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -54,32 +55,30 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids): each document's token ids and ``end_id``, cut if longer than ``capacity``.
+def cut(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids): each document's token ids and ``end_id``, cut if longer than ``capacity``.
 
-    ``ids`` are little-endian unsigned 32-bit numbers. All pieces but the first hold ``capacity`` ids. A null or
-    empty text has the one id ``end_id``. Repeated rows and null ids are documents like any other. No shuffle.
+    ``ids`` are little-endian unsigned 32-bit numbers, and left out unless ``with_ids``. All pieces but the first
+    hold ``capacity`` ids. A null or empty text has the one id ``end_id``. Repeated rows and null ids are documents
+    like any other. No shuffle.
     """
     path = path or vocabulary_path()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode, end = encoder(path).encode_to_numpy, np.array([end_id], "<u4")
         for batch in common.slices(batches, "text"):
-            docs_, pieces, starts, lengths, data = [], [], [], [], []
+            rows = []
             for key, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(t or "", allowed_special="all"), end_id], "<u4")
-                at, piece = 0, 0
-                while at < len(ids):
-                    n = (len(ids) - at - 1) % capacity + 1 if not piece else capacity
-                    docs_.append(key)
-                    pieces.append(piece)
-                    starts.append(at)
-                    lengths.append(n)
-                    data.append(ids[at : at + n].tobytes())
-                    at, piece = at + n, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
+                ids = np.concatenate([encode(t, allowed_special="all"), end], dtype="<u4") if t else end
+                starts = [0, *range((len(ids) - 1) % capacity + 1, len(ids), capacity)]
+                for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+                    held = ids[a:b].tobytes()
+                    rows.append((key, piece, a, b - a, zlib.crc32(held), held))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names)
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -202,8 +201,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Each document's pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``ids_crc32`` is of the ids as in ``cut``, which are left behind before the shuffle: at 100 TB the plan moves a
-    few numbers a piece. To write sequences, join ``cut`` to this on (doc_id, piece) by ``sequence_id``.
+    The ids stay behind: at 100 TB the plan moves a few numbers a piece. To write sequences, join ``cut`` to this on
+    (doc_id, piece), deal by ``sequence_id`` and sort by ``offset``.
     """
-    digest = F.crc32("ids").alias("ids_crc32")
-    return pack(cut(docs, id, text, capacity, end_id, path).select("doc_id", "piece", "start", "length", digest), capacity=capacity)
+    return pack(cut(docs, id, text, capacity, end_id, path, with_ids=False), capacity=capacity)
