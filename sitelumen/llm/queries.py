@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, packing, simhash
+from . import chat, fingerprints, packing, simhash, toxicity
 from .common import table
 
 
@@ -32,11 +32,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
