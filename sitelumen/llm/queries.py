@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, packing, simhash, toxicity
+from . import chat, fingerprints, packing, sharding, simhash, toxicity
 from .common import table
 
 
@@ -36,12 +36,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
