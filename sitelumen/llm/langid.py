@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in common.slices(batches, text):
             each = [words_of(t) if t else [] for t in batch.column(text).to_pylist()]
             each = [w if any(c.isalpha() for x in w for c in x) else [] for w in each]
-            fresh = list({w for ws in each for w in ws} - place.keys())
+            fresh = list({w for ws in each for w in ws}.difference(place))
             if len(place) + len(fresh) > KEPT_WORDS:
                 place, table = {}, table[:0]
                 fresh = list({w for ws in each for w in ws})

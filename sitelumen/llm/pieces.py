@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,14 @@ from . import common
 
 MARK = "▁"
 #: Segments and pairs of pieces that a task remembers; cells between two looks for a common boundary.
-KEPT_SEGMENTS, KEPT_PAIRS, LOOK = 300_000, 1_000_000, 64
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+KEPT_SEGMENTS, KEPT_PAIRS, LOOK = 400_000, 1_000_000, 64
+#: Segments end where no piece goes on: before a space that follows something else and, if no piece holds what FINE_CUT
+#: finds, at line feeds and behind runs of letters. (Superscript digits count as no letters.)
+_LETTER = r"[^\W\d_²³¹]"
+_OTHER = rf"(?:(?![{MARK}\n])[\W\d_²³¹])"
+COARSE = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+FINE = rf"\n|{MARK}+{_OTHER}*{_LETTER}*|{_OTHER}+{_LETTER}*|{_LETTER}+"
+FINE_CUT = re.compile(rf"\n|{_LETTER}(?=[\W\d_²³¹])")
 
 
 def vocabulary_path() -> str:
@@ -63,12 +70,19 @@ class Codec:
         for p, i in self.id.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.length = {i: len(p) for p, i in self.id.items()}
-        self.segments: dict[str, tuple[int, ...]] = {}
+        self.length = [len(self.text.get(i, "")) for i in range(size)]
+        #: Merges by score, best first, and equal scores alike; characters come before all.
+        order = sorted({-self.score[p] for p in self.id if len(p) > 1})
+        place = {v: k for k, v in enumerate(order)}
+        self.rank = {i: place[-self.score[p]] if len(p) > 1 else -1 for p, i in self.id.items()}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.segment = re.compile(FINE if not any(FINE_CUT.search(p) for p in self.id) else COARSE)
+        self.segments: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text, by merging: highest score first, leftmost of equal ones."""
+    def merged(self, text: str, stop: int = 0) -> list[str]:
+        """The pieces of a short text, by merging: highest score first, leftmost of equal ones. ``stop`` -1: the two
+        symbols before the last merge."""
         parts = list(text)
         while True:
             best, at = None, 0
@@ -76,21 +90,50 @@ class Codec:
                 s = self.score.get(parts[k] + parts[k + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, k
-            if best is None:
+            if best is None or (stop and len(parts) == 2):
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def parts(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces that were merged last into ``piece``; none of a character. A piece that merging its
+        characters doesn't give has itself twice."""
+        if piece not in self.halves:
+            text, found = self.text[piece], None
+            if len(text) > 1:
+                found = (piece, piece)
+                if self.merged(text) == [text]:
+                    steps = self.merged(text, -1)
+                    found = (self.id[steps[0]], self.id[steps[1]])
+            self.halves[piece] = found
+        return self.halves[piece]
+
     def allowed(self, before: int, piece: int) -> bool:
-        """May ``piece`` follow ``before`` on a path? -1: may it begin one?"""
+        """May ``piece`` follow ``before`` on a path? -1: may it begin one?
+
+        Both are undone merge by merge, the latest first. At each step, the two symbols at the border must not have
+        been merged before what was undone: that is, by a better score, or by an equal one further left.
+        """
         key = (before + 1) * len(self.data) + piece
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            parts = [self.text[piece]] if before < 0 else [self.text[before], self.text[piece]]
-            known = self.pairs[key] = self.merged("".join(parts)) == parts
+            known = self.pairs[key] = self.parts(piece) != (piece, piece) and (before < 0 or self._parted(before, piece))
         return known
 
+    def _parted(self, before: int, piece: int) -> bool:
+        left, right, limit = before, piece, len(self.data)
+        while True:
+            joint = self.id.get(self.text[left] + self.text[right])
+            if joint is not None and self.rank[joint] < limit:
+                return False
+            if self.rank[left] > self.rank[right]:
+                left, limit = self.parts(left)[1], self.rank[left]
+            elif halves := self.parts(right):
+                right, limit = halves[0], self.rank[right] + 1
+            else:
+                return True
+
     def viterbi(self, text: str) -> Iterator[int]:
         """The ids of ``text``, which begins a path, each as soon as it is sure."""
         last = {0: -1}  # by cell: the piece that ends there on a surviving path; -1 where a path begins
@@ -131,25 +174,48 @@ class Codec:
                     last = {c: p for c, p in last.items() if c >= base}
         yield from path(upto)
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text; none of an empty one."""
+    def short(self, text: str) -> list[int] | None:
+        """``viterbi`` of a text of one look; None if it has a character that no piece has."""
+        last: list[int | None] = [None] * (len(text) + 1)
+        last[0] = -1
+        length, known, size = self.length, self.pairs.get, len(self.data)
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            if last[end] is None:
+                before = last[end - length[piece]]
+                if before is not None:
+                    sure = known((before + 1) * size + piece)
+                    if sure or (sure is None and self.allowed(before, piece)):
+                        last[end] = piece
+        out, cell = [], len(text)
+        while cell:
+            piece = last[cell]
+            if piece is None:
+                return None
+            out.append(piece)
+            cell -= length[piece]
+        return out[::-1]
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers; none of an empty one."""
         if not text:
-            return []
-        out: list[int] = []
-        known, mark = self.segments, [self.byte[b] for b in MARK.encode()]
+            return b""
+        out, known = [], self.segments
         for k, part in enumerate(text.split(MARK)):
-            if k:
-                out += mark
-            for segment in SEGMENT.findall((MARK if not k else "") + part.replace(" ", MARK)):
-                ids = known.get(segment)
-                if ids is None:
-                    ids = tuple(self.viterbi(segment))
-                    if len(segment) <= LOOK:
-                        if len(known) >= KEPT_SEGMENTS:
-                            known.clear()
-                        known[segment] = ids
-                out += ids
-        return out
+            segments = self.segment.findall((MARK if not k else "") + part.replace(" ", MARK))
+            if fresh := set(segments).difference(known):
+                if len(known) + len(fresh) > KEPT_SEGMENTS:
+                    known.clear()
+                    fresh = set(segments)
+                for segment in fresh:
+                    ids = self.short(segment) if len(segment) <= LOOK else None
+                    ids = list(self.viterbi(segment)) if ids is None else ids
+                    known[segment] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append(b"".join(map(known.__getitem__, segments)))
+        return np.array([self.byte[b] for b in MARK.encode()], "<u4").tobytes().join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that ``encode`` gave."""
@@ -197,9 +263,9 @@ def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: st
         for batch in common.slices(batches, "text"):
             rows = []
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = own.encode(t or "")
-                back = own.decode(ids)
-                rows.append((key, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
+                ids = own.packed(t or "")
+                back = own.decode(np.frombuffer(ids, "<u4").tolist())
+                rows.append((key, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, langid, packing, quality, secrets, sharding, simhash, toxicity
+from . import chat, fingerprints, langid, packing, pieces, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_langid": op7_langid,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_pieces": op10_pieces,
 }
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
