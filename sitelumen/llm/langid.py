@@ -9,6 +9,7 @@ Passes run over many different words at once, position by position; a batch's wo
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Characters of a word that are read together; a longer run of letters is several words.
 WORD_CHARS = 64
+WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
 #: Different words that a pass takes at once, and that a task remembers.
 PASS_WORDS, KEPT_WORDS = 50_000, 400_000
 EM_ROUNDS = 1
@@ -66,10 +67,7 @@ def pieces(path: str) -> Pieces:
 
 def words_of(text: str) -> list[str]:
     """A text's words, lower-case; long runs of letters are cut."""
-    found = WORD.findall(text.lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        return [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    return WORD.findall(text.lower())
 
 
 @dataclass
@@ -82,8 +80,9 @@ class Lattice:
     first: np.ndarray
     last: np.ndarray
 
-    @property
+    @functools.cached_property
     def word(self) -> np.ndarray:
+        """The word of each arc."""
         return np.searchsorted(self.first, self.start, "right") - 1
 
 
@@ -91,9 +90,8 @@ def lattice(words: list[str], known: Pieces) -> Lattice:
     joined = "\n".join([MARK + w for w in words]) + "\n"
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     first = np.cumsum(sizes + 1) - sizes - 1
-    hits = list(known.automaton.iter(joined))
-    end = np.fromiter((e for e, _ in hits), np.int64, len(hits)) + 1
-    piece = np.fromiter((p for _, p in hits), np.int64, len(hits))
+    hits = np.fromiter(itertools.chain.from_iterable(known.automaton.iter(joined)), np.int64).reshape(-1, 2)
+    end, piece = hits[:, 0] + 1, hits[:, 1]
     covered = np.zeros(len(joined) + 1, bool)
     covered[end[known.length[piece] == 1]] = True
     covered[first] = True  # the cell before a word is no letter's end
@@ -151,8 +149,12 @@ class Model:
 
 
 def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
-    """How often each piece is expected in each language, given how often each language has each word."""
-    out = np.zeros_like(model.probability)
+    """How often each piece is expected in each language, given how often each language has each word.
+
+    A model of one column is the same for all languages.
+    """
+    langs = len(next(iter(counts.values()))) if counts else 0
+    out = np.zeros((len(model.probability), langs))
     names = list(counts)
     for i in range(0, len(names), PASS_WORDS):
         some = names[i : i + PASS_WORDS]
@@ -160,9 +162,10 @@ def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
         lat = lattice(some, pieces(model.path))
         ahead, behind = forward(lat, model.scaled), backward(lat, model.scaled)
         share = ahead[lat.start] * model.scaled[lat.piece] * behind[lat.end] / ahead[lat.last][lat.word]
-        share = share * weight[lat.word]
-        for k in range(out.shape[1]):
-            out[:, k] += np.bincount(lat.piece, share[:, k], len(out))
+        for k in range(langs):
+            own = weight[lat.word, k]
+            some_ = np.flatnonzero(own)
+            out[:, k] += np.bincount(lat.piece[some_], share[some_, k % share.shape[1]] * own[some_], len(out))
     return out
 
 
@@ -179,13 +182,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
     size = len(pieces(path).length)
-    model = Model(langs, np.full((size, len(langs)), 1 / size), path)
+    model = Model(langs, np.full((size, 1), 1 / size), path)
     model.probability[-1] = UNKNOWN
     for _ in range(rounds if langs else 0):
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             place = {v: k for k, v in enumerate(model.langs)}
-            total = np.zeros_like(model.probability)
+            total = np.zeros((len(model.probability), len(place)))
             seen: dict[str, Counter] = {v: Counter() for v in model.langs}
 
             def add() -> None:
@@ -197,7 +200,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
                             counts[w] = np.zeros(len(place))
                         counts[w][place[v]] = n
                     own.clear()
-                total = total + expected(counts, model)
+                if counts:
+                    total = total + expected(counts, model)
 
             for batch in common.slices(batches, "text"):
                 for t, v in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):

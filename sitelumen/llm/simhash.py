@@ -10,6 +10,7 @@ the radius. A run yields a spanning forest of its links, not its pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import common, wordhash
 from .components import components
@@ -76,25 +78,27 @@ def with_fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 
 def planes(bits: np.ndarray) -> np.ndarray:
-    """64 rows of words; bit k of word j in row p is bit p of fingerprint 64 j + k."""
-    padded = np.zeros(-(-len(bits) // 64) * 64, np.uint64)
+    """A row for each bit of the fingerprints, which have a column for each 64: bit k of word j in row p is bit p of
+    fingerprint 64 j + k."""
+    padded = np.zeros((-(-len(bits) // 64) * 64, bits.shape[1]), np.uint64)
     padded[: len(bits)] = bits
-    each = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    each = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(each.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(lanes: np.ndarray, words: np.ndarray, queries: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each query, which of the 64 lanes in its word of ``lanes`` differ in ``radius`` bits at most, as a mask.
 
-    ``valid`` masks the lanes that count. Counters are kept as bit slices: slice k holds bit k of 64 distances.
+    ``queries`` has a column for each 64 planes. ``valid`` masks the lanes that count. Counters are kept as bit
+    slices: slice k holds bit k of 64 distances.
     """
     out = np.zeros(len(queries), np.uint64)
     alive = np.arange(len(queries))
     slices = radius.bit_length()
     counts = np.zeros((slices, len(queries)), np.uint64)
     over = ~valid
-    for p in range(64):
-        carry = lanes[p, words[alive]] ^ (np.uint64(0) - ((queries[alive] >> np.uint64(p)) & np.uint64(1)))
+    for p in range(len(lanes)):
+        carry = lanes[p, words[alive]] ^ (np.uint64(0) - ((queries[alive, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)))
         for k in range(slices):
             counts[k], carry = counts[k] ^ carry, counts[k] & carry
         over = over | carry
@@ -134,6 +138,7 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def forest(keys: np.ndarray, bits: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each candidate, the first one that it is linked with, by links between candidates of equal ``keys``, sorted."""
     n = len(bits)
+    bits = bits.reshape(n, -1)
     parent = np.arange(n)
     run_end = np.searchsorted(keys, keys, "right")
     lanes = planes(bits)
@@ -157,8 +162,8 @@ def forest(keys: np.ndarray, bits: np.ndarray, radius: int = RADIUS) -> np.ndarr
     return parent
 
 
-def _runs(candidates: DataFrame, key: list[str], radius: int) -> DataFrame:
-    """Edges (u, v) between nodes of ``candidates`` (key columns, bits, node): a forest of each run's links."""
+def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -> DataFrame:
+    """Edges (u, v) between nodes of ``candidates`` (key and bits columns, node): a forest of each run's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -167,7 +172,7 @@ def _runs(candidates: DataFrame, key: list[str], radius: int) -> DataFrame:
             columns = [rows.column(k).to_numpy() for k in key]
             change = np.ones(rows.num_rows, bool)
             change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            parent = forest(np.cumsum(change), rows.column("bits").to_numpy().view(np.uint64), radius)
+            parent = forest(np.cumsum(change), np.stack([rows.column(b).to_numpy().view(np.uint64) for b in bits], 1), radius)
             node = rows.column("node").to_numpy()
             other = np.flatnonzero(parent != np.arange(len(parent)))
             return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[parent[other]])], ["u", "v"])
@@ -186,7 +191,7 @@ def _runs(candidates: DataFrame, key: list[str], radius: int) -> DataFrame:
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield linked(rows)
 
-    dealt = candidates.repartition(common.wide(candidates.sparkSession), *key).sortWithinPartitions(*key, "bits")
+    dealt = candidates.repartition(common.wide(candidates.sparkSession), *key).sortWithinPartitions(*key, *bits)
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -205,13 +210,13 @@ def near(nodes: DataFrame, radius: int = RADIUS, run_rows: int = RUN_ROWS) -> Da
     keyed = nodes.select("bits", "node", F.explode(F.array(*_pairs("bits", BLOCKS, BLOCK_BITS))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("run")).where("run > 1")
     runs = common.settle(keyed.join(sizes, "key"))
-    short = _runs(runs.where(F.col("run") <= run_rows), ["key"], radius)
+    short = _runs(runs.where(F.col("run") <= run_rows), ["key"], ["bits"], radius)
     long_ = runs.where(F.col("run") > run_rows)
     subkeys = F.lit(None)
     for c, shared in enumerate(itertools.combinations(range(BLOCKS), 2)):
         free = [BLOCK_BITS * b + o for b in range(BLOCKS) if b not in shared for o in range(0, BLOCK_BITS, PART_BITS)]
         subkeys = F.when(F.shiftright("key", 2 * BLOCK_BITS) == c, F.array(*_pairs("bits", 4, PART_BITS, free))).otherwise(subkeys)
-    split = _runs(long_.select("bits", "node", "key", F.explode(subkeys).alias("subkey")), ["key", "subkey"], radius)
+    split = _runs(long_.select("bits", "node", "key", F.explode(subkeys).alias("subkey")), ["key", "subkey"], ["bits"], radius)
     return short.unionByName(split)
 
 
@@ -228,3 +233,101 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     joined = components(near(nodes, radius))
     named = nodes.join(joined, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return found.join(named, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similar texts: longer fingerprints for a similarity, not a few bits.
+
+#: Words of a shingle, and the least similarity (Jaccard) of shingle sets that is looked for.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: 64-bit words of a long fingerprint; of the expected distance at that similarity, the standard errors that are let pass.
+LONG_WORDS, SLACK = 4, 0.5
+#: Candidates share one of BANDS bands of BAND_ROWS minimal hashes: at the least similarity all but 1 in 5,000 pairs do.
+BANDS, BAND_ROWS = 16, 4
+
+
+def similar_radius(similarity: float = SIMILARITY, words: int = LONG_WORDS, slack: float = SLACK) -> int:
+    """Differing bits up to which long fingerprints count as similar.
+
+    Shingle sets of Jaccard similarity s have a cosine of 2 s / (1 + s) or more, and a bit differs with
+    probability arccos(cosine) / pi.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * words
+    return int(n * share + slack * math.sqrt(n * share * (1 - share)))
+
+
+def long_fingerprints(texts: list[str | None], width: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, bands): a row a text, LONG_WORDS and BANDS columns. Texts without words: zeros."""
+    w = wordhash.words(texts, lower=True)
+    hashes, at = wordhash.window_hashes(w, wordhash.word_hashes(w), width)
+    n = len(texts)
+    bits, bands = np.zeros((n, LONG_WORDS), np.uint64), np.zeros((n, BANDS), np.uint64)
+    some = np.flatnonzero(w.counts)
+    if not len(some):
+        return bits, bands
+    edges = np.searchsorted(w.doc[at], some)
+    size = np.diff(np.append(edges, len(hashes)))
+    for k in range(LONG_WORDS):
+        each = np.unpackbits(wordhash.mix(hashes + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(each, edges, axis=0, dtype=np.int64)
+        bits[some, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    factors = wordhash.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    for band in range(BANDS):
+        key = np.full(len(some), band + 1, np.uint64)
+        for factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+            key = wordhash.mix(key + np.minimum.reduceat(hashes * factor, edges))
+        bands[some, band] = key
+    return bits, bands
+
+
+def with_long_fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SIMILAR_WORDS) -> DataFrame:
+    """(doc_id, b0 to b3, bands) of each row. No shuffle."""
+    names = [f"b{k}" for k in range(LONG_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            bits, bands = long_fingerprints(batch.column("text").to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(LONG_WORDS)), pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))], ["doc_id", *names, "bands"])
+
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{b} long" for b in names) + ", bands array<bigint>")
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(doc_id, component_id): the groups of texts that are linked by an estimated ``similarity`` or more.
+
+    Texts are compared bit-sliced, by fingerprints of 64 LONG_WORDS bits, if they share a band. A run of candidates
+    longer than ``run_rows`` is cut into chunks, and every two of its chunks are compared by some task. Equal
+    fingerprints are one node; texts without words are alike. ``component_id`` is the smallest id of a group;
+    null ids are in no group, and get the component of their fingerprint if it has one.
+    """
+    names = [f"b{k}" for k in range(LONG_WORDS)]
+    found = common.settle(with_long_fingerprint(docs, id, text, width))
+    nodes = common.settle(found.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")).where("node IS NOT NULL"))
+    keyed = nodes.select(*names, "node", F.explode("bands").alias("key")).where("key != 0")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("run")).where("run > 1")
+    runs = common.settle(keyed.join(sizes, "key"))
+    radius = similar_radius(similarity)
+    short = _runs(runs.where(F.col("run") <= run_rows).select("key", "node", *names), ["key"], names, radius)
+    chunks = F.ceil(F.col("run") / (run_rows // 2)).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.greatest(k, F.col("own")) * 1_000_000 + F.least(k, F.col("own")))
+    grid = runs.where(F.col("run") > run_rows).withColumn("own", own).select("key", "node", *names, F.explode(others).alias("cell"))
+    links = components(short.unionByName(_runs(grid, ["key", "cell"], names, radius)))
+    named = nodes.join(links, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return found.join(named, names, "left").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS) -> DataFrame:
+    """One row of each group of similar texts, with all its columns: one of the smallest id; rows without an id stay.
+
+    Of rows that repeat an id, the one with the smallest text stays. Only ids are moved, unless ids repeat.
+    """
+    groups = similar_groups(docs, id, text, similarity, width).where("doc_id IS NOT NULL")
+    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("_gone"))
+    rest = docs.join(gone, docs[id].cast("long") == gone["_gone"], "left_anti")
+    repeats = common.settle(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_repeated")))
+    if repeats.isEmpty():
+        return rest
+    first = W.Window.partitionBy(id).orderBy(F.asc_nulls_first(text), *(c for c in sorted(docs.columns) if c not in (id, text)))
+    return rest.withColumn("_row", F.row_number().over(first)).where(F.col("_row").eqNullSafe(1) | F.col(id).isNull()).drop("_row")
