@@ -9,13 +9,11 @@ Passes run over many different words at once, position by position; a batch's wo
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -30,7 +28,7 @@ MARK = "▁"
 WORD_CHARS = 64
 WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
 #: Different words that a pass takes at once, and that a task remembers.
-PASS_WORDS, KEPT_WORDS = 50_000, 400_000
+PASS_WORDS, KEPT_WORDS = 25_000, 600_000
 EM_ROUNDS = 1
 #: Added to each piece's count; the probability of a letter that no piece covers; what a letter is scaled by.
 EXTRA_COUNT, UNKNOWN, SCALE = 0.05, 1e-7, 12.0
@@ -41,12 +39,42 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_STEP = 0x9E3779B97F4A7C15 | 1
+_SLOTS = 21  # the table's size as a power of two
+
+
 @dataclass
 class Pieces:
-    """The automaton that finds lower-case pieces of letters; ``length`` of each, and at last of the unknown letter."""
+    """Lower-case pieces of letters in a hash table that also has their beginnings, so that a search stops early.
+
+    ``length``: of each piece, and at last of the unknown letter. ``key``, ``value``: by slot, a string's hash and its
+    piece, -1 for a mere beginning; a string lies in its slot or the one after.
+    """
 
-    automaton: ahocorasick.Automaton
     length: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+    factor: np.uint64
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are known, and their pieces."""
+        slot = ((hashes * self.factor) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        slot += self.key[slot] != hashes
+        return self.key[slot] == hashes, self.value[slot]
+
+
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of code points times powers, and the inverse powers: the hash of [a, b) is (sum b - sum a) * inverse a."""
+    up = np.full(len(codes) + 1, _STEP, np.uint64)
+    down = np.full(len(codes) + 1, pow(_STEP, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up)[:-1], out=total[1:])
+    return total, np.multiply.accumulate(down)
+
+
+def _hash(text: str) -> int:
+    return sum((ord(c) + 1) * pow(_STEP, k, 1 << 64) for k, c in enumerate(text)) % (1 << 64)
 
 
 @functools.cache
@@ -58,11 +86,20 @@ def pieces(path: str) -> Pieces:
         body = p.removeprefix(MARK)
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and p == p.lower() and (body.isalpha() or p == MARK):
             found.append(p)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, p in enumerate(found):
-        automaton.add_word(p, i)
-    automaton.make_automaton()
-    return Pieces(automaton, np.array([*map(len, found), 1], np.int64))
+    value = {p[:n]: -1 for p in found for n in range(1, len(p))} | {p: i for i, p in enumerate(found)}
+    entries = [(_hash(p), i) for p, i in value.items()]
+    factor = _STEP
+    while True:
+        key, values = np.zeros((1 << _SLOTS) + 2, np.uint64), np.full((1 << _SLOTS) + 2, -1, np.int64)
+        for h, i in entries:
+            slot = (h * factor % (1 << 64)) >> (64 - _SLOTS)
+            slot += key[slot] != 0
+            if key[slot]:
+                break
+            key[slot], values[slot] = h, i
+        else:
+            return Pieces(np.array([*map(len, found), 1], np.int64), key, values, np.uint64(factor))
+        factor = factor * _STEP % (1 << 64)
 
 
 def words_of(text: str) -> list[str]:
@@ -90,8 +127,16 @@ def lattice(words: list[str], known: Pieces) -> Lattice:
     joined = "\n".join([MARK + w for w in words]) + "\n"
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     first = np.cumsum(sizes + 1) - sizes - 1
-    hits = np.fromiter(itertools.chain.from_iterable(known.automaton.iter(joined)), np.int64).reshape(-1, 2)
-    end, piece = hits[:, 0] + 1, hits[:, 1]
+    total, down = _sums(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"))
+    at, ends, hits = np.arange(len(joined)), [], []
+    for n in range(1, int(known.length.max()) + 1):
+        at = at[: np.searchsorted(at, len(joined) - n, "right")]
+        there, value = known.find((total[at + n] - total[at]) * down[at])
+        at, value = at[there], value[there]
+        whole = value >= 0
+        ends.append(at[whole] + n)
+        hits.append(value[whole])
+    end, piece = np.concatenate(ends), np.concatenate(hits)
     covered = np.zeros(len(joined) + 1, bool)
     covered[end[known.length[piece] == 1]] = True
     covered[first] = True  # the cell before a word is no letter's end
@@ -102,7 +147,7 @@ def lattice(words: list[str], known: Pieces) -> Lattice:
 
 def _steps(place: np.ndarray, to: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups of arcs of one ``place`` in their words, ascending, sorted by ``to``; and where each ``to`` begins."""
-    order = np.lexsort((to, place))
+    order = np.argsort(place * (int(to.max(initial=0)) + 1) + to)
     edges = np.flatnonzero(np.diff(place[order])) + 1
     for part in np.split(order, edges):
         if len(part):
@@ -206,7 +251,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
             for batch in common.slices(batches, "text"):
                 for t, v in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                     seen[v].update(words_of(t))
-                if sum(map(len, seen.values())) > KEPT_WORDS // 4:
+                if sum(map(len, seen.values())) > KEPT_WORDS // 3:
                     add()
             add()
             piece, column = np.nonzero(total)
