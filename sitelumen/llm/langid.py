@@ -139,7 +139,7 @@ def lattice(words: list[str], known: Pieces) -> Lattice:
     end, piece = np.concatenate(ends), np.concatenate(hits)
     covered = np.zeros(len(joined) + 1, bool)
     covered[end[known.length[piece] == 1]] = True
-    covered[first] = True  # the cell before a word is no letter's end
+    covered[first] = covered[-1] = True  # the cells before a word and behind all of them are no letter's end
     bare = np.flatnonzero(~covered)
     end, piece = np.append(end, bare), np.append(piece, np.full(len(bare), len(known.length) - 1))
     return Lattice(piece, end - known.length[piece], end, first, first + sizes)

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
@@ -35,8 +36,8 @@ BEGINNINGS = (4, 6)
 DENSE_WORDS = 128
 #: Log ratio of document shares, to either side, from which a term is used.
 LEAST_RATIO = 0.7
-#: And standard errors of the log ratio, so that of many rare terms hardly one is used by chance.
-LEAST_SPREADS = 4.0
+#: And the standard errors that its counts are away from equal shares, so that of many rare terms hardly one is used by chance.
+LEAST_SPREADS = 5.0
 #: Texts of each class that are taken to hold a term besides those that do, so that rare terms weigh less.
 EXTRA_DOCS = 2
 #: A pair of voters with a larger correlation within a class votes as one.
@@ -52,8 +53,9 @@ TOXIC, CLEAN, ABSTAIN = 2, 1, 0
 
 
 def terms_of(text: str, known: Container[str] | None = None) -> set[str]:
-    """A text's terms, of ``known`` if given: lower-case words; the beginnings of longer words, marked by a star; and
-    those of either that are dense in the text, marked by an exclamation mark."""
+    """A text's terms, of ``known`` if given: lower-case words; those that are dense in it, marked by an exclamation
+    mark; and the beginnings of longer words that are dense in it, marked by a star. (A beginning that isn't dense
+    proves little: long texts, and other languages, hold it by chance.)"""
     words = WORD.findall(text.lower())
     counts = Counter(words)
     starts: Counter = Counter()
@@ -61,11 +63,8 @@ def terms_of(text: str, known: Container[str] | None = None) -> set[str]:
         for w, k in counts.items():
             if len(w) > n:
                 starts[w[:n] + "*"] += k
-    found = counts.keys() | starts.keys()
-    if known is not None:
-        found = {t for t in found if t in known}
     least = max(2, len(words) / DENSE_WORDS)
-    found |= {t + "!" for t in found if (counts.get(t) or starts[t]) >= least}
+    found = counts.keys() | {w + "!" for w, k in counts.items() if k >= least} | {w for w, k in starts.items() if k >= least}
     return found if known is None else {t for t in found if t in known}
 
 
@@ -114,6 +113,12 @@ class Terms:
     lexicon: dict[str, int]
 
 
+def _surprise(n: int, m: int, ones: int, zeros: int) -> float:
+    """The root of the likelihood ratio statistic of n of ``ones`` against m of ``zeros``."""
+    share = (n + m) / (ones + zeros)
+    return math.sqrt(max(0.0, 2 * sum(k * math.log(k / (share * size)) for k, size in ((n, ones), (m, zeros)) if k)))
+
+
 def find_terms(sample: DataFrame) -> Terms:
     """From (text, toxic): terms of at least LEAST_DOCS toxic texts, the TERMS of the largest ratio."""
     size = {int(c): n for c, n in sample.groupBy("toxic").count().collect()}
@@ -122,10 +127,9 @@ def find_terms(sample: DataFrame) -> Terms:
     toxic = {r.term: r.docs for r in seen.collect()}  # 5 * TERMS rows at most
     clean = {r.term: r.docs for r in _term_counts(sample.where("toxic = 0"), set(toxic)).collect()} if toxic else {}
     ratio = {t: float(np.log((n + EXTRA_DOCS) / (ones + 2 * EXTRA_DOCS)) - np.log((clean.get(t, 0) + EXTRA_DOCS) / (zeros + 2 * EXTRA_DOCS))) for t, n in toxic.items()}
-    surely = {t: abs(ratio[t]) / np.sqrt(1 / (n + 0.5) + 1 / (clean.get(t, 0) + 0.5)) for t, n in toxic.items()}
+    surely = {t: _surprise(n, clean.get(t, 0), ones, zeros) for t, n in toxic.items()}
     kept = sorted((t for t in ratio if abs(ratio[t]) >= LEAST_RATIO and surely[t] >= LEAST_SPREADS), key=lambda t: (-abs(ratio[t]), t))[:TERMS]
-    # A beginning that isn't dense proves little: longer texts of other languages hold it by chance.
-    strong = sorted((t for t in kept if ratio[t] >= LEXICON_RATIO and t[-1] != "*"), key=lambda t: (-toxic[t], t))
+    strong = sorted((t for t in kept if ratio[t] >= LEXICON_RATIO), key=lambda t: (-toxic[t], t))
     return Terms({t: i for i, t in enumerate(kept)}, np.array([ratio[t] for t in kept]), {t: i % LEXICONS for i, t in enumerate(strong)})
 
 
@@ -135,9 +139,9 @@ VOTERS = [*(f"lexicon{k}" for k in range(LEXICONS)), "beginnings", "density", "s
 def votes(text: str, terms: Terms, found: set[str]) -> tuple[int, ...]:
     """A vote of each of VOTERS: 0 abstains, 1 clean, 2 toxic. ``found``: the text's terms that are known."""
     strong = found & terms.lexicon.keys()
-    hit = {terms.lexicon[t] for t in strong if t[-1] != "!"}
+    hit = {terms.lexicon[t] for t in strong if t[-1] not in "*!"}
     out = [TOXIC if k in hit else ABSTAIN for k in range(LEXICONS)]
-    out.append(TOXIC if any(t.endswith("*!") for t in strong) else ABSTAIN)
+    out.append(TOXIC if any(t[-1] == "*" for t in strong) else ABSTAIN)
     out.append(TOXIC if any(t[-1] == "!" for t in strong) else ABSTAIN)
     spelled = {m.lower().translate(LOOKALIKE) for m in SPELLED.findall(text)} if text else set()
     out.append(TOXIC if any(w in terms.lexicon for m in spelled for w in WORD.findall(m)) else ABSTAIN)
