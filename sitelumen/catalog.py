@@ -5,15 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from sitelumen.plans import content, search
 
+PLANS = (content, search)
 
-def density_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+"), F.lit(0))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.ceil(F.size(words) / 150).alias("windows"))
-
-
-QUERIES["density_windows"] = density_windows
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
