@@ -9,9 +9,11 @@ from sitelumen.functions import text as T
 
 
 def shingle_sets(texts: DataFrame, id: str, text: str, width: int = 5, least_words: int = 0) -> DataFrame:
-    """(id, set): the hashes of each text's different shingles; texts of fewer words are left out."""
+    """(id, set): the hashes of each text's different shingles; texts of fewer words, or none, are left out.
+
+    A filter on ``set`` would be pushed below it and evaluate it for every window; filter on words instead."""
     rows = texts.select(F.col(id).alias("id"), T.plain_words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    return rows.where(F.size("w") >= least_words).select("id", T.shingles(F.col("w"), width).alias("set"))
+    return rows.where(F.size("w") >= max(1, least_words)).select("id", T.shingles(F.col("w"), width).alias("set"))
 
 
 def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.7, least_words: int = 60, width: int = 5) -> DataFrame:
@@ -22,8 +24,8 @@ def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", leas
     hashes: it lies behind the rare ones, so hot shingles join nobody unless a text has nothing else.
     """
     one = texts.groupBy(F.col(text).alias("text")).agg(F.min(id).alias("id")).where("text IS NOT NULL")
-    sets = shingle_sets(one, "id", "text", width, least_words).where(F.size("set") > 0)
-    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("h"))
+    sets = shingle_sets(one, "id", "text", width, least_words)
+    each = sets.select("id", F.size("set").alias("n"), F.explode_outer("set").alias("h"))  # explode would filter on the set, and evaluate it there for every window
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Hashes of one text alone join nobody; they count in the order, before all shared ones.
     shared = each.join(common, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
@@ -41,7 +43,7 @@ def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", leas
 def positions(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, pos, word): each word of each text, lower-case."""
     w = F.transform(T.words(F.col(text)), F.lower)
-    return texts.select(F.col(id).alias("id"), w.alias("w")).select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    return texts.select(F.col(id).alias("id"), w.alias("w")).select("id", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "word")).where("pos IS NOT NULL")
 
 
 def shingle_frequency(texts: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -54,7 +56,7 @@ def windows(texts: DataFrame, id: str, text: str, width: int) -> DataFrame:
     w = F.transform(T.words(F.col(text)), F.lower)
     rows = texts.select(F.col(id).alias("id"), w.alias("w")).where(F.size("w") >= width)
     starts = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, F.lit(width)), " ").alias("shingle")))
-    return rows.select("id", F.size("w").alias("n"), F.explode(starts).alias("s")).select("id", "n", "s.start", "s.shingle")
+    return rows.select("id", F.size("w").alias("n"), F.explode_outer(starts).alias("s")).select("id", "n", "s.start", "s.shingle")
 
 
 def unique_words(texts: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, rare: int = 3) -> DataFrame:
