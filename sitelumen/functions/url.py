@@ -19,32 +19,32 @@ CDN_SUFFIXES = (
 LONG_URL, LONG_PATH = 115, 75
 
 
-def bare(url: Column) -> Column:
-    """``url`` without scheme and fragment."""
-    return F.regexp_replace(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"#.*$", "")
+_START = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+
+
+def netloc(url: Column) -> Column:
+    """The host with user and port, lower-case, without ``www.``."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _START + r"([^/?#\s]*)", 1)), r"^www\.", "")
 
 
 def host(url: Column) -> Column:
     """The host, lower-case, without ``www.``, user and port."""
-    name = F.lower(F.regexp_extract(bare(url), r"^([^/?]*)", 1))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^.*@", ""), r":\d+$", ""), r"^www\.", "")
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _START + r"(?:[^/?#@]*@)?([^/?#:\s]*)", 1)), r"^www\.", "")
 
 
 def path(url: Column) -> Column:
     """The path, ``/`` if there is none."""
-    found = F.regexp_extract(bare(url), r"^[^/?]*(/[^?]*)", 1)
-    return F.when(found == "", "/").otherwise(found)
+    return F.coalesce(F.nullif(F.regexp_extract(url, _START + r"[^/?#]*(/[^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(bare(url), r"\?(.*)$", 1)
+    return F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)
 
 
 def norm_url(url: Column) -> Column:
     """The key under which a page is known: host and path, no trailing slash, the query kept."""
-    trimmed = F.when(F.length(path(url)) > 1, F.regexp_replace(path(url), r"/+$", "")).otherwise(path(url))
-    trimmed = F.when(trimmed == "", "/").otherwise(trimmed)
-    return F.concat(host(url), trimmed, F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(""))
+    trimmed = F.regexp_replace(F.regexp_extract(url, _START + r"[^/?#]*(/[^?#]*)", 1), "/+$", "")
+    return F.concat(netloc(url), F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("/")), F.regexp_extract(url, r"^[^#?]*(\?[^#]+)", 1))
 
 
 def normalize_domain(text: Column) -> Column:
