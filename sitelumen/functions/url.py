@@ -19,7 +19,8 @@ CDN_SUFFIXES = (
 LONG_URL, LONG_PATH = 115, 75
 
 
-_START = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?"
+#: The scheme is taken whole (``?+``), or a URL without a path would give its slashes for one.
+_START = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?+"
 
 
 def netloc(url: Column) -> Column:

@@ -33,14 +33,19 @@ def new_listings(listings: DataFrame, slices: int = 64) -> DataFrame:
     return rows.groupBy("domain", "slice").applyInPandasWithState(_emit, NEW, "known array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """``events`` with a watermark, which needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Counts and sums of events by type and window; events later than ``late`` are dropped by the watermark."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    rows = events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    rows = _marked(events, late).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Each user's sessions: runs of events with no longer gap."""
-    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("events"))
+    rows = _marked(events, late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("events"))
     return rows.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
