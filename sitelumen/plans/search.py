@@ -12,6 +12,7 @@ from pyspark.sql import window as W
 
 from sitelumen.functions import scoring as S
 from sitelumen.functions import text as T
+from sitelumen.operators import containment
 
 LEAST_IMPRESSIONS, LEAST_GAIN, TODOS = 100, 5, 25
 LEAST_SPLIT_IMPRESSIONS, LEAST_SPLIT_SHARE, CLOSE_POSITIONS = 50, 0.10, 5
@@ -292,6 +293,23 @@ def ga_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GA_PIVOT = "SELECT event_type AS channel, CAST(count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS BIGINT) AS current, CAST(count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS BIGINT) AS previous FROM events GROUP BY 1"
 
-_ALL = (ctr_curve, account_summary, top_query_per_page, confirmed_split, todos_striking, todos_ctr_gap, todos_decay, keyword_pool, pool_bands, page_intel, token_match_volume, keyword_trends, rank_shifts, rank_summary, rank_history, visibility, ga_pivot)
+def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and types as targets: ordered pairs of different targets of which one contains the other."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    phrases = part.select(F.explode(F.array(F.col("p_name"), F.concat_ws(" ", "p_name", F.lower("p_type")))).alias("page")).distinct()
+    return containment.contained(phrases.withColumn("tokens", T.tokens(F.col("page"), keep_numbers=True))).select("i", "j", "n_i", "n_j", "shared")
+
+
+_STOPPED = ", ".join(f"'{w}'" for w in (*T.STOP, *T.MARKETING))
+CONTAINMENT_PAIRS = f"""
+WITH f AS (SELECT DISTINCT unnest([p_name, concat_ws(' ', p_name, lower(p_type))]) AS page FROM part),
+w AS (SELECT page, unnest(regexp_extract_all(lower(translate(page, '_-', '  ')), '[a-z0-9]+')) AS w FROM f),
+t AS (SELECT DISTINCT page, CASE WHEN length(w) <= 3 THEN w WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, -3) || 'y' WHEN regexp_matches(w, '(sses|ches|shes|xes|zes)$') THEN left(w, -2) WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is|ys)$') THEN left(w, -1) ELSE w END AS token FROM w WHERE w NOT IN ({_STOPPED}) AND NOT regexp_full_match(w, '[0-9]+')),
+n AS (SELECT page, count(*) AS n FROM t GROUP BY page)
+SELECT x.page AS i, y.page AS j, CAST(any_value(a.n) AS INTEGER) AS n_i, CAST(any_value(b.n) AS INTEGER) AS n_j, count(*) AS shared FROM t x JOIN t y ON x.token = y.token AND x.page <> y.page JOIN n a ON a.page = x.page JOIN n b ON b.page = y.page
+WHERE a.n >= 2 GROUP BY x.page, y.page HAVING count(*) >= any_value(a.n) - CASE WHEN any_value(a.n) >= 7 THEN 1 ELSE 0 END
+"""
+
+_ALL = (ctr_curve, account_summary, top_query_per_page, confirmed_split, todos_striking, todos_ctr_gap, todos_decay, keyword_pool, pool_bands, page_intel, token_match_volume, keyword_trends, containment_pairs, rank_shifts, rank_summary, rank_history, visibility, ga_pivot)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
