@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelumen.plans import content, events, search, site
+from sitelumen.plans import content, events, search, site, topics
 
-PLANS = (content, search, site, events)
+PLANS = (content, search, site, events, topics)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.ORACLE_SQL.items()}
