@@ -69,5 +69,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pieces": op10_pieces,
 }
 
+OP3_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) AS r(k)),
+s AS (SELECT *, length(text) + length(regexp_replace(text, '[^\\[<\\\\]', '', 'g')) AS escaped, CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 21 ELSE 16 + length(url_encode(role)) END AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(escaped + marks) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM s GROUP BY conv_id
+"""
+
+_SPACES = r"[\x20\x09-\x0D]"
+_ROWS = f"""
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM h CROSS JOIN range(5) AS o(k) GROUP BY r),
+n AS (SELECT d.*, len(w) AS n_words, length(regexp_replace(text, '{_SPACES}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM d JOIN l USING (r) LEFT JOIN c USING (r)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, ['symbols', 'capitals', 'repeats', 'duplicate_lines', 'word_length'] AS names, [0.1, 0.1, 0.07, 0.12, 4.0]::DOUBLE[] AS spreads,
+  [n_symbols / nullif(n_words, 0), n_capitals / nullif(n_letters, 0), n_repeat_words / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), word_chars / nullif(n_words, 0)] AS v FROM n)
+"""
+_QUANTILES = "min(v) FILTER (upto >= 0.5 * n) AS middle, min(v) FILTER (upto >= 0.75 * n) AS upper"
+OP9_SQL = f"""
+WITH {_ROWS},
+e AS (SELECT r, lang, source, unnest(names) AS k, unnest(spreads) AS spread, unnest(v) AS v FROM m),
+b AS (SELECT lang, source, k, spread, CASE WHEN v < {quality.TINY} THEN 0 ELSE greatest(1, CAST(ceil(ln(v / {quality.TINY}::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) AS INTEGER) + 1) END AS bucket FROM e WHERE v IS NOT NULL),
+x AS (SELECT lang, source, k, any_value(spread) AS spread, bucket, CASE WHEN bucket = 0 THEN 0.0 ELSE {quality.TINY}::DOUBLE * pow({quality.GAMMA}::DOUBLE, bucket - 1.5) END AS v, count(*) AS c FROM b GROUP BY lang, source, k, bucket),
+q0 AS (SELECT lang, source, k, any_value(spread) AS spread, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY lang, source, k) AS n FROM x) GROUP BY lang, source, k),
+y AS (SELECT lang, k, bucket, any_value(v) AS v, sum(c) AS c FROM x GROUP BY lang, k, bucket),
+q1 AS (SELECT lang, k, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY lang, k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY lang, k) AS n FROM y) GROUP BY lang, k),
+z AS (SELECT k, bucket, any_value(v) AS v, sum(c) AS c FROM x GROUP BY k, bucket),
+q2 AS (SELECT k, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY k) AS n FROM z) GROUP BY k),
+u AS (SELECT q0.lang, q0.source, q0.k, q0.spread, CASE WHEN q0.n >= {quality.LEAST_ROWS} THEN q0.middle WHEN q1.n >= {quality.LEAST_ROWS} THEN q1.middle ELSE q2.middle END AS middle, CASE WHEN q0.n >= {quality.LEAST_ROWS} THEN q0.upper WHEN q1.n >= {quality.LEAST_ROWS} THEN q1.upper ELSE q2.upper END AS upper FROM q0 JOIN q1 ON q1.lang IS NOT DISTINCT FROM q0.lang AND q1.k = q0.k JOIN q2 ON q2.k = q0.k),
+f AS (SELECT DISTINCT r FROM e JOIN u ON u.lang IS NOT DISTINCT FROM e.lang AND u.source IS NOT DISTINCT FROM e.source AND u.k = e.k WHERE e.v > u.upper + 3.0 * greatest(u.upper - u.middle, u.spread))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM f) AS kept FROM m
+"""
+
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op9_quality": OP9_SQL}
