@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,8 +162,9 @@ def forest(keys: np.ndarray, bits: np.ndarray, radius: int = RADIUS) -> np.ndarr
     return parent
 
 
-def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -> DataFrame:
-    """Edges (u, v) between nodes of ``candidates`` (key and bits columns, node): a forest of each run's links."""
+def _linked(candidates: DataFrame, key: list[str], order: list[str], link: Callable[[np.ndarray, pa.Table], np.ndarray]) -> DataFrame:
+    """Edges (u, v) between nodes of ``candidates`` that agree in ``key``: the forest that ``link`` finds in whole runs,
+    given a number for each row's run and the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -172,7 +173,7 @@ def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -
             columns = [rows.column(k).to_numpy() for k in key]
             change = np.ones(rows.num_rows, bool)
             change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            parent = forest(np.cumsum(change), np.stack([rows.column(b).to_numpy().view(np.uint64) for b in bits], 1), radius)
+            parent = link(np.cumsum(change), rows)
             node = rows.column("node").to_numpy()
             other = np.flatnonzero(parent != np.arange(len(parent)))
             return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[parent[other]])], ["u", "v"])
@@ -191,10 +192,19 @@ def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield linked(rows)
 
-    dealt = candidates.repartition(common.wide(candidates.sparkSession), *key).sortWithinPartitions(*key, *bits)
+    dealt = candidates.repartition(common.wide(candidates.sparkSession), *key).sortWithinPartitions(*key, *order)
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _bits(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows.column(b).to_numpy().view(np.uint64) for b in names], 1)
+
+
+def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -> DataFrame:
+    """Edges (u, v) between nodes of ``candidates`` (key and bits columns, node): a forest of each run's links."""
+    return _linked(candidates, key, bits, lambda keys, rows: forest(keys, _bits(rows, bits), radius))
+
+
 def _pairs(bits: str, parts: int, width: int, offsets: list[int] | None = None) -> list[F.Column]:
     """Keys for each choice of two of ``parts`` blocks of ``width`` bits: the choice's number above the two blocks."""
     offsets = offsets or [width * k for k in range(parts)]
@@ -239,14 +249,17 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
 #: Words of a shingle, and the least similarity (Jaccard) of shingle sets that is looked for.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-#: 64-bit words of a long fingerprint; of the expected distance at that similarity, the standard errors that are let pass.
-LONG_WORDS, SLACK = 4, 0.5
+#: 64-bit words of a long fingerprint; of the expected distance at that similarity, the standard errors that are let
+#: pass. The fingerprints only propose: a link is made by the shingle sets themselves.
+LONG_WORDS, SLACK = 4, 4.0
 #: Candidates share one of BANDS bands of BAND_ROWS minimal hashes: at the least similarity all but 1 in 5,000 pairs do.
 BANDS, BAND_ROWS = 16, 4
+#: Shingle hashes of a group that one task holds to check its links; a larger group is cut into chunks, two a task.
+CELL_HASHES = 4_000_000
 
 
 def similar_radius(similarity: float = SIMILARITY, words: int = LONG_WORDS, slack: float = SLACK) -> int:
-    """Differing bits up to which long fingerprints count as similar.
+    """Differing bits up to which long fingerprints are candidates.
 
     Shingle sets of Jaccard similarity s have a cosine of 2 s / (1 + s) or more, and a bit differs with
     probability arccos(cosine) / pi.
@@ -256,54 +269,152 @@ def similar_radius(similarity: float = SIMILARITY, words: int = LONG_WORDS, slac
     return int(n * share + slack * math.sqrt(n * share * (1 - share)))
 
 
-def long_fingerprints(texts: list[str | None], width: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, bands): a row a text, LONG_WORDS and BANDS columns. Texts without words: zeros."""
+def shingle_sets(texts: list[str | None], width: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the different shingles' hashes, text by text and ascending, and each text's number of them."""
+    w = wordhash.words(texts, lower=True)
+    hashes, at = wordhash.window_hashes(w, wordhash.word_hashes(w), width)
+    return _different(hashes, w.doc[at], len(texts))
+
+
+def _different(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.bincount(doc[new], minlength=n)
+
+
+def _features(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, bands, and of each text's shingle set the size and a hash. Texts without words: zeros."""
     w = wordhash.words(texts, lower=True)
     hashes, at = wordhash.window_hashes(w, wordhash.word_hashes(w), width)
     n = len(texts)
-    bits, bands = np.zeros((n, LONG_WORDS), np.uint64), np.zeros((n, BANDS), np.uint64)
+    bits, bands, whole = np.zeros((n, LONG_WORDS), np.uint64), np.zeros((n, BANDS), np.uint64), np.zeros(n, np.uint64)
     some = np.flatnonzero(w.counts)
     if not len(some):
-        return bits, bands
+        return bits, bands, np.zeros(n, np.int64), whole
     edges = np.searchsorted(w.doc[at], some)
     size = np.diff(np.append(edges, len(hashes)))
     for k in range(LONG_WORDS):
         each = np.unpackbits(wordhash.mix(hashes + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(each, edges, axis=0, dtype=np.int64)
         bits[some, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    hashes, sizes = _different(hashes, w.doc[at], n)
+    edges = (np.cumsum(sizes) - sizes)[some]
+    whole[some] = np.add.reduceat(wordhash.mix(hashes), edges)
     factors = wordhash.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for band in range(BANDS):
         key = np.full(len(some), band + 1, np.uint64)
         for factor in factors[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
             key = wordhash.mix(key + np.minimum.reduceat(hashes * factor, edges))
         bands[some, band] = key
-    return bits, bands
+    return bits, bands, sizes, whole
+
+
+def long_fingerprints(texts: list[str | None], width: int = SIMILAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, bands): a row a text, LONG_WORDS and BANDS columns. Texts without words: zeros."""
+    return _features(texts, width)[:2]
 
 
 def with_long_fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SIMILAR_WORDS) -> DataFrame:
-    """(doc_id, b0 to b3, bands) of each row. No shuffle."""
+    """(doc_id, text_hash, b0 to b3, size, set_hash, bands) of each row. No shuffle."""
     names = [f"b{k}" for k in range(LONG_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            bits, bands = long_fingerprints(batch.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(LONG_WORDS)), pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))], ["doc_id", *names, "bands"])
+            bits, bands, sizes, whole = _features(batch.column("text").to_pylist(), width)
+            longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (*bits.T, sizes, whole)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *longs, pa.array(bands.view(np.int64).tolist(), pa.list_(pa.int64()))], ["doc_id", "text_hash", *names, "size", "set_hash", "bands"])
 
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{b} long" for b in names) + ", bands array<bigint>")
+    return _keyed(docs, id, text).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{b} long" for b in names) + ", size long, set_hash long, bands array<bigint>")
 
 
-def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """(doc_id, component_id): the groups of texts that are linked by an estimated ``similarity`` or more.
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+
+
+def exact_forest(keys: np.ndarray, bits: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """For each set, the first one that it is linked with, by links between sets of equal ``keys``, sorted.
+
+    A link is a Jaccard similarity of ``similarity`` or more among sets whose fingerprints lie within ``radius``. In
+    turn each set is compared with the later ones that are not yet linked with it: copies of one cost a comparison
+    each, and those that it is not similar to meet the sets after it.
+    """
+    parent, ends = np.arange(len(keys)), np.cumsum(sizes)
+    for run in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1):
+        if len(run) < 2:
+            continue
+        n, begins = sizes[run], ends[run] - ends[run[0]] + sizes[run[0]] - sizes[run]
+        codes = np.unique(hashes[ends[run[0]] - n[0] : ends[run[-1]]], return_inverse=True)[1]
+        mark, root, own = np.zeros(int(codes.max()) + 1, bool), np.arange(len(run)), bits[run]
+        for i in range(len(run) - 1):
+            others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            others = others[np.minimum(n[others], n[i]) >= similarity * np.maximum(n[others], n[i]) - 1e-6]
+            others = others[np.bitwise_count(own[others] ^ own[i]).sum(1, dtype=np.int64) <= radius]
+            if not len(others):
+                continue
+            mark[codes[begins[i] : begins[i] + n[i]]] = True
+            shared = np.zeros(len(others), np.int64)
+            for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(n[others]) // CELL_HASHES)) + 1):
+                m = n[others[part]]
+                first = np.cumsum(m) - m
+                place = np.repeat(begins[others[part]] - first, m) + np.arange(int(m.sum()))
+                shared[part] = np.add.reduceat(mark[codes[place]], first, dtype=np.int64)
+            mark[codes[begins[i] : begins[i] + n[i]]] = False
+            hit = others[shared / (n[others] + n[i] - shared) >= similarity]
+            if len(hit):
+                joined = np.append(root[hit], root[i])
+                root[np.isin(root, joined)] = joined.min()
+        parent[run] = run[root]
+    return parent
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, loose: DataFrame, id: str, text: str, width: int, radius: int, similarity: float, run_rows: int) -> DataFrame:
+    """Edges (u, v) that connect just those nodes of each ``loose`` group (node, component) that are linked by their sets.
 
-    Texts are compared bit-sliced, by fingerprints of 64 LONG_WORDS bits, if they share a band. A run of candidates
-    longer than ``run_rows`` is cut into chunks, and every two of its chunks are compared by some task. Equal
-    fingerprints are one node; texts without words are alike. ``component_id`` is the smallest id of a group;
-    null ids are in no group, and get the component of their fingerprint if it has one.
+    One text of each node that has candidates is read again, and its set goes to the task of its group. A group of
+    more than CELL_HASHES hashes or ``run_rows`` sets is cut into chunks, and every two chunks meet in some task.
     """
     names = [f"b{k}" for k in range(LONG_WORDS)]
+    asked = common.settle(nodes.join(loose, "node"))
+    sums = asked.groupBy("component").agg(F.sum("size").alias("hashes"), F.count(F.lit(1)).alias("sets"))
+    chunks = F.ceil(F.greatest(F.col("hashes") / (CELL_HASHES // 2), F.col("sets") / (run_rows // 2))).cast("int")
+    chunks = F.when((F.col("hashes") <= CELL_HASHES) & (F.col("sets") <= run_rows), 1).otherwise(chunks)
+    wanted = asked.join(sums.select("component", chunks.alias("chunks")), "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "chunks", "node", *names)
+    rows = _keyed(docs, id, text)
+    rows = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_id"]) & (rows["text_hash"] == wanted["_hash"])).select("component", "chunks", "node", *names, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in common.slices(batches, "text"):
+            fresh = [not (v in seen or seen.add(v)) for v in batch.column("node").to_pylist()]  # rows may repeat
+            batch = batch.filter(pa.array(fresh))
+            hashes, sizes = shingle_sets(batch.column("text").to_pylist(), width)
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "chunks", "node", *names)), sets], ["component", "chunks", "node", *names, "hashes"])
+
+    def link(keys: np.ndarray, rows: pa.Table) -> np.ndarray:
+        sets = rows.column("hashes").combine_chunks()
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        sizes = sets.value_lengths().to_numpy().astype(np.int64)
+        return exact_forest(keys, _bits(rows, names), sets.flatten().to_numpy().view(np.uint64), sizes, radius, similarity)
+
+    sets = rows.mapInArrow(run, "component long, chunks int, node long, " + ", ".join(f"{b} long" for b in names) + ", hashes array<bigint>")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.greatest(k, F.col("own")) * F.lit(1_000_000).cast("long") + F.least(k, F.col("own")))
+    grid = sets.withColumn("own", own).select("component", "node", *names, "hashes", F.explode(others).alias("cell"))
+    return _linked(grid, ["component", "cell"], ["node"], link)
+
+
+def _similar_rows(docs: DataFrame, id: str, text: str, similarity: float, width: int, run_rows: int) -> DataFrame:
+    """(doc_id, text_hash, component, component_id) of each row; ``component`` numbers its group."""
+    names = [f"b{k}" for k in range(LONG_WORDS)]
+    whole = ["size", "set_hash", *names]
     found = common.settle(with_long_fingerprint(docs, id, text, width))
-    nodes = common.settle(found.groupBy(*names).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")).where("node IS NOT NULL"))
+    first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    nodes = found.groupBy(*whole).agg(F.min("doc_id").alias("id"), first.alias("first"), F.min("bands").alias("bands"))
+    nodes = common.settle(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select(*names, "node", F.explode("bands").alias("key")).where("key != 0")
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("run")).where("run > 1")
     runs = common.settle(keyed.join(sizes, "key"))
@@ -313,9 +424,22 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.greatest(k, F.col("own")) * 1_000_000 + F.least(k, F.col("own")))
     grid = runs.where(F.col("run") > run_rows).withColumn("own", own).select("key", "node", *names, F.explode(others).alias("cell"))
-    links = components(short.unionByName(_runs(grid, ["key", "cell"], names, radius)))
-    named = nodes.join(links, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return found.join(named, names, "left").select("doc_id", "component_id")
+    loose = components(short.unionByName(_runs(grid, ["key", "cell"], names, radius)))
+    links = components(_checked(docs, nodes.drop("bands"), loose, id, text, width, radius, similarity, run_rows))
+    named = common.settle(nodes.join(links, "node", "left").select(*whole, "id", F.coalesce("component", "node").alias("component")))
+    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return found.join(named.join(ids, "component"), whole, "left").select("doc_id", "text_hash", "component", "component_id")
+
+
+def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(doc_id, component_id): the groups of texts that are linked by a ``similarity`` of shingle sets or more.
+
+    Candidates share a band and have near fingerprints of 64 LONG_WORDS bits, compared bit-sliced: at the least
+    similarity all but 1 in 1,000 pairs do. Their sets are then compared exactly. A run of candidates longer than
+    ``run_rows`` is cut into chunks, and every two of its chunks are compared by some task. Equal sets are one node;
+    texts without words are alike. ``component_id`` is the smallest id of a group, null if no row of it has one.
+    """
+    return _similar_rows(docs, id, text, similarity, width, run_rows).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS) -> DataFrame:

@@ -280,6 +280,33 @@ def test_similar_groups(spark, run_rows):
     assert found == {k: k if k % 10 == 9 else k - k % 10 for k in texts}
 
 
+@pytest.mark.parametrize("cell_hashes", [1000, 4_000_000])
+def test_similar_pairs_are_exact(spark, monkeypatch, cell_hashes):
+    monkeypatch.setattr(simhash, "CELL_HASHES", cell_hashes)
+    rng = random.Random(12)
+    texts, likeness = {}, {}
+    for changed in range(4, 14):  # lone pairs of 0.89 to 0.69; 8 changed words make just 0.8
+        for _ in range(12):
+            k = 2 * len(likeness)
+            base = [f"w{rng.randrange(10**9)}" for _ in range(364)]
+            copy = [f"x{k}" if i % 25 == 20 and i // 25 < changed else v for i, v in enumerate(base)]
+            texts[k], texts[k + 1] = " ".join(base), " ".join(copy)
+            likeness[k] = H.jaccard(H.shingles(texts[k], 5), H.shingles(texts[k + 1], 5))
+    assert 0.8 in likeness.values() and min(likeness.values()) < 0.7 and max(likeness.values()) > 0.89
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {k: k if likeness[k - k % 2] < 0.8 else k - k % 2 for k in texts}
+
+
+def test_similar_forest_asks_further_representatives():
+    rng = np.random.default_rng(13)
+    sets = [np.sort(rng.choice(40, rng.integers(15, 30), replace=False)).astype(np.uint64) for _ in range(60)]
+    sets += [s[:-1] for s in sets]
+    keys = np.sort(rng.integers(0, 4, len(sets)))
+    sizes = np.array([len(s) for s in sets])
+    parent = simhash.exact_forest(keys, np.zeros((len(sets), 4), np.uint64), np.concatenate(sets), sizes, 0, 0.7)
+    assert parent.tolist() == H.groups(len(sets), lambda i, j: keys[i] == keys[j] and H.jaccard(sets[i].tolist(), sets[j].tolist()) >= 0.7)
+
+
 def test_keep_first(spark):
     rows = H.awkward(spark)
     kept = simhash.keep_first(rows)
