@@ -293,14 +293,12 @@ def _features(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarr
     some = np.flatnonzero(w.counts)
     if not len(some):
         return bits, bands, np.zeros(n, np.int64), whole
-    edges = np.searchsorted(w.doc[at], some)
-    size = np.diff(np.append(edges, len(hashes)))
+    hashes, sizes = _different(hashes, w.doc[at], n)  # the rule is about sets: a repeated line counts once
+    edges = (np.cumsum(sizes) - sizes)[some]
     for k in range(LONG_WORDS):
         each = np.unpackbits(wordhash.mix(hashes + np.uint64(k + 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(each, edges, axis=0, dtype=np.int64)
-        bits[some, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    hashes, sizes = _different(hashes, w.doc[at], n)
-    edges = (np.cumsum(sizes) - sizes)[some]
+        bits[some, k] = np.packbits(2 * ones > sizes[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
     whole[some] = np.add.reduceat(wordhash.mix(hashes), edges)
     factors = wordhash.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     for band in range(BANDS):

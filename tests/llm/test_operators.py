@@ -297,6 +297,19 @@ def test_similar_pairs_are_exact(spark, monkeypatch, cell_hashes):
     assert found == {k: k if likeness[k - k % 2] < 0.8 else k - k % 2 for k in texts}
 
 
+def test_similar_texts_with_repeated_lines(spark):
+    rng = random.Random(14)
+    texts = {}
+    for k in range(0, 20, 2):
+        line, base = [f"l{rng.randrange(10**9)}" for _ in range(5)], [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        texts[k], texts[k + 1] = " ".join(base + line), " ".join(base + line * 12)
+    assert all(H.jaccard(H.shingles(texts[k], 5), H.shingles(texts[k + 1], 5)) > 0.98 for k in range(0, 20, 2))
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {k: k - k % 2 for k in texts}
+    again = simhash.long_fingerprints(["a b c d e f " * 2, "a b c d e f " * 9])[0]
+    assert np.array_equal(*again)
+
+
 def test_similar_forest_asks_further_representatives():
     rng = np.random.default_rng(13)
     sets = [np.sort(rng.choice(40, rng.integers(15, 30), replace=False)).astype(np.uint64) for _ in range(60)]
