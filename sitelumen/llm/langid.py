@@ -32,6 +32,8 @@ PASS_WORDS, KEPT_WORDS = 25_000, 600_000
 EM_ROUNDS = 1
 #: Added to each piece's count; the probability of a letter that no piece covers; what a letter is scaled by.
 EXTRA_COUNT, UNKNOWN, SCALE = 0.05, 1e-7, 12.0
+#: A word whose scaled sum is less in some language is summed again by logarithms: plain sums would lose digits, then all.
+LEAST_SUM = 1e-200
 UNDETERMINED = "und"
 
 
@@ -171,6 +173,31 @@ def backward(lat: Lattice, scaled: np.ndarray) -> np.ndarray:
     return out
 
 
+def _log_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    top = np.maximum.reduceat(values, edges, axis=0)
+    top = np.where(np.isfinite(top), top, 0)
+    each = np.exp(values - np.repeat(top, np.diff(np.append(edges, len(values))), axis=0))
+    with np.errstate(divide="ignore"):
+        return np.log(np.add.reduceat(each, edges, axis=0)) + top
+
+
+def log_forward(lat: Lattice, logs: np.ndarray) -> np.ndarray:
+    """The logarithm of ``forward``, for any length and probability; ``logs``: of the probabilities, unscaled."""
+    out = np.full((int(lat.last[-1]) + 2, logs.shape[1]), -np.inf)
+    out[lat.first] = 0
+    for part, edges in _steps(lat.end - lat.first[lat.word], lat.end):
+        out[lat.end[part[edges]]] = _log_sums(out[lat.start[part]] + logs[lat.piece[part]], edges)
+    return out
+
+
+def log_backward(lat: Lattice, logs: np.ndarray) -> np.ndarray:
+    out = np.full((int(lat.last[-1]) + 2, logs.shape[1]), -np.inf)
+    out[lat.last] = 0
+    for part, edges in _steps(lat.last[lat.word] - lat.start, lat.start):
+        out[lat.start[part[edges]]] = _log_sums(out[lat.end[part]] + logs[lat.piece[part]], edges)
+    return out
+
+
 @dataclass
 class Model:
     """``langs``, sorted; ``probability``: a row a piece, a column a language."""
@@ -183,13 +210,23 @@ class Model:
     def scaled(self) -> np.ndarray:
         return self.probability * SCALE ** pieces(self.path).length[:, None].astype(float)
 
+    @functools.cached_property
+    def logs(self) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.probability)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The log probability of each word in each language."""
         parts = []
         for i in range(0, len(words), PASS_WORDS):
             some = words[i : i + PASS_WORDS]
             lat = lattice(some, pieces(self.path))
-            parts.append(np.log(forward(lat, self.scaled)[lat.last]) - (lat.last - lat.first)[:, None] * np.log(SCALE))
+            total = forward(lat, self.scaled)[lat.last]
+            with np.errstate(divide="ignore"):
+                parts.append(np.log(total) - (lat.last - lat.first)[:, None] * np.log(SCALE))
+            if len(low := np.flatnonzero((total < LEAST_SUM).any(1))):
+                lat = lattice([some[k] for k in low], pieces(self.path))
+                parts[-1][low] = log_forward(lat, self.logs)[lat.last]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.langs)))
 
 
@@ -201,16 +238,28 @@ def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
     langs = len(next(iter(counts.values()))) if counts else 0
     out = np.zeros((len(model.probability), langs))
     names = list(counts)
+
+    def add(lat: Lattice, share: np.ndarray, weight: np.ndarray) -> None:
+        for k in range(langs):
+            own = weight[lat.word, k]
+            some_ = np.flatnonzero(own)
+            out[:, k] += np.bincount(lat.piece[some_], share[some_, k % share.shape[1]] * own[some_], len(out))
+
     for i in range(0, len(names), PASS_WORDS):
         some = names[i : i + PASS_WORDS]
         weight = np.stack([counts[w] for w in some])
         lat = lattice(some, pieces(model.path))
         ahead, behind = forward(lat, model.scaled), backward(lat, model.scaled)
-        share = ahead[lat.start] * model.scaled[lat.piece] * behind[lat.end] / ahead[lat.last][lat.word]
-        for k in range(langs):
-            own = weight[lat.word, k]
-            some_ = np.flatnonzero(own)
-            out[:, k] += np.bincount(lat.piece[some_], share[some_, k % share.shape[1]] * own[some_], len(out))
+        low = np.flatnonzero((ahead[lat.last] < LEAST_SUM).any(1))
+        rest = weight[low]
+        weight[low] = 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = ahead[lat.start] * model.scaled[lat.piece] * behind[lat.end] / ahead[lat.last][lat.word]
+        add(lat, share, weight)
+        if len(low):
+            lat = lattice([some[k] for k in low], pieces(model.path))
+            ahead, behind = log_forward(lat, model.logs), log_backward(lat, model.logs)
+            add(lat, np.exp(ahead[lat.start] + model.logs[lat.piece] + behind[lat.end] - ahead[lat.last][lat.word]), rest)
     return out
 
 

@@ -450,6 +450,35 @@ def test_op7_forward_is_the_sum_over_segmentations():
     assert np.allclose((counts * known.length[:, None]).sum(0), [4 * 2 + 2, 4])
 
 
+def test_op7_long_runs_of_unknown_letters(spark, docs):
+    path = langid.vocabulary_path()
+    known = langid.pieces(path)
+    bare = [c for c in map(chr, range(0xAC00, 0xD7A4)) if not known.find(np.array([langid._hash(c)], np.uint64))[0][0]][:64]
+    run = "".join(bare)
+    size = len(known.length)
+    model = langid.Model(["a", "b"], np.full((size, 2), 1 / size), path)
+    model.probability[-1] = langid.UNKNOWN
+    with np.errstate(all="raise", under="ignore", divide="ignore", invalid="ignore"):
+        scores = model.word_scores(["the", run, "x"])
+    assert np.isfinite(scores).all() and scores[1, 0] == pytest.approx(np.log(1 / size) + 64 * np.log(langid.UNKNOWN))
+    assert np.array_equal(scores[[0, 2]], model.word_scores(["the", "x"]))
+    counts = langid.expected({"the": np.array([1.0, 0.0]), run: np.array([2.0, 1.0])}, model)
+    assert np.isfinite(counts).all() and counts[-1] == pytest.approx([128, 64])
+    words = ["yes", "the", "together", run[:20]]
+    logs = [langid.log_forward(lat := langid.lattice([w], known), model.logs)[lat.last][0, 0] for w in words]
+    assert logs == pytest.approx(model.word_scores(words)[:, 0])
+
+    rows = [(k, r.text, r.lang) for k, r in docs.items() if r.text][:60]
+    frame = lambda more: spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+    plain = langid.fit(frame([]))
+    fitted = langid.fit(frame([(-1, run, rows[0][2])]))
+    assert np.isfinite(fitted.probability).all()
+    before = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(frame([]), plain).collect()}
+    after = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(frame([(-1, run, None), (-2, f"{rows[1][1]} {run}", None)]), fitted).collect()}
+    assert all(0 < score <= 1 for _, score in after.values()) and after[-2][0] == before[rows[1][0]][0]
+    assert {k: v[0] for k, v in after.items() if k >= 0} == {k: v[0] for k, v in before.items()}
+
+
 def test_op7_held_out_accuracy(spark, sf_dir, docs):
     rows = QUERIES["op7_langid"](spark, sf_dir).collect()
     held = [r for r in rows if r.held_out]
