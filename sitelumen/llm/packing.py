@@ -3,7 +3,7 @@
 Pieces are dealt at random into groups of a bounded number of rows, and every group is packed by itself: best fit,
 longest first, then a local search that moves a piece, exchanges one for one or two for one between underfull bins,
 each step raising the sum of squared fills, until bins empty. The bins that stay underfull go on to a next
-round with fewer groups, until one group holds all of them.
+round, until one group holds all of them or the number of sequences no longer falls.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,8 @@ END_ID = 2
 GROUP_ROWS = 16_384
 #: A bin with at most this many free tokens is left alone by the search and the later rounds.
 CLOSED_FREE = 0
-#: Bins that the search looks at together, and the times it goes over them.
-SEARCH_BINS, SEARCH_PASSES = 256, 8
+#: The times that the search goes over all underfull bins.
+SEARCH_PASSES = 8
 
 
 def vocabulary_path() -> str:
@@ -104,67 +104,120 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_step(giver: list[int], taker: list[int], size: list[int], gave: int, free: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
-    """The step between two bins that raises the squared fill most: (tokens carried over, given, taken back).
+class _Index:
+    """Underfull bins by their free tokens, and among those of equal free tokens by the lengths of their pieces.
 
-    Carrying d tokens from a bin that holds ``gave`` to one with ``free`` left raises the sum of squares by
-    2 d (held + d - gave), which grows with d; so the largest d that fits is the best one.
+    ``masks``: by free tokens, bit y is set if some such bin has a piece of y tokens; bit 0 if there is such a bin.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.masks = [0] * (capacity + 1)
+        self.bins: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]
+
+    def add(self, b: int, free: int, lengths: Iterable[int]) -> None:
+        for y in {0, *lengths}:
+            self.bins[free].setdefault(y, {})[b] = None
+            self.masks[free] |= 1 << y
+
+    def remove(self, b: int, free: int, lengths: Iterable[int]) -> None:
+        for y in {0, *lengths}:
+            del self.bins[free][y][b]
+            if not self.bins[free][y]:
+                del self.bins[free][y]
+                self.masks[free] ^= 1 << y
+
+    def best_step(self, giver: Counter[int], free: int) -> tuple[int, int, tuple[int, ...], int] | None:
+        """The step that carries most from a bin of ``free`` to one no emptier: (tokens carried, bin, given, taken back).
+
+        Carrying d tokens from a bin that holds g to one that holds h raises the sum of squares by 2 d (h + d - g),
+        which grows with d. All bins and pieces are looked at together: bit d + y of the shifted mask is set if a bin
+        with d or more free would give y back.
+        """
+        ones = sum(1 << x for x in giver)
+        twos = 0
+        for x, n in giver.items():
+            twos |= (ones if n > 1 else ones ^ 1 << x) << x
+        found = 0
+        for d in range(free, 0, -1):
+            found |= self.masks[d]
+            if hit := found << d & ones:
+                x = (hit & -hit).bit_length() - 1
+                given: tuple[int, ...] = (x,)
+            elif hit := (found & ~1) << d & twos:  # two for none: two moves do that
+                x = (hit & -hit).bit_length() - 1
+                one = next(v for v in giver if (x - v in giver) and (x != 2 * v or giver[v] > 1))
+                given = (one, x - one)
+            else:
+                continue
+            y = x - d
+            fullest = next(f for f in range(d, free + 1) if self.masks[f] >> y & 1)
+            return d, next(iter(self.bins[fullest][y])), given, y
+        return None
+
+
+def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = SEARCH_PASSES) -> list[list[int]]:
+    """Move, exchange one for one and two for one among all underfull bins, the emptiest giving first.
+
+    Each step raises the sum of squared fills; a bin gives until it is empty or no step is left for it.
     """
-    back = [(0, ()), *((size[j], (j,)) for j in taker)]
-    ones = [(size[i], (i,)) for i in giver]
-    twos = [(x + y, (*a, *b)) for k, (x, a) in enumerate(ones) for y, b in ones[k + 1 :]]
-    best = None
-    for out, given in [*ones, *twos]:
-        for into, taken in back:
-            if len(given) == 2 and not taken:
-                continue  # two moves do that
-            d = out - into
-            if 0 < d <= free and (best is None or d > best[0]):
-                best = (d, given, taken)
-    return best
-
-
-def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = SEARCH_PASSES, most: int = SEARCH_BINS) -> list[list[int]]:
-    """Move, exchange one for one and two for one between underfull bins, emptiest first, until none empties."""
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
+    free = [capacity - sum(size[i] for i in b) for b in bins]
+    index = _Index(capacity)
+    of = lambda b: (size[i] for i in bins[b])
+    for b in range(len(bins)):
+        if bins[b] and free[b] > CLOSED_FREE:
+            index.add(b, free[b], of(b))
     for _ in range(passes):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])[:most]
         stepped = False
-        for k, a in enumerate(under):
-            for b in reversed(under[k + 1 :]):
-                while bins[a] and fill[b] < capacity and (step := _best_step(bins[a], bins[b], size, fill[a], capacity - fill[b])) and fill[b] + step[0] > fill[a]:
-                    d, given, taken = step
-                    bins[a] = [i for i in bins[a] if i not in given] + list(taken)
-                    bins[b] = [i for i in bins[b] if i not in taken] + list(given)
-                    fill[a], fill[b], stepped = fill[a] - d, fill[b] + d, True
-                if not bins[a]:
-                    break
+        for a in sorted((b for b in range(len(bins)) if bins[b] and free[b] > CLOSED_FREE), key=lambda b: -free[b]):
+            if free[a] <= CLOSED_FREE:
+                continue  # filled in this pass
+            index.remove(a, free[a], of(a))
+            while bins[a] and (step := index.best_step(Counter(of(a)), free[a])):
+                d, b, given, taken = step
+                index.remove(b, free[b], of(b))
+                out = []
+                for x in given:
+                    out.append(next(i for i in bins[a] if size[i] == x and i not in out))
+                back = [next(i for i in bins[b] if size[i] == taken)] if taken else []
+                bins[a] = [i for i in bins[a] if i not in out] + back
+                bins[b] = [i for i in bins[b] if i not in back] + out
+                free[a], free[b], stepped = free[a] + d, free[b] - d, True
+                if free[b] > CLOSED_FREE:
+                    index.add(b, free[b], of(b))
+            if bins[a]:
+                index.add(a, free[a], of(a))
         if not stepped:
             break
     return [b for b in bins if b]
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    return swap_search(best_fit(lengths, capacity), lengths, capacity)
+def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, bins: list[list[int]] | None = None) -> list[list[int]]:
+    """The fewer bins of those searched from best fit and, if given, from ``bins``."""
+    fresh = swap_search(best_fit(lengths, capacity), lengths, capacity)
+    if bins is None:
+        return fresh
+    return min(swap_search(bins, lengths, capacity), fresh, key=len)
 
 
-def _assign(columns: list[str], length: str, capacity: int, base: int, width: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Packs one group; the rows of bins that stay underfull get no sequence unless this is the last round."""
+def _assign(columns: list[str], length: str, capacity: int, base: int, width: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Packs one group; ``_open`` are the rows of bins that stay underfull."""
 
     def assign(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group[length].to_numpy(np.int64)
         if not 1 <= lengths.min() <= lengths.max() <= capacity:
             raise ValueError(f"lengths must be 1 to {capacity}")
-        order, bins, offsets, closed = [], [], [], []
-        for b, items in enumerate(pack_lengths(lengths, capacity)):
+        held = group["sequence_id"].reset_index(drop=True)
+        before = None if held.isna().any() else [rows.tolist() for rows in held.groupby(held).indices.values()]
+        order, bins, offsets, open_ = [], [], [], []
+        for b, items in enumerate(pack_lengths(lengths, capacity, before)):
             ends = np.cumsum(lengths[items])
             order += items
             bins += [base + int(key[0]) * width + b] * len(items)
             offsets += [0, *ends[:-1].tolist()]
-            closed += [last or capacity - int(ends[-1]) <= CLOSED_FREE] * len(items)
-        out, closed = group.iloc[order][columns], np.array(closed, bool)
-        return out.assign(sequence_id=pd.Series(bins, out.index, "Int64").where(closed), offset=pd.Series(offsets, out.index, "Int64").where(closed))
+            open_ += [capacity - int(ends[-1]) > CLOSED_FREE] * len(items)
+        out = group.iloc[order][columns]
+        return out.assign(sequence_id=pd.Series(bins, out.index, "Int64"), offset=pd.Series(offsets, out.index, "Int64"), _open=pd.Series(open_, out.index, bool))
 
     return assign
 
@@ -174,28 +227,35 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
 
     Lengths are 1 to ``capacity`` (others fail). Every row is packed, repeated rows too; what other columns hold,
     nulls included, doesn't matter, but columns of the two new names are replaced. An empty table stays empty.
-    Each round packs groups of about ``group_rows`` rows in parallel and passes on only the bins that stay underfull.
+    Each round packs groups of about ``group_rows`` rows in parallel and passes on only the bins that stay underfull,
+    until they are one group. Rounds end before that only when one makes no fewer sequences than the round before.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}).schema
+    marks = {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "_open": F.lit(True)}
+    schema = pieces.withColumns(marks).schema
     columns = pieces.columns
-    left = common.settle(pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
-    rows, base, done, last = left.count(), 0, [], False
+    left = common.settle(pieces.withColumns(marks))
+    rows, base, done, sequences = left.count(), 0, [], None
     while rows:
         groups = max(1, rows // group_rows)
-        last |= groups == 1
         width = 2 * rows + group_rows  # sequences are numbered from base up: by group, and in it by bin
         # Row numbers of a checkpoint are the same at every reading, so a task that runs again gets the same group.
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).repartition(common.wide(left.sparkSession), "_group")
-        packed = common.settle(dealt.groupBy("_group").applyInPandas(_assign(columns, length, capacity, base, width, last), schema))
-        done.append(packed.where(F.col("sequence_id").isNotNull()))
-        left = packed.where(F.col("sequence_id").isNull())
-        before, rows = rows, left.count()
+        # Later rounds deal sequences whole and go on from them, so their number never rises.
+        dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("sequence_id", F.monotonically_increasing_id())), F.lit(groups))).repartition(common.wide(left.sparkSession), "_group")
+        packed = common.settle(dealt.groupBy("_group").applyInPandas(_assign(columns, length, capacity, base, width), schema))
+        made, unfilled, rows = packed.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 AND _open")), F.count_if("_open")).first()
+        if sequences is not None and made >= sequences:
+            done.append(left)  # as the round before packed them
+            break
+        if groups == 1:
+            done.append(packed)
+            break
+        done.append(packed.where("NOT _open"))
+        left, sequences = packed.where("_open"), unfilled
         base += groups * width
-        last = rows > before // 2  # where few bins fill up, as with only long pieces, further rounds gain little
     if not done:
-        return left.select(*columns, "sequence_id", "offset")
-    return functools.reduce(DataFrame.unionByName, done)
+        done.append(left)
+    return functools.reduce(DataFrame.unionByName, done).select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:

@@ -152,6 +152,29 @@ def test_op2_search_empties_bins():
     assert squares(after) > squares(before) and len(after) == 3 + (sum(lengths) > 3 * 1024)
 
 
+def test_op2_search_takes_all_bins():
+    rng = np.random.default_rng(15)
+    lengths = rng.integers(300, 521, 6000)
+    bins = packing.best_fit(lengths, 1024)
+    n = len(bins)
+    after = packing.swap_search(bins, lengths, 1024)
+    assert sorted(i for b in after for i in b) == list(range(6000)) and all(lengths[b].sum() <= 1024 for b in after)
+    assert len(after) <= 0.985 * n
+
+
+def test_op2_rounds_go_on_while_sequences_fall(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    lengths = rng.integers(300, 521, 3000).tolist()
+    made = []
+    monkeypatch.setattr(packing, "_assign", lambda *args, real=packing._assign: made.append(args) or real(*args))
+    packed = packing.pack(spark.createDataFrame([(n,) for n in lengths], "length long"), group_rows=300).collect()
+    held = defaultdict(int)
+    for r in packed:
+        held[r.sequence_id] += r.length
+    assert Counter(r.length for r in packed) == Counter(lengths) and max(held.values()) <= 1024
+    assert len(made) > 2
+
+
 # 3. Chat
 
 
