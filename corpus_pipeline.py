@@ -26,7 +26,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id stays; rows that repeat one id count as one.
+    """Of each group of near copies, the row of the smallest id and text stays; rows without an id come last.
 
     Documents without words are near copies of each other.
     """

@@ -441,15 +441,22 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SIMILAR_WORDS) -> DataFrame:
-    """One row of each group of similar texts, with all its columns: one of the smallest id; rows without an id stay.
+    """One row of each group of similar texts, with all its columns: the one of the smallest id and text.
 
-    Of rows that repeat an id, the one with the smallest text stays. Only ids are moved, unless ids repeat.
+    Rows are told apart by id and text, so those that repeat an id may lie in different groups. A row without an id
+    stays only if no row of its group has one. Only ids and hashes are moved, unless rows of a first id repeat.
     """
-    groups = similar_groups(docs, id, text, similarity, width).where("doc_id IS NOT NULL")
-    gone = groups.groupBy("doc_id").agg(F.min("component_id").alias("first")).where("first < doc_id").select(F.col("doc_id").alias("_gone"))
-    rest = docs.join(gone, docs[id].cast("long") == gone["_gone"], "left_anti")
-    repeats = common.settle(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_repeated")))
-    if repeats.isEmpty():
-        return rest
-    first = W.Window.partitionBy(id).orderBy(F.asc_nulls_first(text), *(c for c in sorted(docs.columns) if c not in (id, text)))
-    return rest.withColumn("_row", F.row_number().over(first)).where(F.col("_row").eqNullSafe(1) | F.col(id).isNull()).drop("_row")
+    rows = _similar_rows(docs, id, text, similarity, width, RUN_ROWS)
+    rows = common.settle(rows.groupBy("doc_id", "text_hash").agg(F.first("component").alias("group"), F.first("component_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    leads = F.col("doc_id").eqNullSafe(F.col("first"))
+    gone = rows.where(~leads).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    several = rows.where(leads).groupBy("group").agg(F.sum("n").alias("rows")).where("rows > 1")
+    several = common.settle(rows.where(leads).join(several, "group").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("group").alias("_group")))
+    is_row = lambda found: docs[id].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_hash"])
+    if several.isEmpty():
+        return docs.join(gone, is_row(gone), "left_anti")
+    others = gone.unionByName(several.drop("_group"))
+    alone = docs.join(others, is_row(others), "left_anti")
+    order = W.Window.partitionBy("_group").orderBy(F.asc_nulls_first(text), *(c for c in sorted(docs.columns) if c not in (id, text)))
+    first = docs.join(several, is_row(several)).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return alone.unionByName(first.select(*docs.columns))

@@ -352,6 +352,13 @@ def test_keep_first(spark):
     assert simhash.keep_first(H.empty(spark)).count() == 0
 
 
+def test_keep_first_decides_by_row(spark):
+    x, y, z, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyzv")
+    rows = [(1, x), (1, y), (2, y), (None, y), (None, z), (None, z), (3, v + " w"), (3, v), (3, v), (4, v)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, x), (1, y), (None, z), (3, v)])
+
+
 # 5. Toxicity
 
 
