@@ -2,7 +2,8 @@
 
 A weak part proves nothing by itself: an identifier, a random-looking string, an endpoint. Parts are joined by
 interval within a scope (a paragraph): two parts of complementary roles at most REACH code points apart report
-each other. The join is a sweep over a text's spans by start, so a text costs time in proportion to its spans.
+each other. The join is a sweep over a text's spans by start with the furthest end so far, so that a part finds a
+complement wherever one lies in reach, and a text costs time in proportion to its length and spans.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,15 +30,19 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 
 BASE = ("assign", "access", "hex")
-#: Weak parts, by kind: the pattern, the role, and the roles that complement it.
 IDENTIFIER, SECRET, ENDPOINT = "identifier", "secret", "endpoint"
+WEAK_ID = re.compile(r"\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}+\b|\b(?:client_id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,}")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+URL = re.compile(r"\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>]{4,}")
+#: Ends of service hosts; the host is what its characters reach back to.
+HOST_END = re.compile(r"\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)(?![a-z0-9-])")
+HOST = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
+#: Of each weak kind: the role, the roles that complement it, and what a text must hold for one to be there.
 WEAK = {
-    "weak_id": (re.compile(r"\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}\b|\b(?:client_id|account|user(?:name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,}"), IDENTIFIER, (SECRET,)),
-    "weak_secret": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"), SECRET, (IDENTIFIER, ENDPOINT)),
-    "endpoint": (re.compile(r"\b(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>]{4,}|\b(?:[a-z0-9-]+\.)+(?:amazonaws\.com|core\.windows\.net|googleapis\.com)\b"), ENDPOINT, (SECRET,)),
+    "weak_id": (IDENTIFIER, (SECRET,), ("ASIA", "AIDA", "AROA", ":", "=")),
+    "weak_secret": (SECRET, (IDENTIFIER, ENDPOINT), ("",)),
+    "endpoint": (ENDPOINT, (SECRET,), ("://", ".amazonaws.com", ".windows.net", ".googleapis.com")),
 }
-#: What a text must hold for a weak part to be there.
-NEEDED = {"weak_id": ("ASIA", "AIDA", "AROA", ":", "="), "endpoint": ("://", ".amazonaws.com", ".windows.net", ".googleapis.com")}
 KINDS = (*BASE, *WEAK)
 #: Roles that base spans play for the weak ones.
 BASE_ROLE = {"assign": SECRET, "access": IDENTIFIER, "hex": SECRET}
@@ -76,39 +82,69 @@ def _random_looking(text: str) -> bool:
     return any(c.isdigit() for c in body) and any(c.islower() for c in body) and any(c.isupper() for c in body) and entropy(body) >= LEAST_ENTROPY
 
 
+def hosts(text: str) -> list[tuple[int, int]]:
+    """Where names of services stand. Each character is looked at a bounded number of times."""
+    found: list[tuple[int, int]] = []
+    for m in HOST_END.finditer(text):
+        limit = found[-1][1] if found else 0
+        start = m.start()
+        while start > limit and text[start - 1] in HOST:
+            start -= 1
+        if found and start == limit and text[start] in HOST:
+            found[-1] = (found[-1][0], m.end())  # it goes on from the one before
+            continue
+        while text[start] in ".-" and start < m.start():
+            start += 1
+        if start < m.start():
+            found.append((start, m.end()))
+    return found
+
+
+def weak_parts(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all weak parts, linked or not."""
+    there = {kind for kind, (_, _, needed) in WEAK.items() if any(part in text for part in needed)}
+    out = [("weak_id", m.start(), m.end()) for m in WEAK_ID.finditer(text)] if "weak_id" in there else []
+    out += [("weak_secret", m.start(), m.end()) for m in WEAK_SECRET.finditer(text) if _random_looking(m[0])]
+    if "endpoint" in there:
+        urls = [(m.start(), m.end()) for m in URL.finditer(text)]
+        starts = [a for a, _ in urls]
+        out += [("endpoint", a, b) for a, b in urls]
+        for a, b in hosts(text):
+            k = bisect_left(starts, b)
+            if not k or urls[k - 1][1] <= a:  # not within a URL
+                out.append(("endpoint", a, b))
+    return out
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """The weak parts that have a complement within REACH in their scope; those that overlap a base span are not parts."""
-    weak: list[tuple[Span, str]] = []
     edges = sorted((s.start, s.end) for s in base)
     starts = [a for a, _ in edges]
-    furthest = []
-    for _, b in edges:
-        furthest.append(max(b, furthest[-1] if furthest else 0))
-    for kind, (pattern, role, _) in WEAK.items():
-        if not any(part in text for part in NEEDED.get(kind, ("",))):
-            continue
-        for m in pattern.finditer(text):
-            k = bisect_left(starts, m.end())
-            if (not k or furthest[k - 1] <= m.start()) and (kind != "weak_secret" or _random_looking(m[0])):
-                weak.append((Span(kind, m.start(), m.end()), role))
+    furthest = list(accumulate((b for _, b in edges), max))
+    weak = []
+    for kind, a, b in weak_parts(text):
+        k = bisect_left(starts, b)
+        if not k or furthest[k - 1] <= a:
+            weak.append(Span(kind, a, b))
     if not weak:
         return []
     scopes = [m.start() for m in SCOPE_END.finditer(text)]
-    by_role: dict[str, list[Span]] = {IDENTIFIER: [], SECRET: [], ENDPOINT: []}
-    for s, role in [*weak, *((s, BASE_ROLE[s.kind]) for s in base)]:
-        by_role[role].append(s)
+    by_role: dict[str, list[tuple[int, int, int]]] = {IDENTIFIER: [], SECRET: [], ENDPOINT: []}
+    for s in (*weak, *base):
+        by_role[WEAK[s.kind][0] if s.kind in WEAK else BASE_ROLE[s.kind]].append((bisect_right(scopes, s.start), s.start, s.end))
     ends = {}
     for role, spans in by_role.items():
-        spans.sort(key=lambda s: (s.start, s.end))
-        ends[role] = ([s.start for s in spans], spans)
+        spans.sort()
+        # The furthest end of a scope's spans up to each; scopes come first, so an end of one can't reach the next.
+        reach = accumulate(((scope, end) for scope, _, end in spans), lambda x, y: max(x, y) if x[0] == y[0] else y)
+        ends[role] = ([(scope, start) for scope, start, _ in spans], list(reach))
     out = []
-    for s, _ in weak:
+    for s in weak:
         scope = bisect_right(scopes, s.start)
-        for role in WEAK[s.kind][2]:
-            first, spans = ends[role]
-            k = bisect_left(first, s.start)
-            near = spans[k : k + 1] + spans[max(0, k - 1) : k]  # the nearest after and before; a part isn't its own complement
-            if any(o != s and bisect_right(scopes, o.start) == scope and max(o.start - s.end, s.start - o.end) <= REACH for o in near):
+        for role in WEAK[s.kind][1]:
+            first, reach = ends[role]
+            k = bisect_right(first, (scope, s.end + REACH))
+            if k and reach[k - 1][0] == scope and reach[k - 1][1] >= s.start - REACH:
                 out.append(s)
                 break
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -576,6 +577,48 @@ def test_op8_links_complements_only():
     assert secrets.redacted(f"a {weak} https://db.example.com/x") == "a [SECRET] https://db.example.com/x"
 
 
+def linked_by_all_pairs(text, base):
+    """Each weak part against every other part."""
+    weak = [secrets.Span(*p) for p in secrets.weak_parts(text)]
+    weak = [s for s in weak if not any(b.start < s.end and s.start < b.end for b in base)]
+    scope = lambda s: sum(m.start() <= s.start for m in secrets.SCOPE_END.finditer(text))
+    role = lambda s: secrets.WEAK[s.kind][0] if s.kind in secrets.WEAK else secrets.BASE_ROLE[s.kind]
+    near = lambda s, o: o is not s and role(o) in secrets.WEAK[s.kind][1] and scope(s) == scope(o) and max(o.start - s.end, s.start - o.end) <= secrets.REACH
+    return [s for s in weak if any(near(s, o) for o in [*weak, *base])]
+
+
+def test_op8_links_equal_all_pairs(docs):
+    rng = random.Random(18)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    parts = [lambda: f"secret={token(40)}.{'x' * rng.choice([5, 290, 400])}", lambda: f"user=alice{rng.randrange(99)}", lambda: f"AKIA{token(20).upper()}", lambda: "0123456789abcdef" * rng.choice([2, 3, 30])]
+    parts += [lambda: token(rng.choice([19, 20, 40, 128, 300])), lambda: "https://db.example.com/" + token(5), lambda: "s3-x.eu.amazonaws.com", lambda: "\n \n", lambda: "word " * rng.choice([1, 30, 58, 59, 60, 61, 100]), lambda: f"key={token(30)}==", lambda: "a-.b.googleapis.com.amazonaws.com"]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randint(2, 14))) for _ in range(1500)] + [r.text for r in docs.values() if r.text]
+    texts.append(f"secret={'0123456789abcdef' * 3}.{'x' * 400} user=alice1")
+    linked = 0
+    for t in texts:
+        base = secrets.base_spans(t)
+        want = linked_by_all_pairs(t, base)
+        assert sorted(map(str, secrets.linked_spans(t, base))) == sorted(map(str, want))
+        linked += len(want)
+    assert linked > 1000
+    assert [s.kind for s in secrets.find(f"secret={'0123456789abcdef' * 3}.{'x' * 200} user=alice1")[1]] == ["assign", "hex", "weak_id"]
+
+
+@pytest.mark.parametrize("text", ["a-" * 200_000 + " x.amazonaws.com", "a." * 200_000 + "amazonaws.com", "Ab1" * 150_000 + "===", "user" + " " * 400_000, ".amazonaws.com" * 30_000, "password " * 50_000])
+def test_op8_time_is_linear(text):
+    began = time.perf_counter()
+    secrets.find(text)
+    assert time.perf_counter() - began < 3
+
+
+def test_op8_hosts():
+    text = "a.amazonaws.com, -b-c.d.googleapis.com. .core.windows.net x.amazonaws.com.evil.org x.amazonaws.company"
+    assert [text[a:b] for a, b in secrets.hosts(text)] == ["a.amazonaws.com", "b-c.d.googleapis.com", "x.amazonaws.com"]
+    long_ = "Zz9" + "k3JvQ8mTxR5pLwB2hYcN" * 20
+    assert [s.kind for s in secrets.find(f"https://a.example.com key={long_}")[1]] == ["endpoint", "weak_secret"]
+
+
 # 9. Quality
 
 
