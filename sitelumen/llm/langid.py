@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum, over
 all ways to cut it into pieces, of the product of their probabilities: a forward pass over the word. The
 probabilities are learned by expectation maximisation, whose counts come from forward and backward passes.
-Passes run over many different words at once, position by position; a batch's words are found once each.
+Passes run over many different words at once, position by position; a batch's words are found once each. A word is a
+whole run of letters, however long: sums that leave the range of plain numbers anywhere in a word are made again by logarithms.
 """
 
 from __future__ import annotations
@@ -24,16 +25,14 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Characters of a word that are read together; a longer run of letters is several words.
-WORD_CHARS = 64
-WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
-#: Different words that a pass takes at once, and that a task remembers.
-PASS_WORDS, KEPT_WORDS = 25_000, 600_000
+WORD = re.compile(r"[^\W\d_]+")
+#: Characters of different words that a pass takes at once (a longer word is a pass of its own), and that a task remembers.
+PASS_CHARS, KEPT_CHARS = 200_000, 5_000_000
 EM_ROUNDS = 1
 #: Added to each piece's count; the probability of a letter that no piece covers; what a letter is scaled by.
 EXTRA_COUNT, UNKNOWN, SCALE = 0.05, 1e-7, 12.0
-#: A word whose scaled sum is less in some language is summed again by logarithms: plain sums would lose digits, then all.
-LEAST_SUM = 1e-200
+#: A word with a scaled sum beyond these in some language is summed again by logarithms: plain sums would lose digits, then all.
+LEAST_SUM, MOST_SUM = 1e-200, 1e200
 UNDETERMINED = "und"
 
 
@@ -105,7 +104,7 @@ def pieces(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    """A text's words, lower-case; long runs of letters are cut."""
+    """A text's runs of letters, lower-case."""
     return WORD.findall(text.lower())
 
 
@@ -173,6 +172,13 @@ def backward(lat: Lattice, scaled: np.ndarray) -> np.ndarray:
     return out
 
 
+def beyond(lat: Lattice, sums: np.ndarray) -> np.ndarray:
+    """The words that have a sum outside of [LEAST_SUM, MOST_SUM], or none."""
+    cells = sums[: int(lat.last[-1]) + 1]
+    bad = ~((cells >= LEAST_SUM) & (cells <= MOST_SUM)).all(1)
+    return np.flatnonzero(np.logical_or.reduceat(bad, lat.first))
+
+
 def _log_sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     top = np.maximum.reduceat(values, edges, axis=0)
     top = np.where(np.isfinite(top), top, 0)
@@ -218,18 +224,29 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The log probability of each word in each language."""
         parts = []
-        for i in range(0, len(words), PASS_WORDS):
-            some = words[i : i + PASS_WORDS]
+        for some in _passes(words):
             lat = lattice(some, pieces(self.path))
-            total = forward(lat, self.scaled)[lat.last]
-            with np.errstate(divide="ignore"):
-                parts.append(np.log(total) - (lat.last - lat.first)[:, None] * np.log(SCALE))
-            if len(low := np.flatnonzero((total < LEAST_SUM).any(1))):
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+                ahead = forward(lat, self.scaled)
+                parts.append(np.log(ahead[lat.last]) - (lat.last - lat.first)[:, None] * np.log(SCALE))
+            if len(low := beyond(lat, ahead)):
                 lat = lattice([some[k] for k in low], pieces(self.path))
                 parts[-1][low] = log_forward(lat, self.logs)[lat.last]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.langs)))
 
 
+def _passes(words: list[str]) -> Iterator[list[str]]:
+    """``words`` in turn, of about PASS_CHARS characters or one word."""
+    start, held = 0, 0
+    for i, w in enumerate(words):
+        if i > start and held + len(w) > PASS_CHARS:
+            yield words[start:i]
+            start, held = i, 0
+        held += len(w)
+    if start < len(words):
+        yield words[start:]
+
+
 def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
     """How often each piece is expected in each language, given how often each language has each word.
 
@@ -237,7 +254,6 @@ def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
     """
     langs = len(next(iter(counts.values()))) if counts else 0
     out = np.zeros((len(model.probability), langs))
-    names = list(counts)
 
     def add(lat: Lattice, share: np.ndarray, weight: np.ndarray) -> None:
         for k in range(langs):
@@ -245,16 +261,15 @@ def expected(counts: dict[str, np.ndarray], model: Model) -> np.ndarray:
             some_ = np.flatnonzero(own)
             out[:, k] += np.bincount(lat.piece[some_], share[some_, k % share.shape[1]] * own[some_], len(out))
 
-    for i in range(0, len(names), PASS_WORDS):
-        some = names[i : i + PASS_WORDS]
+    for some in _passes(list(counts)):
         weight = np.stack([counts[w] for w in some])
         lat = lattice(some, pieces(model.path))
-        ahead, behind = forward(lat, model.scaled), backward(lat, model.scaled)
-        low = np.flatnonzero((ahead[lat.last] < LEAST_SUM).any(1))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+            ahead, behind = forward(lat, model.scaled), backward(lat, model.scaled)
+            share = ahead[lat.start] * model.scaled[lat.piece] * behind[lat.end] / ahead[lat.last][lat.word]
+        low = np.union1d(beyond(lat, ahead), beyond(lat, behind))
         rest = weight[low]
         weight[low] = 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = ahead[lat.start] * model.scaled[lat.piece] * behind[lat.end] / ahead[lat.last][lat.word]
         add(lat, share, weight)
         if len(low):
             lat = lattice([some[k] for k in low], pieces(model.path))
@@ -284,9 +299,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
             place = {v: k for k, v in enumerate(model.langs)}
             total = np.zeros((len(model.probability), len(place)))
             seen: dict[str, Counter] = {v: Counter() for v in model.langs}
+            held = 0  # characters read since the last passes
 
             def add() -> None:
-                nonlocal total
+                nonlocal total, held
+                held = 0
                 counts: dict[str, np.ndarray] = {}
                 for v, own in seen.items():
                     for w, n in own.items():
@@ -299,8 +316,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | Non
 
             for batch in common.slices(batches, "text"):
                 for t, v in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                    seen[v].update(words_of(t))
-                if sum(map(len, seen.values())) > KEPT_WORDS // 3:
+                    own, n = seen[v], len(seen[v])
+                    own.update(words := words_of(t))
+                    # Short words count by their number, so that common ones don't end a pass.
+                    held += 8 * (len(own) - n) + sum(len(w) for w in words if len(w) > 64)
+                if held > KEPT_CHARS // 3:
                     add()
             add()
             piece, column = np.nonzero(total)
@@ -328,14 +348,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
-        table = np.zeros((0, len(model.langs)))
+        table, held = np.zeros((0, len(model.langs))), 0
         for batch in common.slices(batches, text):
             each = [words_of(t) if t else [] for t in batch.column(text).to_pylist()]
             each = [w if any(c.isalpha() for x in w for c in x) else [] for w in each]
             fresh = list({w for ws in each for w in ws}.difference(place))
-            if len(place) + len(fresh) > KEPT_WORDS:
+            held += sum(map(len, fresh))
+            if held > KEPT_CHARS:
                 place, table = {}, table[:0]
                 fresh = list({w for ws in each for w in ws})
+                held = sum(map(len, fresh))
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
             table = np.concatenate([table, model.word_scores(fresh)]) if fresh else table
             named, scores = [], []

@@ -1,11 +1,13 @@
 """Each operator against plain Python, on the smallest tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -481,20 +483,55 @@ def test_op7_forward_is_the_sum_over_segmentations():
     assert np.allclose((counts * known.length[:, None]).sum(0), [4 * 2 + 2, 4])
 
 
+def test_op7_runs_of_any_length_count_whole():
+    path = langid.vocabulary_path()
+    known = langid.pieces(path)
+    rng = np.random.default_rng(17)
+    model = langid.Model(["a", "b"], rng.random((len(known.length), 2)) ** 4 / len(known.length) + 1e-12, path)
+    model.probability[-1] = langid.UNKNOWN
+    chances = {}
+
+    def chance(piece):
+        if piece not in chances:
+            there, value = known.find(np.array([langid._hash(piece)], np.uint64))
+            chances[piece] = [Fraction(float(v)) for v in model.probability[value[0]]] if there[0] and value[0] >= 0 else None
+        return chances[piece]
+
+    def brute(word):
+        """Exact sums over all segmentations, in fractions."""
+        sums = [[Fraction(1)] * 2]
+        for end in range(1, len(word) + 1):
+            total = [Fraction(0)] * 2
+            for n in range(1, min(end, int(known.length.max())) + 1):
+                p = chance(word[end - n : end])
+                p = [Fraction(langid.UNKNOWN)] * 2 if p is None and n == 1 else p
+                if p:
+                    total = [t + x * y for t, x, y in zip(total, sums[end - n], p, strict=True)]
+            sums.append(total)
+        return [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+
+    words = ["the" * 70, "x" * 200, "가힣" * 100, "ሀሁሂ" * 30 + "straße" * 30, "the", "a" * 65]
+    assert all(langid.words_of(f"1 {w}, 2") == [w] for w in words)
+    assert np.allclose(model.word_scores(words), [brute(langid.MARK + w) for w in words], rtol=1e-9)
+    counts = langid.expected({w: np.array([1.0, 2.0]) for w in words}, model)
+    assert np.allclose((counts * known.length[:, None]).sum(0), [n * sum(len(w) + 1 for w in words) for n in (1, 2)])
+    assert np.isfinite(model.word_scores(["z" * 5000, "가" * 5000])).all()
+
+
 def test_op7_long_runs_of_unknown_letters(spark, docs):
     path = langid.vocabulary_path()
     known = langid.pieces(path)
-    bare = [c for c in map(chr, range(0xAC00, 0xD7A4)) if not known.find(np.array([langid._hash(c)], np.uint64))[0][0]][:64]
+    bare = [c for c in map(chr, range(0xAC00, 0xD7A4)) if not known.find(np.array([langid._hash(c)], np.uint64))[0][0]][:200]
     run = "".join(bare)
     size = len(known.length)
     model = langid.Model(["a", "b"], np.full((size, 2), 1 / size), path)
     model.probability[-1] = langid.UNKNOWN
     with np.errstate(all="raise", under="ignore", divide="ignore", invalid="ignore"):
         scores = model.word_scores(["the", run, "x"])
-    assert np.isfinite(scores).all() and scores[1, 0] == pytest.approx(np.log(1 / size) + 64 * np.log(langid.UNKNOWN))
+    assert np.isfinite(scores).all() and scores[1, 0] == pytest.approx(np.log(1 / size) + 200 * np.log(langid.UNKNOWN))
     assert np.array_equal(scores[[0, 2]], model.word_scores(["the", "x"]))
     counts = langid.expected({"the": np.array([1.0, 0.0]), run: np.array([2.0, 1.0])}, model)
-    assert np.isfinite(counts).all() and counts[-1] == pytest.approx([128, 64])
+    assert np.isfinite(counts).all() and counts[-1] == pytest.approx([400, 200])
     words = ["yes", "the", "together", run[:20]]
     logs = [langid.log_forward(lat := langid.lattice([w], known), model.logs)[lat.last][0, 0] for w in words]
     assert logs == pytest.approx(model.word_scores(words)[:, 0])
