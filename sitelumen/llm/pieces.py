@@ -5,7 +5,8 @@ pieces of a text's merged form are a path of which each step is allowed: merging
 gives just these two pieces. So a search from left to right finds it: a cell behind each character holds the piece
 that ends there on a surviving path, and a piece may follow a cell's if that pair is allowed.
 No piece is longer than a bound, so only that many cells are live; as soon as all their back pointers meet in one
-boundary, the ids before it are committed and their cells dropped.
+boundary, the ids before it are committed and their cells dropped. Where no piece can go on, every path meets, so a
+text is searched segment by segment, and a segment that a task has searched before is remembered.
 Control pieces are never made from text, and a text's own U+2581 is written as bytes, so decoding is exact.
 """
 
@@ -14,7 +15,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Segments and pairs of pieces that a task remembers; cells between two looks for a common boundary.
-KEPT_SEGMENTS, KEPT_PAIRS, LOOK = 400_000, 1_000_000, 64
+#: Segments, of so many characters at most, and pairs of pieces that a task remembers.
+KEPT_SEGMENTS, KEPT_LENGTH, KEPT_PAIRS = 400_000, 64, 1_000_000
 #: Segments end where no piece goes on: before a space that follows something else and, if no piece holds what FINE_CUT
 #: finds, at line feeds and behind runs of letters. (Superscript digits count as no letters.)
 _LETTER = r"[^\W\d_²³¹]"
@@ -68,7 +68,8 @@ class Codec:
             raise ValueError("pieces must not go on after a space")  # so a segment's beginning is a boundary
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, i in self.id.items():
-            self.automaton.add_word(p, i)
+            if all(c in self.id for c in p):  # others are never merged
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.length = [len(self.text.get(i, "")) for i in range(size)]
         #: Merges by score, best first, and equal scores alike; characters come before all.
@@ -136,65 +137,52 @@ class Codec:
 
     def viterbi(self, text: str) -> Iterator[int]:
         """The ids of ``text``, which begins a path, each as soon as it is sure."""
-        last = {0: -1}  # by cell: the piece that ends there on a surviving path; -1 where a path begins
-        base, upto = 0, 0
+        length, known, size, longest = self.length, self.pairs.get, len(self.data), self.longest
+        # By cell beyond ``base``: the piece that ends there on a surviving path; -1 where a path begins.
+        last = {0: -1}
+        base = upto = 0
 
         def path(cell: int) -> list[int]:
             out = []
             while cell > base:
                 out.append(last[cell])
-                cell -= self.length[last[cell]]
+                cell -= length[last[cell]]
             return out[::-1]
 
-        hits = self.automaton.iter(text)
-        hit = next(hits, None)
-        while upto < len(text):
-            upto += 1
-            while hit is not None and hit[0] == upto - 1:
-                piece = hit[1]
-                before = last.get(upto - self.length[piece])
-                if before is not None and upto not in last and self.allowed(before, piece):
-                    last[upto] = piece
-                hit = next(hits, None)
-            if text[upto - 1] not in self.id:
-                # No piece has this character: a path ends before it and begins behind it.
-                yield from path(upto - 1)
-                yield from (self.byte[b] for b in text[upto - 1].encode("utf-8", "surrogatepass"))
-                base, last = upto, {upto: -1}
-            elif upto - base >= LOOK and not upto % LOOK:
-                live = sorted(c for c in last if c > upto - self.longest)
-                while len(live) > 1:
-                    cell = live.pop()
-                    back = cell - self.length[last[cell]] if cell > base else base
-                    if back not in live:
-                        live = sorted([*live, back])
-                if live and live[0] > base:
-                    yield from path(live[0])
-                    base = live[0]
-                    last = {c: p for c, p in last.items() if c >= base}
+        for at, piece in self.automaton.iter(text):
+            if at >= upto:
+                # A character that no piece has gives no hit: a path ends before it and begins behind it.
+                if at > upto:
+                    yield from path(upto)
+                    yield from self._bytes(text[upto:at])
+                    base, last = at, {at: -1}
+                upto = at + 1
+                if upto - longest > base and (sure := self._common(last, base, upto - longest)) > base:
+                    yield from path(sure)
+                    base, last = sure, {c: p for c, p in last.items() if c >= sure}
+            if upto not in last:
+                before = last.get(upto - length[piece])
+                if before is not None:
+                    allowed = known((before + 1) * size + piece)
+                    if allowed or (allowed is None and self.allowed(before, piece)):
+                        last[upto] = piece
         yield from path(upto)
+        yield from self._bytes(text[upto:])
 
-    def short(self, text: str) -> list[int] | None:
-        """``viterbi`` of a text of one look; None if it has a character that no piece has."""
-        last: list[int | None] = [None] * (len(text) + 1)
-        last[0] = -1
-        length, known, size = self.length, self.pairs.get, len(self.data)
-        for end, piece in self.automaton.iter(text):
-            end += 1
-            if last[end] is None:
-                before = last[end - length[piece]]
-                if before is not None:
-                    sure = known((before + 1) * size + piece)
-                    if sure or (sure is None and self.allowed(before, piece)):
-                        last[end] = piece
-        out, cell = [], len(text)
-        while cell:
-            piece = last[cell]
-            if piece is None:
-                return None
-            out.append(piece)
-            cell -= length[piece]
-        return out[::-1]
+    def _bytes(self, text: str) -> Iterator[int]:
+        return (self.byte[b] for b in text.encode("utf-8", "surrogatepass"))
+
+    def _common(self, last: dict[int, int], base: int, gone: int) -> int:
+        """The last boundary that the paths of all live cells share; those up to ``gone`` are live no more.
+
+        The latest cell steps back along its path until one is left.
+        """
+        live = {c for c in last if c >= gone}
+        while len(live) > 1:
+            cell = max(live)
+            live.remove(cell)
+            live.add(cell - self.length[last[cell]] if cell > base else base)
+        return live.pop() if live else base
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers; none of an empty one."""
@@ -208,10 +196,11 @@ class Codec:
                     known.clear()
                     fresh = set(segments)
                 for segment in fresh:
-                    ids = self.short(segment) if len(segment) <= LOOK else None
-                    ids = list(self.viterbi(segment)) if ids is None else ids
-                    known[segment] = struct.pack(f"<{len(ids)}I", *ids)
+                    known[segment] = np.fromiter(self.viterbi(segment), "<u4").tobytes()
             out.append(b"".join(map(known.__getitem__, segments)))
+            for segment in fresh:
+                if len(segment) > KEPT_LENGTH:
+                    del known[segment]
         return np.array([self.byte[b] for b in MARK.encode()], "<u4").tobytes().join(out)
 
     def encode(self, text: str) -> list[int]:

@@ -727,9 +727,32 @@ def test_op10_window_is_bounded(monkeypatch):
     monkeypatch.setattr(codec, "automaton", Spy())
     text = "thequickbrownfox" * 40
     stream = codec.viterbi(text)
-    first = next(stream)
-    assert read[-1] < 2 * pieces.LOOK  # ids come long before the end is read
-    assert [first, *stream] == [codec.id[p] for p in codec.merged(text)]
+    late, ids, kept = 0, [], []
+    real_common = codec._common
+    monkeypatch.setattr(codec, "_common", lambda last, base, gone: kept.append(len(last)) or real_common(last, base, gone))
+    done = 0
+    for i in stream:
+        ids.append(i)
+        done += codec.length[i]
+        late = max(late, read[-1] - done if read[-1] < len(text) - 1 else 0)
+    assert late <= 3 * codec.longest and max(kept) <= 3 * codec.longest  # ids come long before the end is read
+    assert ids == [codec.id[p] for p in codec.merged(text)]
+
+
+def test_op10_all_ids_come_from_the_search(docs, monkeypatch):
+    codec, made = pieces.Codec(pieces.vocabulary_path()), {}
+
+    def spied(self, text, real=pieces.Codec.viterbi):
+        made[text] = list(real(self, text))
+        return iter(made[text])
+
+    monkeypatch.setattr(pieces.Codec, "viterbi", spied)
+    for r in docs.values():
+        text = (r.text or "").replace("▁", "")
+        ids = codec.encode(text)
+        segments = codec.segment.findall("▁" + text.replace(" ", "▁")) if text else []
+        assert ids == [i for s in segments for i in made[s]]
+    assert codec.encode("") == [] and made
 
 
 def test_op10_round_trip(spark, sf_dir, docs):
