@@ -29,8 +29,6 @@ END_ID = 2
 GROUP_ROWS = 16_384
 #: A bin with at most this many free tokens is left alone by the search and the later rounds.
 CLOSED_FREE = 0
-#: The times that the search goes over all underfull bins.
-SEARCH_PASSES = 8
 
 
 def vocabulary_path() -> str:
@@ -155,10 +153,11 @@ class _Index:
         return None
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = SEARCH_PASSES) -> list[list[int]]:
+def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Move, exchange one for one and two for one among all underfull bins, the emptiest giving first.
 
-    Each step raises the sum of squared fills; a bin gives until it is empty or no step is left for it.
+    Each step raises the sum of squared fills; a bin gives until it is empty or no step is left for it. The passes
+    over all bins end when one makes no step, so no single step betters the result.
     """
     size = lengths.tolist()
     free = [capacity - sum(size[i] for i in b) for b in bins]
@@ -167,7 +166,8 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passe
     for b in range(len(bins)):
         if bins[b] and free[b] > CLOSED_FREE:
             index.add(b, free[b], of(b))
-    for _ in range(passes):
+    stepped = True
+    while stepped:
         stepped = False
         for a in sorted((b for b in range(len(bins)) if bins[b] and free[b] > CLOSED_FREE), key=lambda b: -free[b]):
             if free[a] <= CLOSED_FREE:
@@ -187,8 +187,6 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passe
                     index.add(b, free[b], of(b))
             if bins[a]:
                 index.add(a, free[a], of(a))
-        if not stepped:
-            break
     return [b for b in bins if b]
 
 
@@ -200,8 +198,8 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, bins: list[list[
     return min(swap_search(bins, lengths, capacity), fresh, key=len)
 
 
-def _assign(columns: list[str], length: str, capacity: int, base: int, width: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Packs one group; ``_open`` are the rows of bins that stay underfull."""
+def _assign(columns: list[str], length: str, capacity: int, base: int, width: int, open_name: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Packs one group; ``open_name`` marks the rows of bins that stay underfull."""
 
     def assign(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group[length].to_numpy(np.int64)
@@ -217,7 +215,7 @@ def _assign(columns: list[str], length: str, capacity: int, base: int, width: in
             offsets += [0, *ends[:-1].tolist()]
             open_ += [capacity - int(ends[-1]) > CLOSED_FREE] * len(items)
         out = group.iloc[order][columns]
-        return out.assign(sequence_id=pd.Series(bins, out.index, "Int64"), offset=pd.Series(offsets, out.index, "Int64"), _open=pd.Series(open_, out.index, bool))
+        return out.assign(**{"sequence_id": pd.Series(bins, out.index, "Int64"), "offset": pd.Series(offsets, out.index, "Int64"), open_name: pd.Series(open_, out.index, bool)})
 
     return assign
 
@@ -231,7 +229,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
     until they are one group. Rounds end before that only when one makes no fewer sequences than the round before.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    marks = {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "_open": F.lit(True)}
+    group, open_ = common.free(pieces, "_group", "_open")
+    marks = {"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), open_: F.lit(True)}
     schema = pieces.withColumns(marks).schema
     columns = pieces.columns
     left = common.settle(pieces.withColumns(marks))
@@ -241,17 +240,18 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
         width = 2 * rows + group_rows  # sequences are numbered from base up: by group, and in it by bin
         # Row numbers of a checkpoint are the same at every reading, so a task that runs again gets the same group.
         # Later rounds deal sequences whole and go on from them, so their number never rises.
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("sequence_id", F.monotonically_increasing_id())), F.lit(groups))).repartition(common.wide(left.sparkSession), "_group")
-        packed = common.settle(dealt.groupBy("_group").applyInPandas(_assign(columns, length, capacity, base, width), schema))
-        made, unfilled, rows = packed.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 AND _open")), F.count_if("_open")).first()
+        dealt = left.withColumn(group, F.pmod(F.xxhash64(F.coalesce("sequence_id", F.monotonically_increasing_id())), F.lit(groups))).repartition(common.wide(left.sparkSession), group)
+        packed = common.settle(dealt.groupBy(group).applyInPandas(_assign(columns, length, capacity, base, width, open_), schema))
+        begins = F.col("offset") == 0
+        made, unfilled, rows = packed.agg(F.count_if(begins), F.count_if(begins & F.col(open_)), F.count_if(open_)).first()
         if sequences is not None and made >= sequences:
             done.append(left)  # as the round before packed them
             break
         if groups == 1:
             done.append(packed)
             break
-        done.append(packed.where("NOT _open"))
-        left, sequences = packed.where("_open"), unfilled
+        done.append(packed.where(~F.col(open_)))
+        left, sequences = packed.where(open_), unfilled
         base += groups * width
     if not done:
         done.append(left)

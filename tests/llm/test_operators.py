@@ -1,6 +1,7 @@
 """Each operator against plain Python, on the smallest tables and on awkward rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import struct
@@ -155,6 +156,65 @@ def test_op2_search_empties_bins():
     assert squares(after) > squares(before) and len(after) == 3 + (sum(lengths) > 3 * 1024)
 
 
+def every_step(bins, size, capacity):
+    """(gain in squared fill, giver, taker, given, taken) of all moves and exchanges one for one and two for one."""
+    fill = [sum(size[i] for i in b) for b in bins]
+    for a, given_from in enumerate(bins):
+        for b, taken_from in enumerate(bins):
+            if a != b and bins[a] and bins[b] and fill[a] < capacity and fill[b] < capacity:
+                for given in [(i,) for i in given_from] + list(itertools.combinations(given_from, 2)):
+                    for taken in [(), *((i,) for i in taken_from)]:
+                        d = sum(size[i] for i in given) - sum(size[i] for i in taken)
+                        if d > 0 and fill[b] + d <= capacity:
+                            yield (fill[a] - d) ** 2 + (fill[b] + d) ** 2 - fill[a] ** 2 - fill[b] ** 2, a, b, given, taken
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_op2_no_single_step_is_left(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([16, 40, 100])
+    size = [rng.randint(1, capacity) for _ in range(rng.randint(2, 14))] + [rng.choice([3, 5, 7])] * rng.randint(0, 5)
+    bins = packing.best_fit(np.array(size), capacity) if seed % 2 else [[i] for i in range(len(size))]
+    before = sum(sum(size[i] for i in b) ** 2 for b in bins)
+    after = packing.swap_search([list(b) for b in bins], np.array(size), capacity)
+    assert sorted(i for b in after for i in b) == list(range(len(size))) and len(after) <= len(bins)
+    assert sum(sum(size[i] for i in b) ** 2 for b in after) >= before
+    assert max((g for g, *_ in every_step(after, size, capacity)), default=0) <= 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_op2_best_step_equals_brute_force(seed):
+    rng = random.Random(100 + seed)
+    capacity = 60
+    bins = [b for b in ([rng.randint(1, 12) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(2, 6))) if sum(b) < capacity]
+    free = [capacity - sum(b) for b in bins]
+    a = max(range(len(bins)), key=lambda b: free[b])
+    index = packing._Index(capacity)
+    for b in range(len(bins)):
+        if b != a:
+            index.add(b, free[b], bins[b])
+    step = index.best_step(Counter(bins[a]), free[a])
+    flat = [(b, x) for b, held in enumerate(bins) for x in held]
+    numbered = [[i for i, (b, _) in enumerate(flat) if b == k] for k in range(len(bins))]
+    size = [x for _, x in flat]
+    want = max((sum(size[i] for i in g) - sum(size[i] for i in t) for gain, giver, _, g, t in every_step(numbered, size, capacity) if giver == a and gain > 0 and (len(g) == 1 or t)), default=0)
+    assert (step[0] if step else 0) == want
+
+
+def test_op2_equal_short_pieces_pack_in_seconds():
+    began = time.perf_counter()
+    assert len(packing.pack_lengths(np.full(16_384, 3), 1024)) == 49
+    assert time.perf_counter() - began < 5
+
+
+def test_op2_clashing_columns(spark):
+    rows = spark.createDataFrame([(300, 1, True, "x"), (700, None, None, None), (24, 3, False, "x")], "length long, _group int, _open boolean, offset string")
+    packed = packing.pack(rows)
+    assert packed.columns == ["length", "_group", "_open", "sequence_id", "offset"]
+    assert sorted((r["length"], r["_group"], r["_open"]) for r in packed.collect()) == [(24, 3, False), (300, 1, True), (700, None, None)]
+    assert packed.select("sequence_id").distinct().count() == 1
+
+
 def test_op2_search_takes_all_bins():
     rng = np.random.default_rng(15)
     lengths = rng.integers(300, 521, 6000)
