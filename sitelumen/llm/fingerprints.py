@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ SHINGLE_WORDS = 5
 FRACTION = 1 / 8
 FLOOR = 128
 WHOLE = 1 << 32
-#: Documents in a range of doc_id, the unit that is shuffled and read in order. There are RANGES at most.
-RANGE_ROWS, RANGES = 4096, 20_000
+#: Documents in a range of doc_id, the unit that is shuffled and read in order; several ranges make a partition. There
+#: are RANGES at most.
+RANGE_ROWS, RANGES = 1024, 20_000
 
 Sketch = tuple[int, np.ndarray]
 
@@ -128,8 +130,8 @@ def with_next(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     cuts = np.array(_ranges(rows.select("key"), "key"), np.int64)
 
     @F.pandas_udf("long")
-    def bucket(key):  # noqa: ANN001, ANN202
-        return key.map(lambda k: int(np.searchsorted(cuts, k, "right")))
+    def bucket(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(np.int64), "right"))
 
     dealt = rows.withColumn("bucket", bucket("key"))
     heads = sorted(map(tuple, rows.select("key").withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.max("key").alias("key")).collect()))  # a row a range
@@ -185,5 +187,6 @@ def compare_edited(docs: DataFrame, id: str = "doc_id", text: str = "text", frac
             if pairs:
                 yield compared(pairs)
 
-    dealt = with_next(docs, id, text).repartition(common.wide(docs.sparkSession), "bucket")
+    # Ranges are dealt in turn, so partitions differ by one range at most.
+    dealt = with_next(docs, id, text).repartitionById(common.wide(docs.sparkSession), F.col("bucket").cast("int"))
     return dealt.sortWithinPartitions("bucket", "guest", F.desc_nulls_last("id"), F.asc_nulls_first("text")).mapInArrow(run, EDITED)
