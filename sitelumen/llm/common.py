@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into arrays at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -43,6 +44,15 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows up to which a table of keys or thresholds, counted first, is sent to every executor: some 20 MB.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled ``df``, marked for broadcast if it has SMALL_ROWS rows at most; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def wide(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,14 +22,15 @@ from . import common, wordhash
 LEAST_WORDS, REPEAT_WORDS, MOST_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 
-#: Of each measure: the least spread that its fence allows for.
-MEASURES = {"symbols": 0.1, "capitals": 0.1, "repeats": 0.07, "duplicate_lines": 0.12, "word_length": 4.0}
+#: Of each measure: the least spread that its fence allows for. Of most texts the first, third and fourth are 0, so
+#: their quartiles are too: a share that a fence of least spreads takes in is never an outlier.
+MEASURES = {"symbols": 0.015, "capitals": 0.002, "repeats": 0.01, "duplicate_lines": 0.018, "word_length": 0.05}
 #: A fence stands SPREADS spreads above the upper quantile; a spread is from the middle one to the upper one.
-MIDDLE, UPPER, SPREADS = 0.5, 0.75, 3.0
+MIDDLE, UPPER, SPREADS = 0.5, 0.75, 20.0
 #: Ratio of neighbouring buckets, and the least value that has one of its own; below lies bucket 0.
 GAMMA, TINY = 1.02, 1e-4
-#: Rows below which a group's sketch is merged into its language's, and that into the one of all rows.
-LEAST_ROWS = 200
+#: Rows that a language's quantiles count for beside a group's own, and those of all rows beside a language's.
+PRIOR_ROWS = 200
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters")
 _SPACES = " \t\n\x0b\x0c\r"
@@ -74,25 +75,26 @@ def counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     return out
 
 
-def measured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with the column ``rule``, a struct of the counts and ``base_failed``. No shuffle."""
-    columns = [c for c in docs.columns if c != "rule" and (keep_text or c != text)]
+def measured(docs: DataFrame, text: str = "text", keep_text: bool = True, name: str = "rule") -> DataFrame:
+    """``docs`` with the column ``name``, a struct of the counts and ``base_failed``. No shuffle."""
+    columns = [c for c in docs.columns if c != name and (keep_text or c != text)]
     kept = docs.select(*columns, *([] if keep_text else [text]))
     fields = ", ".join(f"{c}: bigint" for c in _COUNTS)
-    schema = kept.select(*columns).withColumn("rule", F.lit(None).cast(f"struct<{fields}>")).schema
+    schema = kept.select(*columns).withColumn(name, F.lit(None).cast(f"struct<{fields}>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
             made = counts(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.StructArray.from_arrays([pa.array(made[c], pa.int64()) for c in _COUNTS], list(_COUNTS))], [*columns, "rule"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.StructArray.from_arrays([pa.array(made[c], pa.int64()) for c in _COUNTS], list(_COUNTS))], [*columns, name])
 
-    failed = (F.col("rule.n_words") < LEAST_WORDS) | (100 * F.col("rule.n_repeat_words") > MOST_REPEAT_PERCENT * F.col("rule.n_words"))
-    return kept.mapInArrow(run, schema).withColumn("rule", F.col("rule").withField("base_failed", failed))
+    rule = F.col(name)
+    failed = (rule["n_words"] < LEAST_WORDS) | (100 * rule["n_repeat_words"] > MOST_REPEAT_PERCENT * rule["n_words"])
+    return kept.mapInArrow(run, schema).withColumn(name, rule.withField("base_failed", failed))
 
 
-def _measures() -> dict[str, Column]:
-    """Each of MEASURES from ``rule``; null where a text has nothing to measure."""
-    of = lambda a, b: F.try_divide(F.col(f"rule.{a}"), F.col(f"rule.{b}"))
+def _measures(name: str = "rule") -> dict[str, Column]:
+    """Each of MEASURES from the struct ``name``; null where a text has nothing to measure."""
+    of = lambda a, b: F.try_divide(F.col(name)[a], F.col(name)[b])
     return {"symbols": of("n_symbols", "n_words"), "capitals": of("n_capitals", "n_letters"), "repeats": of("n_repeat_words", "n_words"), "duplicate_lines": of("n_dup_lines", "n_lines"), "word_length": of("word_chars", "n_words")}
 
 
@@ -112,43 +114,52 @@ def quantiles(sketch: DataFrame, group: list[str], shares: dict[str, float]) ->
     return run.groupBy(*group, "measure", "rows").agg(*(F.min(F.when(F.col("upto") >= share * F.col("rows"), value)).alias(name) for name, share in shares.items()))
 
 
-def fences(rows: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, fence): the upper fence of each measure, in the order of MEASURES, for each language and source of ``rows``."""
-    sketch = common.settle(sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "rule"), ["lang", "source"]))
+def fences(rows: DataFrame, lang: str = "lang", source: str = "source", rule: str = "rule", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(lang, source, fence): the upper fence of each measure, in the order of MEASURES, for each language and source of ``rows``.
+
+    A group's quantiles are averaged with its language's, which count for ``prior_rows`` rows, and a language's with
+    those of all rows in the same way; so the fewer rows a group has, the more it leans on others.
+    """
+    sketch = common.settle(sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(rule).alias("rule")), ["lang", "source"]))
     shares = {"middle": MIDDLE, "upper": UPPER}
     own = quantiles(sketch, ["lang", "source"], shares)
     wider = quantiles(sketch, ["lang"], shares).select(F.col("lang").alias("l_lang"), "measure", F.struct("rows", "middle", "upper").alias("l"))
     widest = quantiles(sketch, [], shares).select("measure", F.struct("rows", "middle", "upper").alias("a"))
     every = own.join(wider, (own.lang.eqNullSafe(wider.l_lang)) & (own.measure == wider.measure)).drop(wider.measure).join(F.broadcast(widest), "measure")  # widest: a row a measure
-    used = every.withColumn("u", F.when(F.col("rows") >= least_rows, F.struct("rows", "middle", "upper")).when(F.col("l.rows") >= least_rows, F.col("l")).otherwise(F.col("a")))
+    mean = lambda n, x, y: (n * x + prior_rows * y) / (n + prior_rows)
+    of = lambda q: mean(F.col("rows"), F.col(q), mean(F.col("l.rows"), F.col(f"l.{q}"), F.col(f"a.{q}")))
     spread = F.create_map(*(F.lit(x) for k, v in MEASURES.items() for x in (k, v)))
-    fence = F.col("u.upper") + SPREADS * F.greatest(F.col("u.upper") - F.col("u.middle"), spread[F.col("measure")])
-    by_measure = used.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("f"))  # an entry a measure
+    fence = of("upper") + SPREADS * F.greatest(of("upper") - of("middle"), spread[F.col("measure")])
+    by_measure = every.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("f"))  # an entry a measure
     return by_measure.select("lang", "source", F.array(*(F.col("f")[k] for k in MEASURES)).alias("fence"))
 
 
-def judged(rows: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Rows with ``rule`` and, added to it, ``kept``: the base rule held, and no measure is beyond its group's fence.
+def judged(rows: DataFrame, lang: str = "lang", source: str = "source", rule: str = "rule", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """Rows with the struct ``rule`` and, added to it, ``kept``: the base rule held, and no measure is beyond its group's fence.
 
-    ``rows`` is read twice: for the sketches, and to be judged.
+    ``rows`` is read twice: for the sketches, and to be judged. The fences are sent to where the rows are if they are
+    few enough (``common.small``: languages times sources, not documents); otherwise rows are shuffled to meet them.
     """
-    fence = common.settle(fences(rows, lang, source, least_rows)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("fence").alias("_fence"))
-    met = rows.join(fence, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
-    inside = [F.coalesce(v <= F.col("_fence")[k], F.lit(True)) for k, v in enumerate(_measures().values())]
-    kept = ~F.col("rule.base_failed") & F.forall(F.array(*inside), lambda x: x)
-    return met.withColumn("rule", F.col("rule").withField("kept", kept)).drop("_lang", "_source", "_fence")
+    lang_, source_, fence_ = common.free(rows, "_lang", "_source", "_fence")
+    fence = common.small(common.settle(fences(rows, lang, source, rule, prior_rows)).select(F.col("lang").alias(lang_), F.col("source").alias(source_), F.col("fence").alias(fence_)))
+    met = rows.join(fence, F.col(lang).eqNullSafe(F.col(lang_)) & F.col(source).eqNullSafe(F.col(source_)), "left")
+    inside = [F.coalesce(v <= F.col(fence_)[k], F.lit(True)) for k, v in enumerate(_measures(rule).values())]
+    kept = ~F.col(rule)["base_failed"] & F.forall(F.array(*inside), lambda x: x)
+    return met.withColumn(rule, F.col(rule).withField("kept", kept)).drop(lang_, source_, fence_)
 
 
-def rate(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def rate(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row of ``docs``.
 
     Null texts have no words and fail. Null languages and sources are groups of their own. Repeated rows stay.
     """
     plain = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     rows = common.settle(measured(plain, keep_text=False))
-    return judged(rows, least_rows=least_rows).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in (*_COUNTS[:5], "base_failed", "kept")))
+    return judged(rows, prior_rows=prior_rows).select("doc_id", *(F.col(f"rule.{c}").alias(c) for c in (*_COUNTS[:5], "base_failed", "kept")))
 
 
-def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns that they had. Texts aren't shuffled where the fences can be broadcast."""
-    return judged(measured(docs, text), lang, source, least_rows).where("rule.kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns that they had."""
+    (rule,) = common.free(docs, "rule")
+    rows = measured(docs, text, name=rule)
+    return judged(rows, lang, source, rule, prior_rows).where(F.col(rule)["kept"]).select(*docs.columns)

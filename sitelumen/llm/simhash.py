@@ -239,9 +239,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
     Equal fingerprints are one node, so copies cost nothing beyond the first.
     """
     found = common.settle(with_fingerprint(docs, id, text))
-    nodes = common.settle(found.groupBy("bits").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    joined = components(near(nodes, radius))
-    named = nodes.join(joined, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
+    nodes = found.groupBy("bits").agg(F.min("doc_id").alias("id"))
+    nodes = common.settle(nodes.withColumn("node", F.monotonically_increasing_id()))
+    links = components(near(nodes.select("bits", "node"), radius))
+    named = common.settle(nodes.join(links, "node", "left").select("bits", "id", F.coalesce("component", "node").alias("component")))
+    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(ids, "component").select("bits", "component_id")
     return found.join(named, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -444,19 +447,24 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similari
     """One row of each group of similar texts, with all its columns: the one of the smallest id and text.
 
     Rows are told apart by id and text, so those that repeat an id may lie in different groups. A row without an id
-    stays only if no row of its group has one. Only ids and hashes are moved, unless rows of a first id repeat.
+    stays only if no row of its group has one. The ids and hashes of the rows that go are sent to where the rows are,
+    if they are few enough (``common.small``); otherwise rows are shuffled once to meet them.
     """
     rows = _similar_rows(docs, id, text, similarity, width, RUN_ROWS)
     rows = common.settle(rows.groupBy("doc_id", "text_hash").agg(F.first("component").alias("group"), F.first("component_id").alias("first"), F.count(F.lit(1)).alias("n")))
     leads = F.col("doc_id").eqNullSafe(F.col("first"))
-    gone = rows.where(~leads).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    id_, hash_, group, row = common.free(docs, "_id", "_hash", "_group", "_row")
+    keys = [F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)]
+    gone = rows.where(~leads).select(*keys)
     several = rows.where(leads).groupBy("group").agg(F.sum("n").alias("rows")).where("rows > 1")
-    several = common.settle(rows.where(leads).join(several, "group").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("group").alias("_group")))
-    is_row = lambda found: docs[id].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_hash"])
+    several = common.settle(rows.where(leads).join(several, "group").select(*keys, F.col("group").alias(group)))
+    is_row = lambda found: docs[id].cast("long").eqNullSafe(found[id_]) & (F.xxhash64(docs[text]) == found[hash_])
     if several.isEmpty():
+        gone = common.small(common.settle(gone))
         return docs.join(gone, is_row(gone), "left_anti")
-    others = gone.unionByName(several.drop("_group"))
+    others = common.small(common.settle(gone.unionByName(several.drop(group))))
     alone = docs.join(others, is_row(others), "left_anti")
-    order = W.Window.partitionBy("_group").orderBy(F.asc_nulls_first(text), *(c for c in sorted(docs.columns) if c not in (id, text)))
-    first = docs.join(several, is_row(several)).withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    order = W.Window.partitionBy(group).orderBy(F.asc_nulls_first(text), *(F.col(f"`{c}`") for c in sorted(docs.columns) if c not in (id, text)))
+    few = common.small(several)
+    first = docs.join(few, is_row(few)).withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return alone.unionByName(first.select(*docs.columns))

@@ -318,6 +318,12 @@ def test_op4_awkward(spark):
     assert simhash.near_copies(H.empty(spark)).count() == 0
 
 
+def test_op4_rows_without_an_id_link_too(spark, monkeypatch):
+    found = spark.createDataFrame([(7, 0b0), (None, 0b11), (5, 0b1111), (None, 1 << 40 | 0xFF00), (9, -1)], "doc_id long, bits long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *args: found)
+    assert [(r.doc_id, r.component_id) for r in sorted(simhash.near_copies(found).collect(), key=lambda r: r.fingerprint)] == [(7, 5), (None, 5), (5, 5), (None, None), (9, 9)]
+
+
 @pytest.mark.parametrize("run_rows", [4, 10_000])
 def test_op4_loses_no_link(spark, run_rows):
     rng = random.Random(3)
@@ -759,6 +765,71 @@ def test_op9_sketch_quantiles_and_groups(spark):
     assert {(r.lang, r.source) for r in quality.fences(rows).collect()} == {(l, s) for l in ("en", None) for s in "ab"}
 
 
+def test_op9_fences_follow_the_data(spark):
+    """The fences of sketches against quantiles of all values; the fewer rows, the more a group leans on its language."""
+    rng = random.Random(19)
+    values = [("en", "wide", rng.lognormvariate(-3, 0.5)) for _ in range(4000)] + [("en", "narrow", rng.gauss(0.05, 0.002)) for _ in range(4000)] + [("de", "few", rng.gauss(0.09, 0.001)) for _ in range(10)]
+    rows = spark.createDataFrame([(l, s, int(10_000 * max(v, 0))) for l, s, v in values], "lang string, source string, c long").selectExpr("lang", "source", "struct(0L AS n_symbols, 10L AS n_words, c AS n_capitals, 10000L AS n_letters, 0L AS n_repeat_words, 0L AS n_dup_lines, 1L AS n_lines, 50L AS word_chars) AS rule")
+    got = {(r.lang, r.source): r.fence[1] for r in quality.fences(rows).collect()}
+    at = lambda own, q: sorted(own)[math.ceil(q * len(own)) - 1]
+    k = quality.PRIOR_ROWS
+
+    def lean(lang, source, q):
+        every, of, own = [v for *_, v in values], [v for l, _, v in values if l == lang], [v for l, s, v in values if (l, s) == (lang, source)]
+        wider = (len(of) * at(of, q) + k * at(every, q)) / (len(of) + k)
+        return (len(own) * at(own, q) + k * wider) / (len(own) + k)
+
+    for key, fence in got.items():
+        middle, upper = lean(*key, 0.5), lean(*key, 0.75)
+        assert fence == pytest.approx(upper + quality.SPREADS * max(upper - middle, quality.MEASURES["capitals"]), rel=0.1)
+    assert got["en", "wide"] > 3 * got["en", "narrow"]
+
+
+# Columns of a user
+
+
+def test_columns_of_a_user_stay(spark):
+    """Operators that add to a table leave the columns that it had, whatever their names."""
+    names = ["rule", "_lang", "_source", "_fence", "_group", "_row", "_id", "_hash", "_toxicity", "_open", "bits", "node", "component", "bucket", "key", "Fingerprint2", "ids2"]
+    words = [" ".join(f"w{(7 * i + j) % 97}" for j in range(40)) for i in range(6)]
+    rows = [(i, t, "en", "s", *[f"{n}{i}" for n in names]) for i, t in enumerate([*words, words[0], None, ""])]
+    rows += [(3, words[3], "en", "s", *[f"{n}x" for n in names])]  # an id and a text again, so rows are told apart by all columns
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    want = {tuple(r) for r in docs.collect()}
+    few = lambda df: {tuple(r) for r in df.select(docs.columns).collect()}
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and few(kept) == {r for r in want if r[1]}
+    first = simhash.keep_first(docs)
+    assert first.columns == docs.columns and few(first) <= want and sorted(r[0] for r in few(first)) == [0, 1, 2, 3, 4, 5, 7]
+    assert few(secrets.redact(docs)) == want
+    classifier = toxicity.Classifier({}, np.zeros(0), 0.0)
+    assert few(toxicity.score(docs, classifier)) == want and few(langid.predict(docs, langid.Model([], np.zeros((len(langid.pieces(langid.vocabulary_path()).length), 0)), langid.vocabulary_path()))) == want
+    assert few(pieces.decode(pieces.encode(docs))) == want
+    assert {(r.doc_id, r.rule) for r in fingerprints.fingerprint(docs).collect()} == {(r[0], r[4]) for r in want}
+    for q in (fingerprints.compare_edited, packing.pack_documents, simhash.near_copies, langid.identify, secrets.scan, quality.rate, pieces.round_trip, sharding.shard):
+        assert q(docs).count() == len(rows), q
+    assert toxicity.toxicity(docs, spark.createDataFrame([(1, 1, "x")], "doc_id long, toxic int, score string")).count() == len(rows)
+
+
+@pytest.mark.parametrize("long_", ["many words here " * 80_000, "x" * 100_000, "a line of text\n" * 80_000])
+def test_texts_of_a_megabyte(spark, long_):
+    """One very long text among short ones goes through every operator whole."""
+    texts = ["a few plain words", long_, None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    check_edited(fingerprints.compare_edited(docs).collect(), [(2, None), (1, long_), (0, texts[0])])
+    check_packed(packing.pack_documents(docs).collect(), list(enumerate(texts)))
+    assert {r.doc_id for r in simhash.near_copies(docs).collect()} == {0, 1, 2}
+    check_quality(quality.rate(docs).collect(), list(enumerate(texts)))
+    check_secrets(secrets.scan(docs).collect(), list(enumerate(texts)))
+    check_shards(sharding.shard(docs).collect(), list(enumerate(texts)), even=False)
+    assert all(r.exact for r in pieces.round_trip(docs).collect())
+    assert {r.doc_id for r in toxicity.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).collect()} == {0, 1, 2}
+    assert {r.lang_pred for r in langid.identify(docs).collect()} <= {"en", "und"}
+    turns = docs.selectExpr("1L AS conv_id", "doc_id AS turn", "'user' AS role", "text")
+    assert chat.read_back(chat.format_turns(turns)).first().turns_sha256 == digest([("user", t or "") for t in texts])[1]
+    assert simhash.keep_first(docs).count() == 3
+
+
 # 10. Pieces
 
 
