@@ -26,8 +26,8 @@ from . import common
 
 #: Labelled rows of each class that terms and the classifier are fitted on at most: those of the lowest hashed ids.
 SAMPLE_ROWS = 20_000
-#: Terms of the classifier at most, and toxic sample rows that must hold one.
-TERMS, LEAST_DOCS = 20_000, 5
+#: Toxic sample rows that must hold a term of the classifier.
+LEAST_DOCS = 5
 #: Log ratio of document shares from which a term is a lexicon's; lexicons.
 LEXICON_RATIO, LEXICONS = 2.5, 4
 #: Word beginnings that are terms of their own.
@@ -48,24 +48,60 @@ PRIOR_SHARE, RIDGE = 0.6, 3e-4
 
 WORD = re.compile(r"[^\W\d_]+")
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
-SPELLED = re.compile(r"[^\W_]*[0-9@$][^\W_]*[^\W\d_][^\s]*")
+#: Letters, a digit or sign among them, and what follows up to a space. Each run of letters is read once.
+SPELLED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0-9@$]\S*+")
+#: Words whose terms a task remembers.
+KEPT_WORDS = 500_000
 TOXIC, CLEAN, ABSTAIN = 2, 1, 0
 
 
-def terms_of(text: str, known: Container[str] | None = None) -> set[str]:
-    """A text's terms, of ``known`` if given: lower-case words; those that are dense in it, marked by an exclamation
-    mark; and the beginnings of longer words that are dense in it, marked by a star. (A beginning that isn't dense
-    proves little: long texts, and other languages, hold it by chance.)"""
+def _counted(text: str) -> tuple[Counter, float]:
+    """A text's words with their counts, and from how many on a term is dense."""
     words = WORD.findall(text.lower())
-    counts = Counter(words)
+    return Counter(words), max(2, len(words) / DENSE_WORDS)
+
+
+def terms_of(text: str) -> set[str]:
+    """A text's terms: lower-case words; those that are dense in it, marked by an exclamation mark; and the beginnings
+    of longer words that are dense in it, marked by a star. (A beginning that isn't dense proves little: long texts,
+    and other languages, hold it by chance.)"""
+    counts, least = _counted(text)
     starts: Counter = Counter()
     for n in BEGINNINGS:
         for w, k in counts.items():
             if len(w) > n:
                 starts[w[:n] + "*"] += k
-    least = max(2, len(words) / DENSE_WORDS)
-    found = counts.keys() | {w + "!" for w, k in counts.items() if k >= least} | {w for w, k in starts.items() if k >= least}
-    return found if known is None else {t for t in found if t in known}
+    return counts.keys() | {w + "!" for w, k in counts.items() if k >= least} | {w for w, k in starts.items() if k >= least}
+
+
+class Known:
+    """Finds those of a text's terms that are known. Most words have none, which is remembered by word."""
+
+    def __init__(self, terms: Container[str]) -> None:
+        self.terms, self.seen = terms, {}
+
+    def _of(self, w: str) -> tuple[bool, bool, list[str]] | None:
+        starts = [w[:n] + "*" for n in BEGINNINGS if len(w) > n and w[:n] + "*" in self.terms]
+        own = w in self.terms, w + "!" in self.terms, starts
+        return own if any(own) else None
+
+    def terms_of(self, text: str) -> set[str]:
+        """``terms_of(text)`` as far as they are known."""
+        if len(self.seen) > KEPT_WORDS:
+            self.seen.clear()
+        counts, least = _counted(text)
+        seen, found, starts = self.seen, set(), Counter()
+        for w, k in counts.items():
+            if w not in seen:
+                seen[w] = self._of(w)
+            if own := seen[w]:
+                if own[0]:
+                    found.add(w)
+                if own[1] and k >= least:
+                    found.add(w + "!")
+                for t in own[2]:
+                    starts[t] += k
+        return found | {t for t, k in starts.items() if k >= least}
 
 
 def is_training(id: str, folds: int = 5) -> Column:
@@ -87,21 +123,27 @@ def label_sample(labels: DataFrame, rows: int = SAMPLE_ROWS, id: str = "doc_id",
     return both.select("doc_id", "toxic", F.greatest(F.lit(1.0), F.col("all") / rows).alias("weight"))
 
 
-def _term_counts(texts: DataFrame, only: set[str] | None) -> DataFrame:
-    """(term, docs): the texts that hold each term, of ``only`` if given."""
+def _term_counts(sample: DataFrame) -> DataFrame:
+    """(term, toxic, clean): the texts of each class that hold each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                counts.update(terms_of(t or "", only))
-            if len(counts) > 300_000:
-                yield pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.int64())})
-                counts.clear()
-        if counts:
-            yield pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.int64())})
+        counts = Counter(), Counter()
 
-    return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
+        def told() -> pa.RecordBatch:
+            terms = list(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[c][t] for t in terms], pa.int64()) for c in (1, 0))], ["term", "toxic", "clean"])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in common.slices(batches, "text"):
+            for t, c in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                counts[c].update(terms_of(t or ""))
+            if len(counts[0]) + len(counts[1]) > 300_000:
+                yield told()
+        yield told()
+
+    return sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 @dataclass
@@ -113,24 +155,24 @@ class Terms:
     lexicon: dict[str, int]
 
 
-def _surprise(n: int, m: int, ones: int, zeros: int) -> float:
-    """The root of the likelihood ratio statistic of n of ``ones`` against m of ``zeros``."""
-    share = (n + m) / (ones + zeros)
-    return math.sqrt(max(0.0, 2 * sum(k * math.log(k / (share * size)) for k, size in ((n, ones), (m, zeros)) if k)))
-
-
 def find_terms(sample: DataFrame) -> Terms:
-    """From (text, toxic): terms of at least LEAST_DOCS toxic texts, the TERMS of the largest ratio."""
+    """From (text, toxic): the terms of at least LEAST_DOCS toxic texts whose share differs enough between the classes.
+
+    The root of the likelihood ratio statistic counts as standard errors. What reaches the driver are the terms that
+    pass; the sample is bounded, so they are.
+    """
     size = {int(c): n for c, n in sample.groupBy("toxic").count().collect()}
     ones, zeros = size.get(1, 0), size.get(0, 0)
-    seen = _term_counts(sample.where("toxic = 1"), None).where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "term").limit(5 * TERMS)
-    toxic = {r.term: r.docs for r in seen.collect()}  # 5 * TERMS rows at most
-    clean = {r.term: r.docs for r in _term_counts(sample.where("toxic = 0"), set(toxic)).collect()} if toxic else {}
-    ratio = {t: float(np.log((n + EXTRA_DOCS) / (ones + 2 * EXTRA_DOCS)) - np.log((clean.get(t, 0) + EXTRA_DOCS) / (zeros + 2 * EXTRA_DOCS))) for t, n in toxic.items()}
-    surely = {t: _surprise(n, clean.get(t, 0), ones, zeros) for t, n in toxic.items()}
-    kept = sorted((t for t in ratio if abs(ratio[t]) >= LEAST_RATIO and surely[t] >= LEAST_SPREADS), key=lambda t: (-abs(ratio[t]), t))[:TERMS]
-    strong = sorted((t for t in kept if ratio[t] >= LEXICON_RATIO), key=lambda t: (-toxic[t], t))
-    return Terms({t: i for i, t in enumerate(kept)}, np.array([ratio[t] for t in kept]), {t: i % LEXICONS for i, t in enumerate(strong)})
+    n, m = F.col("toxic"), F.col("clean")
+    share = (n + m) / (ones + zeros)
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (share * of))).otherwise(0.0)
+    found = _term_counts(sample).where(n >= LEAST_DOCS).withColumns({
+        "ratio": F.log((n + EXTRA_DOCS) / (ones + 2 * EXTRA_DOCS)) - F.log((m + EXTRA_DOCS) / (zeros + 2 * EXTRA_DOCS)),
+        "spreads": F.sqrt(F.greatest(F.lit(0.0), 2 * (part(n, ones) + part(m, zeros)))),
+    })
+    kept = sorted(found.where((F.abs("ratio") >= LEAST_RATIO) & (F.col("spreads") >= LEAST_SPREADS)).collect(), key=lambda r: (-abs(r.ratio), r.term))
+    strong = sorted((r for r in kept if r.ratio >= LEXICON_RATIO), key=lambda r: (-r.toxic, r.term))
+    return Terms({r.term: i for i, r in enumerate(kept)}, np.array([r.ratio for r in kept]), {r.term: i % LEXICONS for i, r in enumerate(strong)})
 
 
 VOTERS = [*(f"lexicon{k}" for k in range(LEXICONS)), "beginnings", "density", "spelling", "nothing"]
@@ -143,7 +185,7 @@ def votes(text: str, terms: Terms, found: set[str]) -> tuple[int, ...]:
     out = [TOXIC if k in hit else ABSTAIN for k in range(LEXICONS)]
     out.append(TOXIC if any(t[-1] == "*" for t in strong) else ABSTAIN)
     out.append(TOXIC if any(t[-1] == "!" for t in strong) else ABSTAIN)
-    spelled = {m.lower().translate(LOOKALIKE) for m in SPELLED.findall(text)} if text else set()
+    spelled = {m.lower().translate(LOOKALIKE) for m in SPELLED.findall(text) if any(map(str.isalpha, m))}
     out.append(TOXIC if any(w in terms.lexicon for m in spelled for w in WORD.findall(m)) else ABSTAIN)
     out.append(ABSTAIN if strong else CLEAN)
     return tuple(out)
@@ -245,12 +287,11 @@ def fit_classifier(rows: list[list[int]], target: np.ndarray, weight: np.ndarray
 
 def _vote_patterns(docs: DataFrame, terms: Terms) -> DataFrame:
     """(pattern, docs): the training documents with each pattern of votes."""
-    known = terms.number.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts.update(code(votes(t or "", terms, terms_of(t or "", known))) for t in batch.column("text").to_pylist())
+        counts, known = Counter(), Known(terms.number)
+        for batch in common.slices(batches, "text"):
+            counts.update(code(votes(t or "", terms, known.terms_of(t or ""))) for t in batch.column("text").to_pylist())
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
 
     return docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("docs"))
@@ -258,12 +299,12 @@ def _vote_patterns(docs: DataFrame, terms: Terms) -> DataFrame:
 
 def _sample_rows(sample: DataFrame, terms: Terms) -> DataFrame:
     """(terms, pattern, toxic, weight) of the sample's texts."""
-    known = terms.number.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known = Known(terms.number)
+        for batch in common.slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [terms_of(t, known) for t in texts]
+            found = [known.terms_of(t) for t in texts]
             rows = [sorted(terms.number[t] for t in f) for f in found]
             pattern = [code(votes(t, terms, f)) for t, f in zip(texts, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(pattern, pa.int64()), batch.column("toxic"), batch.column("weight")], ["terms", "pattern", "toxic", "weight"])
@@ -274,12 +315,14 @@ def _sample_rows(sample: DataFrame, terms: Terms) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """A classifier of texts. Labels are read from training rows only, and of those, from the sample.
 
-    Votes are counted over all training documents. Without labels of both classes, every score is the share of
-    toxic labels (a half if there are none).
+    Votes are counted over all training documents. Of rows that repeat a sampled id, one is taken into the sample, that
+    of the smallest text hash. Without labels of both classes, every score is the share of toxic labels (a half if
+    there are none).
     """
     chosen = common.settle(label_sample(labels, sample_rows, id, label))
     own = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sample = common.settle(own.join(F.broadcast(chosen), "doc_id"))  # 2 * SAMPLE_ROWS rows of numbers at most
+    met = own.join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE_ROWS rows of numbers at most
+    sample = common.settle(met.groupBy("doc_id", "toxic", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
     terms = find_terms(sample)
     rows = _sample_rows(sample, terms).toPandas()  # bounded as the sample is
     if not len(rows) or rows.toxic.nunique() < 2:
@@ -300,13 +343,13 @@ def score(docs: DataFrame, classifier: Classifier, text: str = "text", name: str
 
     A column of that name is replaced; all others, and repeated rows, stay.
     """
-    known = classifier.number.keys()
     columns = [c for c in docs.columns if c != name]
     schema = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [classifier.score(terms_of(t, known) if t else set()) for t in batch.column(text).to_pylist()]
+        known = Known(classifier.number)
+        for batch in common.slices(batches, text):
+            made = [classifier.score(known.terms_of(t) if t else set()) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(made, pa.float64())], [*columns, name])
 
     return docs.select(*columns).mapInArrow(run, schema)

@@ -477,6 +477,75 @@ def test_op5_label_model_weighs_voters():
     assert (2, 4) in model.factors and ((model.posterior(vote) > 0.5) == y).mean() > 0.96
 
 
+def test_op5_known_terms_are_the_text_s_terms(docs):
+    texts = [r.text or "" for r in docs.values()] + [t or "" for t in H.AWKWARD]
+    every = sorted(set().union(*map(toxicity.terms_of, texts)))
+    some = set(random.Random(3).sample(every, len(every) // 20))
+    known = toxicity.Known(some)
+    assert all(known.terms_of(t) == toxicity.terms_of(t) & some for t in texts)
+
+
+def test_op5_equals_brute_force(spark):
+    """Term selection, label model and classifier against plain loops."""
+    docs, labels = insults(spark, 600, 400)
+    chosen = toxicity.label_sample(labels)
+    sample = docs.join(chosen, "doc_id").collect()
+    assert {(r.doc_id, r.toxic) for r in sample} == {(i, int(i % 5 == 0)) for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    ones, zeros = sum(r.toxic for r in sample), sum(1 - r.toxic for r in sample)
+    n, m = Counter(t for r in sample if r.toxic for t in toxicity.terms_of(r.text)), Counter(t for r in sample if not r.toxic for t in toxicity.terms_of(r.text))
+    want = {}
+    for t in n:
+        ratio = math.log((n[t] + 2) / (ones + 4)) - math.log((m[t] + 2) / (zeros + 4))
+        share = (n[t] + m[t]) / (ones + zeros)
+        spreads = math.sqrt(max(0, 2 * sum(k * math.log(k / (share * of)) for k, of in ((n[t], ones), (m[t], zeros)) if k)))
+        if n[t] >= 5 and abs(ratio) >= toxicity.LEAST_RATIO and spreads >= toxicity.LEAST_SPREADS:
+            want[t] = ratio
+    terms = toxicity.find_terms(docs.join(chosen, "doc_id"))
+    assert {t: terms.ratio[i] for t, i in terms.number.items()} == pytest.approx(want) and len(want) > 5
+
+    # One step of the label model: shares of votes by class, and Bayes' rule over its factors.
+    rng = np.random.default_rng(20)
+    vote, count, toxic = rng.integers(0, 3, (40, len(toxicity.VOTERS))), rng.integers(1, 9, 40).astype(float), rng.random(40)
+    factors = [(0, 3), *((v,) for v in range(len(toxicity.VOTERS)) if v not in (0, 3))]
+    model = toxicity._fit_tables(vote, count, toxic, factors)
+    prior = sum(c * y for c, y in zip(count, toxic, strict=True)) / count.sum()
+    for i in range(40):
+        odds = prior / (1 - prior)
+        for f in factors:
+            same = [all(vote[j, v] == vote[i, v] for v in f) for j in range(40)]
+            cells = 3 ** len(f)
+            like = [(sum(c * p for c, p, x in zip(count, side, same, strict=True) if x) + 0.1) / ((count * side).sum() + 0.1 * cells) for side in (toxic, 1 - toxic)]
+            odds *= like[0] / like[1]
+        assert model.posterior(vote[i : i + 1])[0] == pytest.approx(odds / (1 + odds), abs=1e-6)
+
+    # The classifier: no step in any direction lowers its loss.
+    rows, target, weight, ratio = [[0, 1], [1], [], [2, 0], [2]], np.array([0.9, 0.2, 0.1, 0.8, 0.4]), np.array([1.0, 2.0, 3.0, 1.0, 1.0]), np.array([1.5, -0.5, 0.3])
+    weights, bias = toxicity.fit_classifier(rows, target, weight, ratio)
+
+    def loss(w, b):
+        said = [1 / (1 + math.exp(-(b + sum(w[t] for t in r)))) for r in rows]
+        fit = -sum(s * (y * math.log(p) + (1 - y) * math.log(1 - p)) for s, y, p in zip(weight / weight.sum(), target, said, strict=True))
+        return fit + toxicity.RIDGE / 2 * sum((x - toxicity.PRIOR_SHARE * r) ** 2 for x, r in zip(w, ratio, strict=True))
+
+    best = loss(weights, bias)
+    assert all(loss(weights + 0.2 * np.array(d[:3]), bias + 0.2 * d[3]) > best - 1e-4 for d in itertools.product((-1, 0, 1), repeat=4))
+
+
+def test_op5_repeated_ids_count_once(spark):
+    docs, labels = insults(spark, 300, 300)
+    twice = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id = 10")).unionByName(docs.where("doc_id = 10"))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(twice, labels)
+    assert one.number == two.number and Counter(r.doc_id for r in toxicity.score(twice, two).collect())[10] == 3
+
+
+def test_op5_spelling_is_read_in_linear_time():
+    began = time.perf_counter()
+    terms = toxicity.Terms({"idiot": 0}, np.zeros(1), {"idiot": 0})
+    for text in ("x" * 500_000, "1" * 500_000, "a1" * 250_000, "x_" * 250_000):
+        toxicity.votes(text, terms, set())
+    assert toxicity.votes("such an 1d10t.", terms, set())[6] == toxicity.TOXIC and time.perf_counter() - began < 3
+
+
 # 6. Sharding
 
 
@@ -811,7 +880,7 @@ def test_columns_of_a_user_stay(spark):
     assert toxicity.toxicity(docs, spark.createDataFrame([(1, 1, "x")], "doc_id long, toxic int, score string")).count() == len(rows)
 
 
-@pytest.mark.parametrize("long_", ["many words here " * 80_000, "x" * 100_000, "a line of text\n" * 80_000])
+@pytest.mark.parametrize("long_", ["many words here " * 80_000, "x" * 20_000, "a line of text\n" * 80_000])
 def test_texts_of_a_megabyte(spark, long_):
     """One very long text among short ones goes through every operator whole."""
     texts = ["a few plain words", long_, None]
