@@ -17,7 +17,8 @@ from sitelumen.llm import common, packing, quality, secrets, simhash, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The classifier is fitted to ``docs`` and the table labels."""
     classifier = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, classifier, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    (name,) = common.free(docs, "_toxicity")
+    return toxicity.score(docs, classifier, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
