@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,17 +33,25 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Endings of plurals by pattern, the letters that go, and what takes their place; the first that fits counts.
+PLURALS = ((r"..ies$", 3, "y"), (r"(?:sses|ches|shes|xes|zes)$", 2, ""), (r"[^suiy]s$", 1, ""))
+#: Fixed value: longer words have a plural.
+SHORT = 3
+
+
 def stem(word: Column) -> Column:
     """A plural's singular, by its ending; words of three letters or fewer stay."""
     w = F.lower(word)
-    cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
-    return (
-        F.when(F.length(w) <= 3, w)
-        .when(w.endswith("ies") & (F.length(w) > 4), F.concat(cut(3), F.lit("y")))
-        .when(w.rlike("(?:sses|ches|shes|xes|zes)$"), cut(2))
-        .when(w.rlike("s$") & ~w.rlike("(?:ss|us|is|ys)$"), cut(1))
-        .otherwise(w)
-    )
+    out = F.when(F.length(w) <= SHORT, w)
+    for ending, n, end in PLURALS:
+        out = out.when(w.rlike(ending), F.concat(F.substring(w, F.lit(1), F.length(w) - n), F.lit(end)))
+    return out.otherwise(w)
+
+
+def stem_of(word: str) -> str:
+    """``stem`` of one lower-case word, by the same table."""
+    fits = (word[:-n] + end for ending, n, end in PLURALS if re.search(ending, word))
+    return word if len(word) <= SHORT else next(fits, word)
 
 
 def tokens(text: Column, keep_years: bool = False, keep_numbers: bool = False) -> Column:
@@ -88,12 +98,16 @@ def intent(keyword: Column) -> Column:
     return F.when(has(LOCAL), "local").when(has(TRANSACTIONAL), "transactional").when(has(COMMERCIAL), "commercial").otherwise("informational")
 
 
+#: Marks of what kind of article answers a keyword.
+PRICES, COMPARISONS = "cost|price|pricing|salary|rates", (" vs ", "best ")
+
+
 def angle(keyword: Column) -> Column:
     """What kind of article answers a keyword."""
     k = F.lower(keyword)
     asks = F.exists(F.array(*map(F.lit, QUESTION)), lambda m: F.startswith(k, m)) | k.endswith("?")
-    compares = F.concat(F.lit(" "), k, F.lit(" ")).contains(" vs ") | k.contains("best ")
-    return F.when(asks, "FAQ answer").when(compares, "comparison").when(k.rlike("cost|price|pricing|salary|rates"), "pricing guide").otherwise("how-to guide")
+    compares = F.concat(F.lit(" "), k, F.lit(" ")).contains(COMPARISONS[0]) | k.contains(COMPARISONS[1])
+    return F.when(asks, "FAQ answer").when(compares, "comparison").when(k.rlike(PRICES), "pricing guide").otherwise("how-to guide")
 
 
 def short_hash(*parts: Column, length: int = 12) -> Column:

@@ -13,24 +13,26 @@ NEW = "domain string, url string"
 
 
 def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A domain's URLs that weren't known; the first sight of a domain is silent.
-
-    State is kept by domain and slice of its URLs, so that no group holds a whole large site.
-    """
+    """A slice's URLs that weren't known; what comes with its domain's mark, in the domain's first batch, is silent."""
     known = set(state.get[0]) if state.exists else None
-    seen = {u for b in batches for u in b["url"]}
+    seen = {u for b in batches for u in b["url"].dropna()}
     if known is not None and (fresh := sorted(seen - known)):
         yield pd.DataFrame({"domain": key[0], "url": fresh})
     state.update((sorted(seen | (known or set())),))
 
 
 def new_listings(listings: DataFrame, slices: int = 64) -> DataFrame:
-    """(domain, url): rows of the stream ``listings`` that their domain didn't list before, and wasn't silent for.
+    """(domain, url): rows of the stream ``listings`` that their domain didn't list before; a domain's first batch is silent.
 
-    A slice that first gets a URL after its domain's first batch is silent once; with more URLs than slices, hardly any is.
+    State is kept by domain and slice of its URLs, so that no group holds a whole large site. When a domain is first
+    seen, each of its slices is marked, so a slice that gets its first URL later knows that it is new. Rows with a null
+    are left out.
     """
-    rows = listings.where("domain IS NOT NULL AND url IS NOT NULL").withColumn("slice", F.pmod(F.xxhash64("url"), F.lit(slices)).cast("int"))
-    return rows.groupBy("domain", "slice").applyInPandasWithState(_emit, NEW, "known array<string>", "append", GroupStateTimeout.NoTimeout)
+    rows = listings.where("domain IS NOT NULL AND url IS NOT NULL").select("domain", "url")
+    own = rows.select("domain", F.pmod(F.xxhash64("url"), F.lit(slices)).cast("int").alias("slice"), "url")
+    first = rows.select("domain").dropDuplicates(["domain"])
+    marks = first.select("domain", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(None).cast("string").alias("url"))
+    return own.unionByName(marks).groupBy("domain", "slice").applyInPandasWithState(_emit, NEW, "known array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:

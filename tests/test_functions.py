@@ -1,5 +1,8 @@
 """Column functions against hand-made cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def test_stem(spark):
     cases = {"colleges": "college", "classes": "class", "universities": "university", "branches": "branch", "status": "status", "analysis": "analysis", "class": "class", "ies": "ies", "ties": "ty"[:0] + "tie", "keys": "keys", "a": "a"}
     cases["ties"] = "tie"
     assert of(spark, T.stem, *cases) == list(cases.values())
-    assert [mentions.stem(w) for w in cases] == list(cases.values())
+    assert [T.stem_of(w) for w in cases] == list(cases.values())
 
 
 def test_tokens(spark):
@@ -90,3 +93,45 @@ def test_dissect(spark):
     assert r.h1 == ["One & only"] and r.heading_skips == 1 and r.links == ["https://a.b/x"] and r.text == "One & only Deep Some text. x m"
     assert (r.images, r.img_missing_alt, r.img_no_dims, r.img_lazy, r.blocking_js, r.schema_errors, r.schema_types) == (1, 0, 1, 1, 1, 1, ["Course", "Organization"])
     assert got[None].word_count == 0 and got["https://a.b"].h1 == [""]
+
+
+def _scan(text, focus):
+    """Mentions by trying every start, word by word."""
+    counted = re.findall(T.WORD, text)
+    parts = [(p, i) for i, w in enumerate(counted) for p in re.sub("['’]s$", "", w.lower()).split("-") if p]
+    stems = [T.stem_of(p) for p, _ in parts]
+    found, taken, at = [], set(), 0
+    while at < len(parts):
+        here, gaps, cells = at, 0, []
+        for want in focus:
+            while cells and here < len(parts) and stems[here] != want and parts[here][0] in T.STOP and gaps < mentions.GAP:
+                here, gaps = here + 1, gaps + 1
+            if here == len(parts) or stems[here] != want:
+                cells = None
+                break
+            cells.append(here)
+            here += 1
+        if cells:
+            found.append(parts[at][1])
+            taken |= set(range(at, here))
+            at = here
+        else:
+            at += 1
+    loose, at = [], 0
+    while len(focus) > 1 and at < len(parts):
+        span = range(at, min(len(parts), at + len(focus) + mentions.GAP + 1))
+        if stems[at] in focus and not taken & set(span) and {stems[i] for i in span} >= set(focus):
+            loose.append(parts[at][1])
+            at = span.stop
+        else:
+            at += 1
+    return found, loose, len(counted)
+
+
+def test_mentions_equal_a_scan():
+    rng = random.Random(2)
+    words = ["law", "laws", "college", "colleges", "in", "of", "the", "delhi", "x", "law-college", "college's", "of-law", "best"]
+    for _ in range(4000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        focus = [rng.choice(["law", "college", "delhi", "of", "best"]) for _ in range(rng.randint(1, 4))]
+        assert mentions.find(text, focus) == _scan(text, focus), (text, focus)

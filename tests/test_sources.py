@@ -23,6 +23,13 @@ def test_discovery(spark):
     assert found["a.b/x?p=1&q=2"].lastmod_future and sitemap.discover(named.limit(0), files).count() == 0
 
 
+def test_lastmod_forms(spark):
+    good = ["2024", "2024-01", "2024-01-01", "2024-01-01T10:00", "2024-01-01T10:00:01", "2024-01-01T10:00:01.5Z", "2024-01-01T10:00+05:30"]
+    bad = ["soon", "2024-1-1", "2024-01-01T", "2024-01-01 10:00", "2024-01-01T10", "2024-01-01T10:00+0530", ""]
+    rows = sitemap.lastmod_flags(spark.createDataFrame([(x,) for x in [*good, *bad, None]], "lastmod string"), "2023-01-01").collect()
+    assert {r.lastmod for r in rows if r.lastmod_invalid} == set(bad) and {r.lastmod for r in rows if r.lastmod_future} == set(good)
+
+
 def test_gate(spark):
     rows = lambda n, bad: spark.range(n).select((F.col("id") < bad).alias("lost"))
     publish.gate(rows(100, 2), F.col("lost"))
@@ -56,13 +63,13 @@ def test_tables(spark):
 def test_new_listings(spark, tmp_path):
     path, out = str(tmp_path / "in"), []
     schema = "domain string, url string"
-    query = None
-    for batch in ([("a", "1"), ("a", "2"), (None, "x")], [("a", "2"), ("a", "3"), ("b", "9")], [("b", "9"), ("b", "8")]):
+    batches = [[("a", str(i)) for i in range(20)] + [(None, "x")], [("a", str(i)) for i in range(10, 60)] + [("b", "9")], [("b", "9"), ("b", "8"), ("a", "3"), ("a", None)]]
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
-        query = watch.new_listings(spark.readStream.schema(schema).parquet(path), slices=1).writeStream.option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True)
+        query = watch.new_listings(spark.readStream.schema(schema).parquet(path)).writeStream.option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True)
         query = query.foreachBatch(lambda rows, _: out.append(sorted(tuple(r) for r in rows.collect()))).start()
         query.awaitTermination()
-    assert [rows for rows in out if rows] == [[("a", "3")], [("b", "8")]]
+    assert [rows for rows in out if rows] == [sorted(("a", str(i)) for i in range(20, 60)), [("b", "8")]]
 
 
 def test_event_windows(spark, sf_dir):
