@@ -235,16 +235,20 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
     ``component_id`` is the smallest id that a row reaches over links of ``radius`` differing bits at most. Rows
     without words (null and empty texts too) have fingerprint zero and link like any other. Repeated rows stay.
-    Rows with a null id get the component of their fingerprint, null if no row that they reach has an id.
+    Rows with a null id link too, and get their component, null if no row that they reach has an id. (Where an id is
+    2**62 or more there are no numbers beyond the ids, and fingerprints of such rows alone stay out.)
     Equal fingerprints are one node, so copies cost nothing beyond the first.
     """
     found = common.settle(with_fingerprint(docs, id, text))
-    nodes = found.groupBy("bits").agg(F.min("doc_id").alias("id"))
-    nodes = common.settle(nodes.withColumn("node", F.monotonically_increasing_id()))
-    links = components(near(nodes.select("bits", "node"), radius))
-    named = common.settle(nodes.join(links, "node", "left").select("bits", "id", F.coalesce("component", "node").alias("component")))
-    ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(ids, "component").select("bits", "component_id")
+    top = found.agg(F.max("doc_id")).first()[0]
+    top = -1 if top is None else top
+    # A fingerprint that only rows without an id have is a node too, numbered beyond all ids, so it names no component.
+    beyond = F.lit(top) + 1 + F.monotonically_increasing_id() if top < 1 << 62 else F.lit(None)
+    nodes = found.groupBy("bits").agg(F.min("doc_id").alias("id")).select("bits", F.coalesce("id", beyond).alias("node"))
+    nodes = common.settle(nodes.where("node IS NOT NULL"))
+    joined = components(near(nodes, radius))
+    component = F.coalesce("component", "node")
+    named = nodes.join(joined, "node", "left").select("bits", F.when(component <= top, component).alias("component_id"))
     return found.join(named, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
