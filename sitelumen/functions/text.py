@@ -54,12 +54,36 @@ def stem_of(word: str) -> str:
     return word if len(word) <= SHORT else next(fits, word)
 
 
-def tokens(text: Column, keep_years: bool = False, keep_numbers: bool = False) -> Column:
-    """A phrase's stems, each once, in order; without stop and marketing words, and without numbers unless they are kept."""
+def _meaningful(text: Column, keep_years: bool, keep_numbers: bool) -> Column:
+    """A phrase's lower-case words without stop and marketing words, and without numbers unless they are kept."""
     found = F.filter(F.transform(words(F.translate(text, "_-", "  ")), F.lower), lambda w: ~w.isin(*STOP, *MARKETING))
     if not keep_numbers:
         found = F.filter(found, lambda w: ~w.rlike(r"^\d+$") | (w.rlike(r"^(?:19|20)\d\d$") if keep_years else F.lit(False)))
-    return F.array_distinct(F.transform(found, lambda w: F.when(w.rlike(r"^\d+$"), w).otherwise(stem(w))))
+    return found
+
+
+def tokens(text: Column, keep_years: bool = False, keep_numbers: bool = False) -> Column:
+    """A phrase's stems, each once, in order; without stop and marketing words, and without numbers unless they are kept."""
+    return F.array_distinct(F.transform(_meaningful(text, keep_years, keep_numbers), lambda w: F.when(w.rlike(r"^\d+$"), w).otherwise(stem(w))))
+
+
+def token_pairs(text: Column, keep_years: bool = False, keep_numbers: bool = False) -> Column:
+    """``tokens`` as structs of stem and word: the word is the first that has the stem."""
+    pair = lambda w: F.struct(F.when(w.rlike(r"^\d+$"), w).otherwise(stem(w)).alias("stem"), w.alias("word"))
+    kind = "array<struct<stem:string,word:string>>"
+    first = lambda found, x: F.when(F.exists(found, lambda y: y["stem"] == x["stem"]), found).otherwise(F.concat(found, F.array(x)))
+    return F.aggregate(F.transform(_meaningful(text, keep_years, keep_numbers), pair), F.array().cast(kind), first)
+
+
+def without_brand(text: Column, brand: str) -> Column:
+    """``text`` without the brand's name and the separators about it; other uses of its words stay."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)\s*[|\-–—:]?\s*{re.escape(brand)}\s*[|\-–—:]?\s*", " ")) if brand else F.coalesce(text, F.lit(""))
+
+
+def coverage(target: Column, text: Column) -> tuple[Column, Column]:
+    """The target's tokens that ``text`` has, and those that it lacks, compared by stem."""
+    have = tokens(F.coalesce(text, F.lit("")), keep_years=True)
+    return F.array_intersect(target, have), F.array_except(target, have)
 
 
 def loose_tokens(text: Column) -> Column:

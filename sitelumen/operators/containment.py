@@ -15,18 +15,71 @@ SAME_CONTENT, CLOSE_CONTENT, LEAST_SHINGLES = 0.80, 0.50, 35
 COMMERCIAL = ("home", "landing")
 
 
+#: Parts of a path that don't belong to a page's target; tokens of a heading that do; words that a slug needs.
+PATH_PARTS, HEADING_TOKENS, SLUG_WORDS = ("blog", "category", "tag"), 6, 2
+
+
+def with_target(pages: DataFrame, path: str = "path", h1: str = "h1", title: str = "title", query: str = "query", brand: str = "") -> DataFrame:
+    """``pages`` with ``target``, a struct of phrase, tokens and source: what a page is to be found for. Nulls count as empty.
+
+    The search query that it earns most for; else its path, if that has SLUG_WORDS words besides numbers; else its
+    heading's tokens and the path's. Tokens stand in the heading's order, those that it lacks after them.
+    """
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda s: (s != "") & ~F.lower(s).isin(*PATH_PARTS))
+    head, name = T.without_brand(F.col(h1), brand), T.without_brand(F.col(title), brand)
+    read = F.struct(
+        T.token_pairs(F.array_join(parts, " "), keep_numbers=True).alias("slug"), T.token_pairs(head).alias("head"), T.token_pairs(name).alias("name"),
+        T.token_pairs(F.coalesce(query, F.lit("")), keep_years=True).alias("asked"), head.alias("h1"),
+    )
+    # Generated rows keep Spark from working the lists out again for each use of them.
+    rows = pages.withColumn("_t", F.explode(F.array(read)))
+    slug, asked, heading = F.col("_t.slug"), F.col("_t.asked"), F.when(F.size("_t.head") > 0, F.col("_t.head")).otherwise(F.col("_t.name"))
+    stems = lambda pairs: F.transform(pairs, lambda x: x["stem"])
+    enough = F.size(F.filter(slug, lambda x: ~x["stem"].rlike(r"^\d+$"))) >= SLUG_WORDS
+    of_path = enough | (F.size(heading) == 0)
+    chosen = F.when(of_path, stems(slug)).otherwise(F.slice(F.array_distinct(F.concat(stems(heading), stems(slug))), 1, HEADING_TOKENS))
+    source = F.when(of_path, "url").when(F.size(slug) > 0, "h1+url").when(F.col("_t.h1") != "", "h1").otherwise("title")
+    rows = rows.withColumn("_c", F.explode(F.array(F.struct(heading.alias("heading"), chosen.alias("chosen"), source.alias("source")))))
+    ordered = F.concat(F.array_intersect(stems(F.col("_c.heading")), "_c.chosen"), F.array_except("_c.chosen", stems(F.col("_c.heading"))))
+    word = lambda t: F.coalesce(F.get(F.filter(F.concat(slug, F.col("_c.heading")), lambda x: x["stem"] == t), F.lit(0))["word"], t)
+    searched = F.coalesce(F.col(query), F.lit("")) != ""
+    found = F.struct(
+        F.array_join(F.when(searched, F.transform(asked, lambda x: x["word"])).otherwise(F.transform(ordered, word)), " ").alias("phrase"),
+        F.when(searched, stems(asked)).otherwise(ordered).alias("tokens"), F.when(searched, "search-console").otherwise(F.col("_c.source")).alias("source"),
+    )
+    return rows.withColumn("target", F.explode(F.array(found))).drop("_t", "_c")
+
+
+def holders(sets: DataFrame, among: DataFrame, long: int | None = None) -> DataFrame:
+    """(i, j, a, b, lacks) of ``sets`` (i, a) and ``among`` (j, b): b has all of a's tokens, or all but one if a has ``long`` or more.
+
+    A holder has a's rarest token, or one of its two rarest where one may lack, so only those are joined: a token
+    that half of all sets have joins nothing but sets that have no rarer one. Arrays of different tokens; empty ones
+    are held by none.
+    """
+    frequency = among.select(F.explode("b").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    may = F.lit(0) if long is None else (F.size("a") >= long).cast("int")
+    ranked = sets.select("i", "a", F.explode("a").alias("t")).join(frequency, "t", "left").groupBy("i").agg(F.first("a").alias("a"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("r"))
+    keys = ranked.withColumn("may", may).select("i", "a", "may", F.explode(F.slice("r", F.lit(1), F.col("may") + 1)).alias("k")).select("i", "a", "may", F.col("k.t").alias("t"))
+    met = keys.join(among.select("j", "b", F.explode("b").alias("t")), "t").withColumn("lacks", F.size(F.array_except("a", "b"))).where("lacks <= may").select("i", "j", "a", "b", "lacks")
+    return met if long is None else met.dropDuplicates(["i", "j"])
+
+
 def contained(targets: DataFrame) -> DataFrame:
     """(i, j, n_i, n_j, shared): ordered pairs of ``targets`` (page, tokens) where j has all of i's tokens but numbers.
 
-    From LONG tokens on, j may lack one of them. i has PROPOSING tokens at least. An equality join on tokens and a
-    count, so no page meets all others.
+    From LONG tokens on, j may lack one of them. i has PROPOSING tokens at least. ``targets`` is read three times.
     """
     base = targets.select("page", F.array_distinct(F.filter("tokens", lambda t: ~t.rlike(r"^\d+$"))).alias("base")).where(F.size("base") > 0)
-    each = base.select("page", F.size("base").alias("n"), F.explode("base").alias("token"))
-    i = each.where(F.col("n") >= PROPOSING).select(F.col("page").alias("i"), F.col("n").alias("n_i"), "token")
-    j = each.select(F.col("page").alias("j"), F.col("n").alias("n_j"), "token")
-    met = i.join(j, "token").where("i <> j").groupBy("i", "j", "n_i", "n_j").agg(F.count(F.lit(1)).alias("shared"))
-    return met.where(F.col("shared") >= F.col("n_i") - (F.col("n_i") >= LONG).cast("int"))
+    i = base.where(F.size("base") >= PROPOSING).select(F.col("page").alias("i"), F.col("base").alias("a"))
+    met = holders(i, base.select(F.col("page").alias("j"), F.col("base").alias("b")), LONG).where("i <> j")
+    return met.select("i", "j", F.size("a").alias("n_i"), F.size("b").alias("n_j"), (F.size("a") - F.col("lacks")).alias("shared"))
+
+
+def strength(type: F.Column, inlinks: F.Column, words: F.Column, url: F.Column) -> F.Column:
+    """Which of two pages should stay: commercial ones first, then by links, words, and the shorter path. An orderable struct."""
+    depth = F.size(F.split(F.regexp_replace(url, "/+$", ""), "/"))
+    return F.struct(type.isin(*COMMERCIAL).cast("int").alias("commercial"), F.coalesce(inlinks, F.lit(0)).alias("inlinks"), F.coalesce(words, F.lit(0)).alias("words"), (-depth).alias("depth"))
 
 
 def competing(pages: DataFrame) -> DataFrame:
@@ -51,8 +104,8 @@ def competing(pages: DataFrame) -> DataFrame:
     i_hub = F.when(F.col("series") | F.col("equal"), F.col("of_i.strength") >= F.col("of_j.strength")).otherwise(F.size(a) < F.size(b))
     sim = F.coalesce("similarity", F.lit(0.0))
     crossed = F.col("of_i.type").isin(*COMMERCIAL) != F.col("of_j.type").isin(*COMMERCIAL)
-    extra = F.concat(F.array_except(a, b), F.array_except(b, a))
-    variant = (F.size(extra) <= 1) & ~F.exists(extra, lambda t: t.rlike(r"\d"))
+    extra = F.when(i_hub, F.array_except(b, a)).otherwise(F.array_except(a, b))  # of the spoke
+    variant = (F.size(extra) <= 1) & ~F.exists(extra, lambda t: t.rlike(r"^\d+$"))
     kind = (
         F.when(F.col("series"), "numbered-series")
         .when(F.col("equal"), "same-target")
@@ -72,3 +125,29 @@ def competing(pages: DataFrame) -> DataFrame:
     hub, spoke = F.when(F.col("i_hub"), F.col("i")).otherwise(F.col("j")), F.when(F.col("i_hub"), F.col("j")).otherwise(F.col("i"))
     stronger = F.when(F.col("of_i.strength") == F.col("of_j.strength"), hub).when(F.col("of_i.strength") > F.col("of_j.strength"), F.col("i")).otherwise(F.col("j"))
     return rows.select(hub.alias("hub"), spoke.alias("spoke"), "kind", severity.alias("severity"), "similarity", stronger.alias("keep"))
+
+
+_SEVEREST = {"high": 0, "medium": 1, "low": 2}
+
+
+def clusters(pairs: DataFrame, most: int = 250) -> DataFrame:
+    """(keep, severity, competitors, pages): of ``competing`` pairs that aren't low, by the page to keep; the ``most`` severe and largest."""
+    order = F.create_map(*(F.lit(x) for k, v in _SEVEREST.items() for x in (k, v)))[F.col("severity")]
+    other = F.when(F.col("keep") == F.col("hub"), F.col("spoke")).otherwise(F.col("hub"))
+    rows = pairs.where("severity <> 'low'").withColumns({"other": other, "rank": order}).groupBy("keep").agg(F.min_by("severity", "rank").alias("severity"), F.min("rank").alias("rank"), F.count(F.lit(1)).alias("competitors"), F.array_sort(F.collect_set("other")).alias("pages"))
+    return rows.orderBy("rank", F.desc("competitors"), "keep").limit(most).drop("rank")
+
+
+def healthy_hubs(pairs: DataFrame, most: int = 60) -> DataFrame:
+    """(hub, spokes): the hubs of most low pairs."""
+    return pairs.where("severity = 'low'").groupBy("hub").agg(F.count(F.lit(1)).alias("spokes")).orderBy(F.desc("spokes"), "hub").limit(most)
+
+
+KINDS = ("same-target", "copied-spoke", "numbered-series", "blog-vs-landing", "hub-spoke-overlap", "hub-spoke")
+
+
+def counts(pairs: DataFrame) -> DataFrame:
+    """(kind, high, medium, low) of every one of KINDS, those without pairs too."""
+    every = pairs.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
+    found = pairs.groupBy("kind").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in _SEVEREST))
+    return F.broadcast(every).join(found, "kind", "left").fillna(0)

@@ -47,26 +47,33 @@ def positions(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
 
 def shingle_frequency(texts: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(shingle, docs): the number of texts that hold each window of words."""
-    return windows(texts, id, text, width).select("id", "shingle").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+    """(shingle, docs): the number of texts that hold each window of words, by its hash. One shuffle, of hashes and counts."""
+    return windows(texts, id, text, width).select(F.explode(F.array_distinct("hashes")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
 
 
 def windows(texts: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(id, n, start, shingle) of texts of ``width`` words or more."""
-    w = F.transform(T.words(F.col(text)), F.lower)
-    rows = texts.select(F.col(id).alias("id"), w.alias("w")).where(F.size("w") >= width)
-    starts = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, F.lit(width)), " ").alias("shingle")))
-    return rows.select("id", F.size("w").alias("n"), F.explode_outer(starts).alias("s")).select("id", "n", "s.start", "s.shingle")
+    """(id, n, hashes) of texts of ``width`` words or more: a 64-bit hash of each window of lower-case words, in order.
+
+    Words are hashed once, and a window by its words' hashes, so no window's text is ever built. The array is generated
+    as a row of its own, or Spark would work it out again wherever it is used.
+    """
+    w = F.transform(T.words(F.col(text)), lambda x: F.xxhash64(F.lower(x)))
+    rows = texts.select(F.col(id).alias("id"), F.explode(F.array(w)).alias("w")).where(F.size("w") >= width)
+    hashed = F.transform(F.sequence(F.lit(0), F.size("w") - width), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(width))))
+    return rows.select("id", F.size("w").alias("n"), F.explode(F.array(hashed)).alias("hashes"))
 
 
 def unique_words(texts: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, rare: int = 3) -> DataFrame:
-    """(id, n_words, unique_words): the words of each text that lie in a window that fewer than ``rare`` texts hold."""
+    """(id, n_words, unique_words): the words of each text that lie in a window that fewer than ``rare`` texts hold.
+
+    Windows that ``rare`` texts or more hold are few, so those are sent back, and all others are rare. ``id`` is unique.
+    """
     each = windows(texts, id, text, width)
-    frequency = each.select("id", "shingle").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
-    own = each.join(frequency.where(F.col("docs") < rare), "shingle")
-    # A rare window covers its words; two neighbouring windows at distance d add d words to what is covered.
-    spans = own.groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    steps = F.zip_with("starts", F.slice("starts", F.lit(2), F.size("starts")), lambda a, b: F.least(F.lit(width), F.coalesce(b, F.lit(2**30)) - a))
-    counted = spans.select("id", F.aggregate(steps, F.lit(0), lambda total, k: total + k).alias("unique_words"))
+    common = shingle_frequency(texts, id, text, width).where(F.col("docs") >= rare).select(F.col("shingle").alias("h"))
+    placed = each.select("id", F.posexplode("hashes").alias("start", "h")).join(common, "h", "left_semi").groupBy("id").agg(F.collect_list("start").alias("common"))
     sizes = texts.select(F.col(id).alias("id"), F.size(T.words(F.coalesce(F.col(text), F.lit("")))).alias("n_words"))
-    return sizes.join(counted, "id", "left").select("id", "n_words", F.coalesce("unique_words", F.lit(0)).alias("unique_words"))
+    starts = F.when(F.col("n_words") >= width, F.sequence(F.lit(0), F.col("n_words") - width)).otherwise(F.array().cast("array<int>"))
+    rows = sizes.join(placed, "id", "left").select("id", "n_words", F.array_except(starts, F.coalesce("common", F.array().cast("array<int>"))).alias("starts"))
+    # A rare window covers its words; two neighbouring windows at distance d add d words to what is covered.
+    steps = F.zip_with("starts", F.slice("starts", F.lit(2), F.greatest(F.lit(1), F.size("starts"))), lambda a, b: F.least(F.lit(width), F.coalesce(b, F.lit(2**30)) - a))
+    return rows.select("id", "n_words", F.aggregate(steps, F.lit(0), lambda total, k: total + k).alias("unique_words"))

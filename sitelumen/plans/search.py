@@ -203,14 +203,14 @@ SELECT path, title, coalesce(views, 0) AS views, coalesce(sessions, 0) AS sessio
 def token_match_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions that match each candidate phrase: one's tokens are all among the other's.
 
-    Tokens are joined by equality, and the shared ones counted; no row of one side meets all of the other.
+    Each side meets the other by its rarest token; no row of one side meets all of the other.
     """
     rows = _now(account(spark, sf_dir, "b")).groupBy("query").agg(F.sum("impressions").alias("impressions"))
     candidates = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("phrase")).distinct()
-    q = rows.withColumn("t", T.loose_tokens(F.col("query"))).select("query", "impressions", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    c = candidates.withColumn("t", T.loose_tokens(F.col("phrase"))).select("phrase", F.size("t").alias("nc"), F.explode("t").alias("token"))
-    met = c.join(q, "token").groupBy("phrase", "query").agg(F.count(F.lit(1)).alias("shared"), F.first("nq").alias("nq"), F.first("nc").alias("nc"), F.first("impressions").alias("impressions"))
-    total = met.where((F.col("shared") == F.col("nq")) | (F.col("shared") == F.col("nc"))).groupBy("phrase").agg(F.sum("impressions").alias("volume"))
+    of = lambda rows, key, set_: rows.select(F.col(key), T.loose_tokens(F.col(key)).alias(set_))
+    narrow = containment.holders(of(candidates.withColumnRenamed("phrase", "i"), "i", "a"), of(rows.withColumnRenamed("query", "j"), "j", "b")).select(F.col("i").alias("phrase"), F.col("j").alias("query"))
+    wide = containment.holders(of(rows.withColumnRenamed("query", "i"), "i", "a"), of(candidates.withColumnRenamed("phrase", "j"), "j", "b")).select(F.col("j").alias("phrase"), F.col("i").alias("query"))
+    total = narrow.unionByName(wide).distinct().join(rows, "query").groupBy("phrase").agg(F.sum("impressions").alias("volume"))
     return candidates.join(total, "phrase", "left").select("phrase", F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
