@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sitelumen.functions import rules as R
 from sitelumen.functions import scoring as S
 from sitelumen.functions import text as T
 from sitelumen.functions import url as U
@@ -135,3 +136,18 @@ def test_mentions_equal_a_scan():
         text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
         focus = [rng.choice(["law", "college", "delhi", "of", "best"]) for _ in range(rng.randint(1, 4))]
         assert mentions.find(text, focus) == _scan(text, focus), (text, focus)
+
+
+def test_rules(spark):
+    assert of(spark, R.clean_keyword, "How to  prepare for CLAT", "what is law", "why so", "prepare ") == ["clat", "law", "why so", "prepare"]
+    assert of(spark, lambda c: R.grounded(c, F.lit("law college in delhi")), "law colleges delhi", "law fees mumbai", "best") == [True, False, False]
+    assert of(spark, lambda c: R.fits(c, 3, 8), ' "law?" ', "a", "far too long a phrase") == ["law", None, None]
+    assert of(spark, R.retry_after, "3", "99", "-1", "soon", None) == [3.0, 10.0, 0.0, 0.0, 0.0]
+    assert of(spark, R.tone, 85.0, 60.0, 59.0) == ["good", "fair", "poor"] and of(spark, lambda c: R.bar(c, F.lit(100.0)), 67.5, 500.0) == [50.0, 100.0]
+    assert of(spark, lambda c: R.change(c, F.lit(8)), 9.0, 7.0) == [13, -12] and of(spark, lambda c: R.change(c, F.lit(0)), 9.0) == [None]
+    assert of(spark, lambda c: R.fenced_json(c, "k int")["k"], '```json\n{"k": 1}\n```', '{"k": 2}', "no", None) == [1, 2, None, None]
+    assert of(spark, R.without_scheme, "https://a.b/c?d", "http://a.b") == ["/c?d", "/"]
+    assert of(spark, R.first_url, "see https://a.b/c. And more", "nothing") == ["https://a.b/c", None]
+    chain = lambda c: R.downgrades(F.split(c, " "), F.lit("https://a/z"))
+    assert of(spark, chain, "https://a/x", "https://a/x http://a/y", "http://a/x https://a/y") == [False, True, False]
+    assert of(spark, lambda c: R.overlaps(T.loose_tokens(c), T.loose_tokens(F.lit("one two three four"))), "one two", "one two three four five", "six", "") == [True, True, False, False]
