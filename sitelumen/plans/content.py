@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.functions import text as T
-from sitelumen.operators import shingles
+from sitelumen.operators import density, shingles
 
 WINDOW_WORDS, LEAST_TAIL, FOCUS = 150, 75, "then"
 STUFFING_DENSITY, STUFFING_WINDOW = 3.0, 6
@@ -145,3 +145,61 @@ SELECT p_partkey, string_agg(t, ' ' ORDER BY t) AS tokens FROM s GROUP BY p_part
 
 QUERIES = {f.__name__: f for f in (words_count, density_windows, density_verdicts, density_summary, identical_content, shingle_df, unique_words, near_duplicates, stem_tokens)}
 ORACLE_SQL = {"words_count": WORDS_COUNT, "density_windows": DENSITY_WINDOWS, "density_verdicts": DENSITY_VERDICTS, "density_summary": DENSITY_SUMMARY, "identical_content": IDENTICAL_CONTENT, "shingle_df": SHINGLE_DF, "unique_words": UNIQUE_WORDS, "near_duplicates": NEAR_DUPLICATES, "stem_tokens": STEM_TOKENS}
+
+
+#: A one-word keyword for each language, and stand-ins for what a page has besides its text.
+_KEYWORDS = {"en": "tion", "de": "sch", "fr": "eau", "es": "que"}
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = T.words(F.coalesce("text", F.lit("")))
+    words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    focus = F.coalesce(*(F.when(F.col("lang") == k, F.array(F.lit(v))) for k, v in _KEYWORDS.items()))
+    rows = documents(spark, sf_dir).select("doc_id", "text", focus.alias("focus"), "source", F.explode(F.array(w)).alias("w"))
+    return rows.select("doc_id", "text", "focus", words(1, 8).alias("title"), words(1, 4).alias("h1"), F.col("source").alias("url"), words(9, 12).alias("meta_description"), F.array(words(21, 5), words(41, 5)).alias("subheadings"), F.array(words(61, 5)).alias("alts"))
+
+
+def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's mentions of its keyword against one in 150 words, and the places that lack it."""
+    rows = density.analysed(_posts(spark, sf_dir))
+    names = ("words", "mentions", "exact", "required", "shortfall", "words_per_mention", "percent", "windows", "covered", "max_in_window", "stuffed", "verdict")
+    return rows.select("doc_id", *(f"density.{c}" for c in names), F.array_join(F.transform("density.gaps", lambda g: g.cast("string")), " ").alias("gaps"), F.array_join("density.lacking", " ").alias("lacking"))
+
+
+def keyword_density_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.summary(density.analysed(_posts(spark, sf_dir)))
+
+
+def _has(x: str) -> str:
+    from sitelumen.plans import landing
+
+    return f"focus IS NOT NULL AND list_contains({landing._tokens(x)}, focus)"
+
+
+def _density_sql() -> str:
+    from sitelumen.plans import landing
+
+    stem = landing._STEM.replace("regexp_full_match(w, '[0-9]+') OR ", "")
+    focus = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KEYWORDS.items()) + " END"
+    places = {"title": "array_to_string(w[1:8], ' ')", "h1": "array_to_string(w[1:4], ' ')", "url": "replace(source, '/', ' ')", "meta_description": "array_to_string(w[9:20], ' ')", "first_100_words": "array_to_string(w[:100], ' ')"}
+    either = {"a_subheading": ("array_to_string(w[21:25], ' ')", "array_to_string(w[41:45], ' ')"), "image_alt": ("array_to_string(w[61:65], ' ')",), "last_100_words": ("array_to_string(w[-100:], ' ')",)}
+    lacks = [f"CASE WHEN NOT coalesce({_has(x)}, false) THEN '{p}' END" for p, x in places.items()] + [f"CASE WHEN NOT coalesce({' OR '.join(f'({_has(x)})' for x in xs)}, false) THEN '{p}' END" for p, xs in either.items()]
+    return f"""
+t AS (SELECT doc_id, {focus} AS focus, source, regexp_extract_all(coalesce(text, ''), '{RX}') AS w FROM documents),
+p AS (SELECT doc_id, focus, n, pos, unnest(list_filter(string_split(regexp_replace(lower(word), '[''’]s$', ''), '-'), lambda x: x <> '')) AS w FROM (SELECT doc_id, focus, len(w) AS n, unnest(range(len(w))) AS pos, unnest(w) AS word FROM t)),
+m AS (SELECT doc_id, least(pos // 150, greatest(0, (n - 1) // 150 - CASE WHEN n % 150 > 0 AND n % 150 < 75 THEN 1 ELSE 0 END)) AS win FROM p WHERE {stem} = focus),
+c AS (SELECT doc_id, win, count(*) AS k FROM m GROUP BY doc_id, win), s AS (SELECT doc_id, sum(k) AS mentions, count(*) AS covered, max(k) AS most, list(win) AS wins FROM c GROUP BY doc_id),
+a AS (SELECT t.doc_id, t.focus, t.source, t.w, len(t.w) AS words, CASE WHEN len(t.w) > 0 THEN 1 + greatest(0, (len(t.w) - 1) // 150 - CASE WHEN len(t.w) % 150 > 0 AND len(t.w) % 150 < 75 THEN 1 ELSE 0 END) ELSE 0 END AS windows, CAST(coalesce(mentions, 0) AS INTEGER) AS mentions, coalesce(covered, 0) AS covered, coalesce(most, 0) AS max_in_window, coalesce(wins, []) AS wins FROM t LEFT JOIN s USING (doc_id)),
+d AS (SELECT doc_id, words, mentions, mentions AS exact, CAST(ceil(words / 150) AS INTEGER) AS required, greatest(0, CAST(ceil(words / 150) AS INTEGER) - mentions) AS shortfall, CASE WHEN mentions > 0 THEN CAST(round_even(words / mentions, 0) AS INTEGER) END AS words_per_mention,
+  CASE WHEN words > 0 THEN round(100 * mentions / words, 2) ELSE 0 END AS percent, windows, covered, max_in_window, coalesce(CASE WHEN words > 0 THEN round(100 * mentions / words, 2) END > 3, false) OR max_in_window >= 6 AS stuffed,
+  CASE WHEN words > 0 AND covered = windows THEN 'pass' WHEN words > 0 AND mentions >= ceil(words / 150) THEN 'pass-on-average' ELSE 'fail' END AS verdict,
+  array_to_string(list_filter(range(1, windows + 1), lambda i: NOT list_contains(wins, i - 1)), ' ') AS gaps, concat_ws(' ', {', '.join(lacks)}) AS lacking FROM a)
+"""
+
+
+KEYWORD_DENSITY = f"WITH {_density_sql()} SELECT * FROM d"
+KEYWORD_DENSITY_SUMMARY = f"""WITH {_density_sql()} SELECT count(*) AS posts, count(*) FILTER (verdict = 'pass') AS pass, count(*) FILTER (verdict = 'pass-on-average') AS pass_on_average, count(*) FILTER (verdict = 'fail') AS fail, count(*) FILTER (stuffed) AS stuffed,
+  median(words_per_mention) AS median_words_per_mention, median(CASE WHEN windows > 0 THEN round_even(100 * covered / windows, 0) ELSE 0 END) AS median_coverage, CAST(sum(shortfall) AS BIGINT) AS missing_mentions,
+  {', '.join(f"count(*) FILTER (words_per_mention BETWEEN {a} AND {b}) AS {name.replace(' ', '_')}" for name, (a, b) in density.BUCKETS.items())}, count(*) FILTER (words_per_mention IS NULL) AS never, {', '.join(f"count(*) FILTER (list_contains(string_split(lacking, ' '), '{p}')) AS no_{p}" for p in density.PLACES)} FROM d"""
+QUERIES |= {f.__name__: f for f in (keyword_density, keyword_density_summary)}
+ORACLE_SQL |= {"keyword_density": KEYWORD_DENSITY, "keyword_density_summary": KEYWORD_DENSITY_SUMMARY}
