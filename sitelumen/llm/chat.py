@@ -104,7 +104,7 @@ def format_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "text"):
             out = []
             for c, t, who, plain, content in zip(*(batch.column(k).to_pylist() for k in ("conv", "turn", "role", "text", "parts")), strict=True):
                 flat = Flattener()
@@ -155,7 +155,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema.names)
 
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_attachments", pa.int64()), ("expanded_tokens", pa.int64())])
-        for batch in batches:
+        for batch in common.slices(batches, "formatted"):
             for c, text, start, end, files, tokens in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_start", "loss_end", "files", "expanded_tokens")), strict=True):
                 if at is none or c != at:
                     if state is not None:
