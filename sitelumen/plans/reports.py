@@ -10,6 +10,7 @@ from sitelumen.functions import rules as R
 from sitelumen.functions import scoring as S
 from sitelumen.functions import text as T
 from sitelumen.functions import url as U
+from sitelumen.plans import site
 
 #: How many of the largest a report shows.
 HOSTS, MOVERS, ELEMENTS, HEAVIEST, THEMES, DOMAINS = 12, 8, 10, 8, 12, 8
@@ -134,6 +135,11 @@ def speed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("page_id") % 10 != 0) & ~U.host(F.col("url")).startswith("m.")).withColumn("r", first).where("r = 1").select("key", "url", "type", F.expr(_ORDER).alias("rank"))
 
 
+_TYPED = site.PAGE_TYPES.partition("SELECT split_part(k")[0].replace("lower(regexp_extract(path, '^/([^/]+)', 1)) AS listed", "'' AS listed").replace("q AS (SELECT path, s,", "q AS (SELECT page_id, url, host, query, path, s,").replace("t AS (SELECT CASE", "t AS (SELECT page_id, url, host, query, path, CASE")
+SPEED_QUEUE = f"""{_TYPED}, r AS (SELECT page_id, url, {site._KEY} AS key, split_part(k, '/', 1) AS type FROM t WHERE page_id % 10 <> 0 AND NOT starts_with(host, 'm.'))
+SELECT key, url, type, {_ORDER} AS rank FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1"""
+
+
 def serp_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domains that stand in most results, one's own left out."""
     rows = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("d"), F.col("l_suppkey") % 40, F.lit(".example.com")).alias("domain")).where("domain <> 'd7.example.com'")
@@ -285,6 +291,6 @@ def _listing_counts() -> str:
 
 LISTING_COUNTS = _listing_counts()
 
-_ALL = (vitals_assessment, speed_summary, shift_movers, lcp_elements, lcp_timeline, page_resources, heaviest_resources, serp_domains, heading_themes, theme_terms, covered_topics, reach, channel_ranks, replies, keyword_checks, draft_scores, listing_counts)
-QUERIES = {f.__name__: f for f in (*_ALL, speed_queue)}
+_ALL = (vitals_assessment, speed_queue, speed_summary, shift_movers, lcp_elements, lcp_timeline, page_resources, heaviest_resources, serp_domains, heading_themes, theme_terms, covered_topics, reach, channel_ranks, replies, keyword_checks, draft_scores, listing_counts)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelumen.operators import sitemaps as M
+from sitelumen.sources import sitemap as X
 
 #: Facts by a row's number k, in SQL that Spark and DuckDB share.
 _TABLES = {
@@ -77,6 +78,30 @@ def sitemap_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.dead_twins(_facts(spark, sf_dir, "files"))
 
 
+#: Robots files by number, and the URLs that are asked for, in SQL that Spark and DuckDB share; chr(10) ends a line.
+_ROBOTS = """SELECT concat('https://d', k, '.example.com/robots.txt') AS url, CASE WHEN k = 24 THEN 404 ELSE 200 END AS status,
+  concat('User-agent: *', chr(10), 'Disallow: /a/', k % 3, CASE WHEN k % 2 = 0 THEN ' # old' ELSE '' END, chr(10), 'Allow: /b', chr(10), CASE WHEN k % 4 = 0 THEN '' ELSE concat('Disallow: /b/1', chr(10)) END, chr(10),
+    CASE WHEN k % 3 = 0 THEN concat('user-agent: otherbot', chr(10), 'User-Agent: Googlebot', chr(10), 'Disallow:', CASE WHEN k % 6 = 0 THEN '' ELSE ' /c' END, chr(10), 'Disallow: /', chr(10)) ELSE '' END, 'Sitemap: https://d.example.com/s.xml') AS body
+FROM (SELECT CAST(n_nationkey AS INTEGER) AS k FROM nation) AS n"""
+_ASKED = "SELECT concat('https://d', c_custkey % 25, '.example.com/', CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' ELSE 'd' END, '/', c_custkey % 7, '/', c_custkey) AS url FROM customer"
+
+
+def robots_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, robots_blocked) by each domain's robots file."""
+    shared = lambda sql, table: spark.sql(sql.replace(f"FROM {table}", "FROM {rows}"), rows=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return X.robots_blocked(shared(_ASKED, "customer"), X.robots_rules(shared(_ROBOTS, "nation")))
+
+
+ROBOTS_BLOCKED = f"""
+WITH f AS ({_ROBOTS}), u AS ({_ASKED}), l AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS domain, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS ord FROM f WHERE status = 200),
+s AS (SELECT domain, ord, lower(regexp_extract(line, '(?i)^\s*(user-agent|allow|disallow)\s*:', 1)) AS field, trim(regexp_replace(regexp_replace(line, '#.*$', ''), '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '(?i)^\s*(user-agent|allow|disallow)\s*:')),
+g AS (SELECT *, CASE WHEN field = 'user-agent' AND lag(field) OVER w IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END AS b FROM s WINDOW w AS (PARTITION BY domain ORDER BY ord)), h AS (SELECT *, sum(b) OVER (PARTITION BY domain ORDER BY ord) AS grp FROM g),
+c AS (SELECT domain, coalesce(min(grp) FILTER (lower(value) = 'googlebot'), min(grp) FILTER (value = '*')) AS grp FROM h WHERE field = 'user-agent' GROUP BY domain),
+r AS (SELECT h.domain, ord, field = 'allow' OR value = '' AS allow, value FROM h JOIN c USING (domain, grp) WHERE field <> 'user-agent'),
+m AS (SELECT url, min_by(allow, ord) AS allow FROM u JOIN r ON r.domain = regexp_extract(url, '//([^/]*)', 1) AND starts_with(regexp_extract(url, '//[^/]*(.*)$', 1), r.value) GROUP BY url)
+SELECT u.url, NOT coalesce(allow, true) AS robots_blocked FROM u LEFT JOIN m USING (url)
+"""
+
 _ALIVE = "status = 200 AND found AND NOT offsite"
 _PATH = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/')"
 _ERROR = M.ERROR_PAGE.replace("'", "''")
@@ -128,6 +153,6 @@ SELECT scope, CAST(greatest(0, round_even(100 - round(sum(CASE WHEN starts_with(
 SITEMAP_AFFECTED = f"WITH {_FOUND} SELECT subject AS url, string_agg(DISTINCT code, ', ' ORDER BY code) AS problems FROM d WHERE starts_with(code, 'url-') AND code NOT IN ('url-underscore', 'url-long', 'url-duplicate-content', 'url-mixed-hosts') GROUP BY subject"
 SITEMAP_TWINS = f"WITH files AS ({_TABLES['files'][1]}), n AS (SELECT *, regexp_extract(sitemap, '([^/?#]*)$', 1) AS name FROM files) SELECT a.sitemap, (SELECT max(b.sitemap) FROM n b WHERE b.status = 200 AND b.name = a.name) AS real_file FROM n a WHERE declared AND status IS DISTINCT FROM 200"
 
-_ALL = (sitemap_findings, sitemap_issues, sitemap_score, sitemap_affected, sitemap_twins)
+_ALL = (sitemap_findings, sitemap_issues, sitemap_score, sitemap_affected, sitemap_twins, robots_blocked)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

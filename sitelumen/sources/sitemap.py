@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from sitelumen.functions import url as U
 
@@ -61,3 +62,35 @@ def lastmod_flags(rows: DataFrame, today: str) -> DataFrame:
     """``rows`` with ``lastmod_invalid`` and ``lastmod_future``, by the W3C form and the day ``today`` (YYYY-MM-DD)."""
     valid = F.col("lastmod").rlike(W3C_DATE)
     return rows.withColumn("lastmod_invalid", F.col("lastmod").isNotNull() & ~valid).withColumn("lastmod_future", valid & (F.substring("lastmod", 1, 10) > today))
+
+
+def robots_rules(files: DataFrame, agent: str = "googlebot") -> DataFrame:
+    """(domain, ord, allow, prefix): the rules that ``agent`` obeys in each domain's robots file, in order.
+
+    The first group that names part of the agent counts, else the first for all agents. An empty Disallow allows
+    everything. Files that can't be read have no rules; a file is read whole by one task, and is small.
+    """
+    lines = files.where("status = 200 AND body IS NOT NULL").select(U.host(F.col("url")).alias("domain"), F.posexplode(F.split("body", r"\r?\n")).alias("ord", "line"))
+    part = lambda k: F.regexp_extract("line", r"(?i)^\s*(user-agent|allow|disallow)\s*:\s*([^#]*?)\s*(?:#.*)?$", k)
+    said = lines.select("domain", "ord", F.lower(part(1)).alias("field"), part(2).alias("value")).where("field <> ''")
+    of = W.Window.partitionBy("domain").orderBy("ord")
+    begins = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(of), F.lit("")) != "user-agent")
+    said = said.withColumn("begins", begins.cast("int")).withColumn("group", F.sum("begins").over(of))
+    named = said.where("field = 'user-agent'").select("domain", "group", F.lower("value").alias("agent"))
+    mine = F.when((F.col("agent") != "*") & (F.col("agent") != "") & F.lit(agent.lower()).contains(F.col("agent")), F.col("group"))
+    chosen = named.groupBy("domain").agg(F.coalesce(F.min(mine), F.min(F.when(F.col("agent") == "*", F.col("group")))).alias("group"))
+    rules = said.where("field <> 'user-agent'").join(chosen, ["domain", "group"])
+    return rules.select("domain", "ord", ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("prefix"))
+
+
+def robots_blocked(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """``urls`` with ``robots_blocked``: whether the first rule of its domain that begins its path, or is a star, forbids it.
+
+    ``url`` values are different. A URL meets the rules of its own domain only, which are as many as its robots file has lines.
+    """
+    path = F.concat(U.path(F.col(url)), F.regexp_extract(url, r"^[^#?]*(\?[^#]*)", 1))
+    rows = urls.select(F.col(url).alias("_u"), U.host(F.col(url)).alias("domain"), path.alias("path")).distinct()
+    met = rows.join(rules, "domain").where((F.col("prefix") == "*") | F.startswith("path", "prefix"))
+    first = met.groupBy("_u").agg(F.min_by("allow", "ord").alias("allow"))
+    found = urls.join(first, urls[url] == first["_u"], "left")
+    return found.select(*(urls[c] for c in urls.columns if c != "robots_blocked"), (~F.coalesce("allow", F.lit(True))).alias("robots_blocked"))

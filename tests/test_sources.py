@@ -1,5 +1,7 @@
 """Sitemaps, publishing and streams."""
 
+from urllib import robotparser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,26 @@ def test_event_windows(spark, sf_dir):
     query = watch.event_windows(events).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").agg(F.sum("events")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_robots_rules_equal_the_standard_library(spark):
+    bodies = [
+        "User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow:\n",
+        "User-agent: otherbot\nUser-agent: Googlebot # ours\nDisallow: /x\n\nUser-agent: *\nDisallow: /\n",
+        "user-agent: *\nallow: /a/b\ndisallow: /a\n\nSitemap: https://s/x.xml",
+        "User-agent: otherbot\nDisallow: /\n",
+        "Disallow: /no-agent\nUser-agent: *\nDisallow: /q?x=1\n",
+        "",
+    ]
+    paths = ["/", "/a", "/a/b", "/a/b/c", "/x/1", "/q?x=1", "/q", "/no-agent"]
+    files = spark.createDataFrame([(f"https://d{i}.com/robots.txt", 200, b) for i, b in enumerate(bodies)] + [("https://dead.com/robots.txt", 404, bodies[1]), ("https://null.com/robots.txt", 200, None)], "url string, status int, body string")
+    urls = [f"https://d{i}.com{p}" for i in range(len(bodies)) for p in paths]
+    asked = spark.createDataFrame([(u,) for u in [*urls, "https://dead.com/a", "https://unknown.com/a"]], "url string")
+    got = {r.url: r.robots_blocked for r in sitemap.robots_blocked(asked, sitemap.robots_rules(files)).collect()}
+    for i, body in enumerate(bodies):
+        parser = robotparser.RobotFileParser()
+        parser.parse(body.splitlines())
+        parser.modified()
+        for p in paths:
+            assert got[f"https://d{i}.com{p}"] == (not parser.can_fetch("Googlebot", f"https://d{i}.com{p}")), (body, p)
+    assert not got["https://dead.com/a"] and not got["https://unknown.com/a"] and sitemap.robots_rules(files.limit(0)).count() == 0
