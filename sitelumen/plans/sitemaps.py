@@ -94,7 +94,7 @@ def robots_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROBOTS_BLOCKED = f"""
 WITH f AS ({_ROBOTS}), u AS ({_ASKED}), l AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS domain, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS ord FROM f WHERE status = 200),
-s AS (SELECT domain, ord, lower(regexp_extract(line, '(?i)^\s*(user-agent|allow|disallow)\s*:', 1)) AS field, trim(regexp_replace(regexp_replace(line, '#.*$', ''), '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '(?i)^\s*(user-agent|allow|disallow)\s*:')),
+s AS (SELECT domain, ord, lower(regexp_extract(line, '(?i)^\\s*(user-agent|allow|disallow)\\s*:', 1)) AS field, trim(regexp_replace(regexp_replace(line, '#.*$', ''), '^[^:]*:', '')) AS value FROM l WHERE regexp_matches(line, '(?i)^\\s*(user-agent|allow|disallow)\\s*:')),
 g AS (SELECT *, CASE WHEN field = 'user-agent' AND lag(field) OVER w IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END AS b FROM s WINDOW w AS (PARTITION BY domain ORDER BY ord)), h AS (SELECT *, sum(b) OVER (PARTITION BY domain ORDER BY ord) AS grp FROM g),
 c AS (SELECT domain, coalesce(min(grp) FILTER (lower(value) = 'googlebot'), min(grp) FILTER (value = '*')) AS grp FROM h WHERE field = 'user-agent' GROUP BY domain),
 r AS (SELECT h.domain, ord, field = 'allow' OR value = '' AS allow, value FROM h JOIN c USING (domain, grp) WHERE field <> 'user-agent'),
