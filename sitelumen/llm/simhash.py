@@ -162,7 +162,7 @@ def forest(keys: np.ndarray, bits: np.ndarray, radius: int = RADIUS) -> np.ndarr
     return parent
 
 
-def _linked(candidates: DataFrame, key: list[str], order: list[str], link: Callable[[np.ndarray, pa.Table], np.ndarray]) -> DataFrame:
+def linked_runs(candidates: DataFrame, key: list[str], order: list[str], link: Callable[[np.ndarray, pa.Table], np.ndarray]) -> DataFrame:
     """Edges (u, v) between nodes of ``candidates`` that agree in ``key``: the forest that ``link`` finds in whole runs,
     given a number for each row's run and the rows."""
 
@@ -202,7 +202,7 @@ def _bits(rows: pa.Table, names: list[str]) -> np.ndarray:
 
 def _runs(candidates: DataFrame, key: list[str], bits: list[str], radius: int) -> DataFrame:
     """Edges (u, v) between nodes of ``candidates`` (key and bits columns, node): a forest of each run's links."""
-    return _linked(candidates, key, bits, lambda keys, rows: forest(keys, _bits(rows, bits), radius))
+    return linked_runs(candidates, key, bits, lambda keys, rows: forest(keys, _bits(rows, bits), radius))
 
 
 def _pairs(bits: str, parts: int, width: int, offsets: list[int] | None = None) -> list[F.Column]:
@@ -409,7 +409,7 @@ def _checked(docs: DataFrame, nodes: DataFrame, loose: DataFrame, id: str, text:
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.greatest(k, F.col("own")) * F.lit(1_000_000).cast("long") + F.least(k, F.col("own")))
     grid = sets.withColumn("own", own).select("component", "node", *names, "hashes", F.explode(others).alias("cell"))
-    return _linked(grid, ["component", "cell"], ["node"], link)
+    return linked_runs(grid, ["component", "cell"], ["node"], link)
 
 
 def _similar_rows(docs: DataFrame, id: str, text: str, similarity: float, width: int, run_rows: int) -> DataFrame:
