@@ -45,7 +45,7 @@ def parts(vectors: np.ndarray) -> np.ndarray:
     n, d = vectors.shape
     padded = np.zeros((n, -(-max(d, 1) // PART_DIMS) * PART_DIMS))
     padded[:, :d] = vectors
-    return padded.reshape(n, -1, PART_DIMS)
+    return padded.reshape(n, padded.shape[1] // PART_DIMS, PART_DIMS)
 
 
 def nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:

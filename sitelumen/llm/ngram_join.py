@@ -7,7 +7,8 @@
 2. In a tile, sets are compared by hashed bitmaps: a bit is the parity of the shingles that fall on it, so the bits that
    differ are at most the shingles that differ, and bound the overlap from above.
 3. What passes is grouped, and in a group each set is intersected with those that it is not yet linked with, as sorted
-   arrays. Links, not candidates, make the result's components.
+   arrays. Large groups are dealt to tasks, first with a few sets that all others meet. Links, not candidates, make the
+   result's components.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from . import common, wordhash
 from .components import components
@@ -33,8 +35,10 @@ SPARE = 8
 BUCKET_BYTES = 24 << 20
 #: Parts that a task gathers before it deals them to buckets, and sets that it remembers having dealt.
 DEAL_PARTS, REMEMBERED = 2_000_000, 1_000_000
-#: Sets of a tile, and shingles of a group, that one task compares; larger ones are cut into chunks, of which every two meet.
-RUN_SETS, GROUP_SHINGLES = 32_768, 4_000_000
+#: Sets of a tile, and shingles of a group, that one task compares; larger ones are cut into chunks.
+RUN_SETS, GROUP_SHINGLES = 32_768, 2_000_000
+#: Sets of a large group that all others meet first.
+PIVOTS = 48
 #: 64-bit words of the smallest bitmap, and shingles a word of larger ones.
 LEAST_WORDS, SHINGLES_A_WORD = 8, 128
 
@@ -106,29 +110,34 @@ def set_names(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def grouped(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], sets: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+def grouped(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], sets: tuple[np.ndarray, np.ndarray] | None = None, side: np.ndarray | None = None) -> np.ndarray:
     """For each set, the first one that it is linked with, by links between sets of equal ``keys``, sorted.
 
     A link is a pair whose sizes and bitmaps allow enough overlap; with ``sets`` (hashes, and where each set begins), one
-    whose intersection is large enough. Sets that are linked already, if only by others, are not compared again.
+    whose intersection is large enough. Sets that are linked already, if only by others, are not compared again, nor are
+    sets of the same ``side``, if that is 0 or more.
     """
     parent = np.arange(len(keys))
     for run in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys)) + 1):
         if len(run) < 2:
             continue
         n, bits, root = sizes[run], folded([maps[i] for i in run.tolist()]), np.arange(len(run))
+        apart = None if side is None or (side[run] < 0).all() else side[run]
+        ranked = None if sets is None else Ranked(*sets, run, sizes)
         for i in range(len(run) - 1):
             others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
             if not len(others):
                 if not root[i:].any():
                     break
                 continue
+            if apart is not None and apart[i] >= 0:
+                others = others[apart[others] != apart[i]]
             total = n[others] + n[i]
             differ = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
             near = (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])) & (differ <= most_different(total))
             others, total = others[near], total[near]
-            if sets is not None and len(others):
-                shared = overlaps(*sets, run[i], run[others], sizes)
+            if ranked is not None and len(others):
+                shared = ranked.overlaps(i, others)
                 others = others[100 * shared >= PERCENT * (total - shared)]
             if len(others):
                 joined = np.append(root[others], root[i])
@@ -137,16 +146,29 @@ def grouped(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], sets: tuple[
     return parent
 
 
-def overlaps(hashes: np.ndarray, begin: np.ndarray, one: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of set ``one`` with ``others``, which are sorted arrays in ``hashes``."""
-    own, out = hashes[begin[one] : begin[one] + sizes[one]], np.zeros(len(others), np.int64)
-    for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(sizes[others]) // (1 << 20))) + 1):
-        m = sizes[others[part]]
-        first = np.cumsum(m) - m
-        theirs = hashes[np.repeat(begin[others[part]] - first, m) + np.arange(int(m.sum()))]
-        at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-        out[part] = np.add.reduceat((own[at] == theirs).astype(np.int64), first)
-    return out
+class Ranked:
+    """The sorted arrays of a run of sets, their hashes replaced by ranks among all of the run's.
+
+    Ranks are dense, so an array meets others by a table of its places: each step of their merge is one look at it.
+    """
+
+    def __init__(self, hashes: np.ndarray, begin: np.ndarray, run: np.ndarray, sizes: np.ndarray) -> None:
+        self.n, self.begin = sizes[run], begin[run] - begin[run[0]]
+        whole = hashes[begin[run[0]] : begin[run[-1]] + sizes[run[-1]]]
+        self.rank = np.unique(whole, return_inverse=True)[1].astype(np.int32)
+        self.inside = np.zeros(int(self.rank.max()) + 1, bool)
+
+    def overlaps(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set ``one`` with ``others``."""
+        own, out = self.rank[self.begin[one] : self.begin[one] + self.n[one]], np.zeros(len(others), np.int64)
+        self.inside[own] = True
+        for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(self.n[others]) // (1 << 20))) + 1):
+            m = self.n[others[part]]
+            first = np.cumsum(m) - m
+            place = np.repeat(self.begin[others[part]] - first, m) + np.arange(int(m.sum()))
+            out[part] = np.add.reduceat(self.inside[self.rank[place]], first, dtype=np.int64)
+        self.inside[own] = False
+        return out
 
 
 def with_set(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,11 +259,68 @@ def _met(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(tile, count)[inside].view(np.int64)), pa.array(nodes[inside])], ["tile", "node"])
 
 
-def _cells(rows: DataFrame, chunks: Column) -> DataFrame:
-    """Rows with a ``cell`` for each pair of chunks that they take part in: of one chunk, the cell 0."""
-    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    pair = lambda k: F.greatest(k, F.col("own")) * (1 << 31) + F.least(k, F.col("own"))
-    return rows.withColumn("chunks", chunks.cast("long")).withColumn("own", own).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), pair))).drop("chunks", "own")
+def _pair(a: Column, b: Column) -> Column:
+    """A number for two chunks, whichever comes first."""
+    return F.greatest(a, b) * (1 << 31) + F.least(a, b)
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows with a ``cell`` for each two ``chunks`` of theirs that ``own`` is of, and their ``side`` there: of two chunks, each is compared with the other."""
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(_pair(k, F.col("own")).alias("cell"), F.when(k == F.col("own"), -1).otherwise(F.col("own")).alias("side")))
+    return rows.withColumn("m", F.explode(met)).withColumns({"cell": F.col("m.cell"), "side": F.col("m.side").cast("long")}).drop("m", "chunks", "own")
+
+
+def _dealt(rows: DataFrame, chunks: Column) -> DataFrame:
+    return rows.withColumn("chunks", chunks.cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
+
+
+def _column(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _screened(keys: np.ndarray, rows: pa.Table) -> np.ndarray:
+    return grouped(keys, _column(rows, "size"), rows.column("bitmap").to_pylist(), side=_column(rows, "side"))
+
+
+def _intersected(keys: np.ndarray, rows: pa.Table) -> np.ndarray:
+    sets = rows.column("hashes").combine_chunks()
+    sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    return grouped(keys, n, rows.column("bitmap").to_pylist(), (sets.flatten().to_numpy().view(np.uint64), np.cumsum(n) - n), _column(rows, "side"))
+
+
+def _in_large_groups(sets: DataFrame) -> DataFrame:
+    """Edges that connect just what links connect, of groups that one task can't hold: ``sets`` (component, node, size, bitmap, hashes), settled.
+
+    Every set of a group meets its PIVOTS first; those that so come to be linked with most others need not be compared with
+    each other any more. What is left over is compared with all. So a group of near copies costs what its size
+    does, and only one without such a middle grows with its square.
+    """
+    keep = ["component", "node", "size", "bitmap", "hashes"]
+    total = sets.groupBy("component").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("sets"))
+    half = lambda shingles, sets: F.ceil(F.greatest(F.col(shingles) / (GROUP_SHINGLES // 2), F.col(sets) / (RUN_SETS // 2)))
+    rows = _dealt(sets.join(total.select("component", half("shingles", "sets").alias("parts")), "component"), F.col("parts"))
+    place = F.row_number().over(W.Window.partitionBy("component").orderBy("node"))
+    pivots = rows.select("component", "node", "chunks").withColumn("place", place).where(F.col("place") <= PIVOTS)
+    pivots = sets.join(pivots.select("component", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("cell")), ["component", "node"])
+    met = rows.select(*keep, F.col("own").alias("cell"), F.lit(0).cast("long").alias("side")).unionByName(pivots.select(*keep, "cell", F.lit(-1).cast("long").alias("side")))
+    first = common.settle(linked_runs(met, ["component", "cell"], ["side", "node"], _intersected))
+
+    named = sets.select("component", "node", "size").join(components(first).withColumnRenamed("component", "label"), "node", "left")
+    named = common.settle(named.select("component", "node", "size", F.coalesce("label", "node").alias("label")))
+    middle = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+    named = named.join(middle.withColumnRenamed("label", "middle"), "component").select("component", "node", "size", (F.col("label") == F.col("middle")).alias("inside"))
+    sums = named.groupBy("component").agg(*(f.alias(f"{k}_{name}") for k, of in (("in", F.col("inside")), ("out", ~F.col("inside"))) for name, f in (("shingles", F.sum(F.when(of, F.col("size")).otherwise(0))), ("sets", F.count_if(of)))))
+    sums = sums.where("out_sets > 0").select("component", F.greatest(F.lit(1), half("in_shingles", "in_sets")).alias("ins"), half("out_shingles", "out_sets").alias("outs"))
+    rows = sets.join(named.select("node", "inside"), "node").join(sums, "component")
+    outside = _cells(_dealt(rows.where("NOT inside"), F.col("outs")).select(*keep, "chunks", "own"))
+    # Cells of those inside lie beyond the others: each chunk of theirs meets each chunk of those outside.
+    meet = lambda of, many, beyond: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col(many).cast("long") - 1), beyond))
+    cross = lambda i, o: (i + 1) * (1 << 40) + o
+    inner = _dealt(rows.where("inside"), F.col("ins")).withColumn("cell", meet("outs", "outs", lambda o: cross(F.col("own"), o))).select(*keep, "cell", F.lit(0).cast("long").alias("side"))
+    outer = _dealt(rows.where("NOT inside"), F.col("outs")).withColumn("cell", meet("ins", "ins", lambda i: cross(i, F.col("own")))).select(*keep, "cell", F.lit(1).cast("long").alias("side"))
+    cells = outside.select(*keep, "cell", "side").unionByName(inner).unionByName(outer)
+    return first.unionByName(linked_runs(cells, ["component", "cell"], ["node"], _intersected))
 
 
 def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,34 +331,28 @@ def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "te
     sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"))
     rows = met.join(sizes, "tile").join(nodes.select("node", "size", "bitmap"), "node")
     chunks = F.when(F.col("sets") <= RUN_SETS, 1).otherwise(F.ceil(F.col("sets") / (RUN_SETS // 2)))
-    column = lambda rows, c: rows.column(c).to_numpy()
-    screen = lambda keys, rows: grouped(keys, column(rows, "size"), rows.column("bitmap").to_pylist())
-    loose = components(linked_runs(_cells(rows, chunks).select("tile", "cell", "node", "size", "bitmap"), ["tile", "cell"], ["node"], screen))
+    loose = components(linked_runs(_cells(_dealt(rows, chunks)).select("tile", "cell", "side", "node", "size", "bitmap"), ["tile", "cell"], ["node"], _screened))
 
     asked = common.settle(nodes.join(loose, "node"))
     sums = asked.groupBy("component").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("sets"))
-    chunks = F.ceil(F.greatest(F.col("shingles") / (GROUP_SHINGLES // 2), F.col("sets") / (RUN_SETS // 2)))
-    chunks = F.when((F.col("shingles") <= GROUP_SHINGLES) & (F.col("sets") <= RUN_SETS), 1).otherwise(chunks)
-    wanted = asked.join(sums, "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "node", "bitmap", chunks.alias("chunks"))
+    large = (F.col("shingles") > GROUP_SHINGLES) | (F.col("sets") > RUN_SETS)
+    wanted = asked.join(sums.select("component", large.alias("large")), "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "node", "size", "bitmap", "large")
     texts = _keyed(docs, id, text)
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select("component", "node", "bitmap", "chunks", "text")
+    names = ["component", "node", "size", "bitmap", "large"]
+    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in common.slices(batches, "text"):
-            batch = batch.filter(pa.array([not (v in seen or seen.add(v)) for v in batch.column("node").to_pylist()]))  # rows may repeat
             hashes, sizes = shingle_sets(batch.column("text").to_pylist(), WIDTH)
             offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "node", "bitmap", "chunks")), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], ["component", "node", "bitmap", "chunks", "hashes"])
-
-    def link(keys: np.ndarray, rows: pa.Table) -> np.ndarray:
-        sets = rows.column("hashes").combine_chunks()
-        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
-        n = sets.value_lengths().to_numpy().astype(np.int64)
-        return grouped(keys, n, rows.column("bitmap").to_pylist(), (sets.flatten().to_numpy().view(np.uint64), np.cumsum(n) - n))
-
-    sets = texts.mapInArrow(run, "component long, node long, bitmap binary, chunks long, hashes array<bigint>")
-    return linked_runs(_cells(sets, F.col("chunks")).select("component", "cell", "node", "bitmap", "hashes"), ["component", "cell"], ["node"], link)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], [*names, "hashes"])
+
+    sets = texts.mapInArrow(run, "component long, node long, size long, bitmap binary, large boolean, hashes array<bigint>")
+    sets = common.settle(sets.dropDuplicates(["node"]))  # rows may repeat
+    small = sets.where("NOT large").select("component", F.lit(-1).cast("long").alias("side"), "node", "bitmap", "hashes")
+    edges = linked_runs(small, ["component"], ["node"], _intersected)
+    big = sets.where("large")
+    return edges if big.isEmpty() else edges.unionByName(_in_large_groups(big.drop("large")))
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
