@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelumen.functions import text as T
+from sitelumen.operators.store import settle, small
 
 
 def shingle_sets(texts: DataFrame, id: str, text: str, width: int = 5, least_words: int = 0) -> DataFrame:
@@ -16,15 +17,19 @@ def shingle_sets(texts: DataFrame, id: str, text: str, width: int = 5, least_wor
     return rows.where(F.size("w") >= max(1, least_words)).select("id", T.shingles(F.col("w"), width).alias("set"))
 
 
-def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.7, least_words: int = 60, width: int = 5) -> DataFrame:
-    """(a, b, similarity), a < b: pairs of different texts, each by its smallest id, with Jaccard similarity ``least`` or more.
+def _known(texts: DataFrame, id: str, text: str, width: int, least_words: int) -> tuple[DataFrame, DataFrame]:
+    """(id, copy, set) of each text, worked out once and settled, and (copy, first, copies) of each different text.
 
-    Two sets that similar share one of their first n - ceil(least * n) + 1 hashes in a common order, so only those are
-    joined: no pair is lost, and equal texts are one. Ordering by rarity keeps a common passage out of those first
-    hashes: it lies behind the rare ones, so hot shingles join nobody unless a text has nothing else.
+    ``copy`` tells texts apart by hashes of 96 bits and the length, so that no text moves.
     """
-    one = texts.groupBy(F.col(text).alias("text")).agg(F.min(id).alias("id")).where("text IS NOT NULL")
-    sets = shingle_sets(one, "id", "text", width, least_words)
+    copy = F.struct(F.xxhash64(text).alias("h"), F.crc32(F.col(text).cast("binary")).alias("c"), F.length(text).alias("n"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), copy.alias("copy"), T.plain_words(F.col(text)).alias("w"))
+    sets = settle(rows.where(F.size("w") >= max(1, least_words)).select("id", "copy", T.shingles(F.col("w"), width).alias("set")))
+    return sets, settle(sets.groupBy("copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
+
+
+def _pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity), a < b, of ``sets`` (id, set), which is read four times."""
     each = sets.select("id", F.size("set").alias("n"), F.explode_outer("set").alias("h"))  # explode would filter on the set, and evaluate it there for every window
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Hashes of one text alone join nobody; they count in the order, before all shared ones.
@@ -40,6 +45,26 @@ def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", leas
     return met.select("a", "b", T.jaccard(F.col("set_a"), F.col("set_b")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def similar_pairs(texts: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.7, least_words: int = 60, width: int = 5) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of different texts, each by its smallest id, with Jaccard similarity ``least`` or more.
+
+    Two sets that similar share one of their first n - ceil(least * n) + 1 hashes in a common order, so only those are
+    joined: no pair is lost, and equal texts are one. Ordering by rarity keeps a common passage out of those first
+    hashes: it lies behind the rare ones, so hot shingles join nobody unless a text has nothing else.
+    """
+    sets, known = _known(texts, id, text, width, least_words)
+    return _pairs(settle(sets.join(known.select(F.col("first").alias("id")), "id", "left_semi").select("id", "set")), least)
+
+
+def most_similar(texts: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.7, least_words: int = 60, width: int = 5) -> DataFrame:
+    """(id, similarity) of each text that has another one, equal or similar, of ``least`` or more: the highest similarity. ``id`` is unique."""
+    sets, known = _known(texts, id, text, width, least_words)
+    pairs = _pairs(settle(sets.join(known.select(F.col("first").alias("id")), "id", "left_semi").select("id", "set")), least)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("first"), "similarity").groupBy("first").agg(F.max("similarity").alias("best"))
+    best = known.join(ends, "first", "left").select("copy", F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("similarity"))
+    return sets.select("id", "copy").join(best.where("similarity IS NOT NULL"), "copy").select("id", "similarity")
+
+
 def positions(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, pos, word): each word of each text, lower-case."""
     w = F.transform(T.words(F.col(text)), F.lower)
@@ -66,10 +91,12 @@ def windows(texts: DataFrame, id: str, text: str, width: int) -> DataFrame:
 def unique_words(texts: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, rare: int = 3) -> DataFrame:
     """(id, n_words, unique_words): the words of each text that lie in a window that fewer than ``rare`` texts hold.
 
-    Windows that ``rare`` texts or more hold are few, so those are sent back, and all others are rare. ``id`` is unique.
+    Windows that ``rare`` texts or more hold are few, so those are sent back (broadcast if counted few), and all others
+    are rare. Hashes are worked out once and settled. ``id`` is unique.
     """
-    each = windows(texts, id, text, width)
-    common = shingle_frequency(texts, id, text, width).where(F.col("docs") >= rare).select(F.col("shingle").alias("h"))
+    each = settle(windows(texts, id, text, width))
+    frequency = each.select(F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
+    common = small(settle(frequency.where(F.col("docs") >= rare).select("h")))
     placed = each.select("id", F.posexplode("hashes").alias("start", "h")).join(common, "h", "left_semi").groupBy("id").agg(F.collect_list("start").alias("common"))
     sizes = texts.select(F.col(id).alias("id"), F.size(T.words(F.coalesce(F.col(text), F.lit("")))).alias("n_words"))
     starts = F.when(F.col("n_words") >= width, F.sequence(F.lit(0), F.col("n_words") - width)).otherwise(F.array().cast("array<int>"))

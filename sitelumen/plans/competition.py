@@ -62,19 +62,25 @@ def _pairs_of(text: str, numbers: str) -> str:
 
 _BRANDLESS = "trim(regexp_replace({}, '(?i)\\s*[|\\-–—:]?\\s*Acme\\s*[|\\-–—:]?\\s*', ' ', 'g'))"
 _S = "list_transform({}, lambda x: x.s)"
-_TARGETS = f"""
-f AS ({_FACTS.format(range="range(CAST(k % 64 AS BIGINT), CAST(k % 64 + CASE WHEN k % 11 = 0 THEN 21 ELSE 61 END AS BIGINT))")}),
-a AS (SELECT *, {_pairs_of("array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/'), lambda s: s NOT IN ('', 'blog', 'category', 'tag')), ' ')", "[0-9]+")} AS slug, {_pairs_of(_BRANDLESS.format('h1'), 'x')} AS head, {_pairs_of(_BRANDLESS.format('title'), 'x')} AS head2, {_pairs_of("coalesce(query, '')", '(19|20)[0-9][0-9]')} AS asked FROM f),
+def targeted(h1: str, title: str) -> str:
+    """The SQL of the targets t, of a table f of pages; ``h1`` and ``title`` without the brand."""
+    return f"""
+a AS (SELECT *, {_pairs_of("array_to_string(list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/]*([^?#]*)', 1), '/'), lambda s: s NOT IN ('', 'blog', 'category', 'tag')), ' ')", "[0-9]+")} AS slug, {_pairs_of(h1, 'x')} AS head, {_pairs_of(title, 'x')} AS head2, {_pairs_of("coalesce(query, '')", '(19|20)[0-9][0-9]')} AS asked FROM f),
 b AS (SELECT * REPLACE (CASE WHEN len(head) > 0 THEN head ELSE head2 END AS head), len(list_filter(slug, lambda x: NOT regexp_full_match(x.s, '[0-9]+'))) >= 2 AS enough FROM a),
 c AS (SELECT *, CASE WHEN enough OR len(head) = 0 THEN {_S.format('slug')} ELSE (list_filter({_S.format('head')} || {_S.format('slug')}, lambda x, i: list_position({_S.format('head')} || {_S.format('slug')}, x) = i))[:6] END AS chosen FROM b),
 d AS (SELECT *, list_filter({_S.format('head')}, lambda t: list_contains(chosen, t)) || list_filter(chosen, lambda t: NOT list_contains({_S.format('head')}, t)) AS ordered FROM c),
 t AS (SELECT *, CASE WHEN coalesce(query, '') <> '' THEN {_S.format('asked')} ELSE ordered END AS tokens,
   CASE WHEN coalesce(query, '') <> '' THEN array_to_string(list_transform(asked, lambda x: x.w), ' ') ELSE array_to_string(list_transform(ordered, lambda t: coalesce(list_filter(slug || head, lambda x: x.s = t)[1].w, t)), ' ') END AS phrase,
-  CASE WHEN coalesce(query, '') <> '' THEN 'search-console' WHEN enough OR len(head) = 0 THEN 'url' WHEN len(slug) > 0 THEN 'h1+url' WHEN {_BRANDLESS.format('h1')} <> '' THEN 'h1' ELSE 'title' END AS source FROM d)
+  CASE WHEN coalesce(query, '') <> '' THEN 'search-console' WHEN enough OR len(head) = 0 THEN 'url' WHEN len(slug) > 0 THEN 'h1+url' WHEN {h1} <> '' THEN 'h1' ELSE 'title' END AS source FROM d)
 """
+
+
+_TARGETS = f"""
+f AS ({_FACTS.format(range="range(CAST(k % 64 AS BIGINT), CAST(k % 64 + CASE WHEN k % 11 = 0 THEN 21 ELSE 61 END AS BIGINT))")}),
+{targeted(_BRANDLESS.format("h1"), _BRANDLESS.format("title"))}"""
 TARGET_KEYWORDS = f"WITH {_TARGETS} SELECT page, phrase, array_to_string(tokens, ' ') AS tokens, source FROM t"
 
-_COMPETING = f"""{_TARGETS},
+_PAIRS = """
 p AS (SELECT page, tokens, list_filter(tokens, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS base, type, shingles, row(CASE WHEN type IN ('home', 'landing') THEN 1 ELSE 0 END, inlinks, words, -len(string_split(regexp_replace(url, '/+$', ''), '/'))) AS strength FROM t),
 m AS (SELECT i.page AS i, j.page AS j, i.tokens AS a, j.tokens AS b, i.type AS ti, j.type AS tj, i.shingles AS si, j.shingles AS sj, i.strength >= j.strength AS i_strong, i.strength = j.strength AS alike,
   len(list_intersect(i.tokens, j.tokens)) AS shared, len(list_filter(i.tokens, lambda t: NOT list_contains(j.tokens, t))) AS only_i, len(list_filter(j.tokens, lambda t: NOT list_contains(i.tokens, t))) AS only_j, list_sort(i.base) = list_sort(j.base) AS same_base
@@ -87,6 +93,7 @@ s AS (SELECT *, CASE WHEN series THEN 'numbered-series' WHEN equal THEN 'same-ta
 u AS (SELECT CASE WHEN i_hub THEN i ELSE j END AS hub, CASE WHEN i_hub THEN j ELSE i END AS spoke, kind, CASE WHEN kind IN ('same-target', 'copied-spoke') THEN 'high' WHEN kind = 'numbered-series' THEN CASE WHEN sim >= 0.8::DOUBLE THEN 'high' ELSE 'medium' END WHEN kind = 'blog-vs-landing' THEN CASE WHEN sim >= 0.5::DOUBLE THEN 'high' ELSE 'medium' END WHEN kind = 'hub-spoke-overlap' THEN 'medium' ELSE 'low' END AS severity,
   round(similarity, 6) AS similarity, CASE WHEN alike THEN CASE WHEN i_hub THEN i ELSE j END WHEN i_strong THEN i ELSE j END AS keep FROM s WHERE kind <> 'numbered-series' OR sim >= 0.5::DOUBLE)
 """
+_COMPETING = f"{_TARGETS}, {_PAIRS}"
 CANNIBALIZATION = f"WITH {_COMPETING} SELECT * FROM u"
 COMPETITOR_CLUSTERS = f"""WITH {_COMPETING}, v AS (SELECT keep, min(CASE severity WHEN 'high' THEN 0 ELSE 1 END) AS rank, count(*) AS competitors, array_to_string(list_sort(list(DISTINCT CASE WHEN keep = hub THEN spoke ELSE hub END)), ' ') AS pages FROM u WHERE severity <> 'low' GROUP BY keep ORDER BY rank, competitors DESC, keep LIMIT 250)
 SELECT keep, CASE rank WHEN 0 THEN 'high' ELSE 'medium' END AS severity, competitors, pages FROM v"""

@@ -133,20 +133,27 @@ _CHECKS = [
 ]
 _LACKS = {"in_title": "title_words", "in_description": "description", "in_h1": "array_to_string(h1, ' ')", "in_intro": "intro", "in_path": "path"}
 # fmt: off
-_AUDITED = f"""
-f AS ({_FACTS.format(split="string_split", none="CAST([] AS VARCHAR[])", open="[", close="]")}),
-g AS (SELECT *, coalesce(named, CAST([] AS VARCHAR[])) AS tokens, status = 200 AS ok, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path, CASE WHEN popup THEN content_lcp_ms ELSE lcp_ms END AS content, {', '.join(f"count(*) FILTER (status = 200) OVER (PARTITION BY {_KEY.format(v)}) AS {k}" for k, v in _GROUPS.items())} FROM f),
+def checked(facts: str) -> str:
+    """The SQL of the findings k, of a table of L.FACTS with the target's tokens as ``named``."""
+    return f"""
+g AS (SELECT *, coalesce(named, CAST([] AS VARCHAR[])) AS tokens, status = 200 AS ok, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS path, CASE WHEN popup THEN content_lcp_ms ELSE lcp_ms END AS content, {', '.join(f"count(*) FILTER (status = 200) OVER (PARTITION BY {_KEY.format(v)}) AS {k}" for k, v in _GROUPS.items())} FROM {facts}),
 h AS (SELECT *, {_tokens("substr(title, 1, greatest(1, length(title) // 2))")} AS starts, {', '.join(f"len(list_filter(tokens, lambda t: NOT list_contains({_tokens(v)}, t))) AS {k}" for k, v in _LACKS.items())} FROM g),
 k AS ({' UNION ALL '.join(f"SELECT page, subtype, '{c}' AS check_, '{g}' AS group_, {s} AS severity FROM h WHERE {w}" for c, g, s, w in _CHECKS)})
 """
+
+
+_AUDITED = f"""
+f AS ({_FACTS.format(split="string_split", none="CAST([] AS VARCHAR[])", open="[", close="]")}),
+{checked("f")}"""
 LANDING_AUDIT = f'WITH {_AUDITED} SELECT page, subtype, check_ AS "check", group_ AS "group", severity FROM k WHERE severity IS NOT NULL'
 _SEVEREST = "CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END"
-LANDING_MATRIX = f"""WITH {_AUDITED}, m AS (SELECT check_ AS "check", group_ AS "group", {_SEVEREST} AS severity, count(*) AS pages, round(count(*) / (SELECT count(*) FROM f), 3) AS share FROM k WHERE severity IS NOT NULL GROUP BY ALL)
+LANDING_MATRIX = f"""WITH {_AUDITED}, m AS (SELECT check_ AS "check", group_ AS "group", {_SEVEREST} AS severity, count(*) AS pages, round(count(*) / (SELECT count(DISTINCT page) FROM k), 3) AS share FROM k WHERE severity IS NOT NULL GROUP BY ALL)
 SELECT *, pages >= 8 AND share >= 0.8::DOUBLE AS template FROM m"""
 LANDING_FAILING_PAGES = f'WITH {_AUDITED} SELECT check_ AS "check", page, CAST(row_number() OVER (PARTITION BY check_ ORDER BY page) AS INTEGER) AS place FROM k WHERE severity IS NOT NULL QUALIFY place <= 400'
-_GRADED = f"""{_AUDITED}, s AS (SELECT page, subtype, count(*) AS checks, count(severity) AS failed, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM k GROUP BY page, subtype),
+_SCORED = """s AS (SELECT page, subtype, count(*) AS checks, count(severity) AS failed, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM k GROUP BY page, subtype),
 r AS (SELECT *, CAST(greatest(0, round_even(100 - (10 * high + 4 * medium + low) * 100.0::DOUBLE / greatest(1, 3 * checks), 0)) AS INTEGER) AS score FROM s),
 o AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM r)"""
+_GRADED = f"{_AUDITED}, {_SCORED}"
 LANDING_PAGE_SCORES = f"WITH {_GRADED} SELECT * FROM o"
 LANDING_ROLLUP = f"WITH {_GRADED} SELECT subtype, count(*) AS pages, CAST(round_even(avg(score), 0) AS INTEGER) AS score, CAST(sum(high) AS BIGINT) AS high, {', '.join(f"count(*) FILTER (grade = '{g}') AS {g}" for g in 'ABCDF')} FROM o GROUP BY subtype"
 # fmt: on

@@ -10,7 +10,7 @@ from sitelumen.functions import rules as R
 from sitelumen.functions import scoring as S
 from sitelumen.functions import text as T
 from sitelumen.functions import url as U
-from sitelumen.operators import dissect, mentions
+from sitelumen.operators import mentions
 
 
 def of(spark, function, *values):
@@ -83,19 +83,6 @@ def test_clusters(spark):
     assert found == {("a", "law coaching delhi"): "law coaching", ("a", "law coaching"): "law coaching", ("a", "music"): "music", ("b", "x y"): "x y"}
 
 
-def test_dissect(spark):
-    html = """<!doctype html><html lang=en><head><title> A  b </title><meta charset=utf-8><meta name=viewport content=x><meta name=description content=D>
-    <link rel=canonical href=/c><script src=a.js></script><script type="application/ld+json">{"@graph":[{"@type":"Organization"},{"@type":["Course"]}]}</script><script type="application/ld+json">{bad</script></head>
-    <body><nav>menu</nav><h1>One &amp; only</h1><h3>Deep</h3><p>Some text.</p><a href="/x">x</a><a href="mailto:a@b">m</a><img src=a loading=lazy alt=""></body></html>"""
-    rows = spark.createDataFrame([("https://a.b/p/", html, 1), (None, None, 2), ("https://a.b", "<h1>", 3)], "url string, html string, word_count int")
-    got = {r.url: r for r in dissect.dissect(rows).collect()}
-    r = got["https://a.b/p/"]
-    assert (r.title, r.lang, r.meta_description, r.canonical, r.viewport, r.charset) == ("A b", "en", "D", "https://a.b/c", True, True)
-    assert r.h1 == ["One & only"] and r.heading_skips == 1 and r.links == ["https://a.b/x"] and r.text == "One & only Deep Some text. x m"
-    assert (r.images, r.img_missing_alt, r.img_no_dims, r.img_lazy, r.blocking_js, r.schema_errors, r.schema_types) == (1, 0, 1, 1, 1, 1, ["Course", "Organization"])
-    assert got[None].word_count == 0 and got["https://a.b"].h1 == [""]
-
-
 def _scan(text, focus):
     """Mentions by trying every start, word by word."""
     counted = re.findall(T.WORD, text)
