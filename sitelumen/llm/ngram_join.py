@@ -36,7 +36,7 @@ BUCKET_BYTES = 24 << 20
 #: Parts that a task gathers before it deals them to buckets, and sets that it remembers having dealt.
 DEAL_PARTS, REMEMBERED = 2_000_000, 1_000_000
 #: Sets of a tile, and shingles of a group, that one task compares; larger ones are cut into chunks.
-RUN_SETS, GROUP_SHINGLES = 32_768, 2_000_000
+RUN_SETS, GROUP_SHINGLES = 32_768, 4_000_000
 #: Sets of a large group that all others meet first.
 PIVOTS = 48
 #: 64-bit words of the smallest bitmap, and shingles a word of larger ones.
@@ -336,23 +336,35 @@ def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "te
     asked = common.settle(nodes.join(loose, "node"))
     sums = asked.groupBy("component").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("sets"))
     large = (F.col("shingles") > GROUP_SHINGLES) | (F.col("sets") > RUN_SETS)
-    wanted = asked.join(sums.select("component", large.alias("large")), "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "node", "size", "bitmap", "large")
+    wanted = common.settle(asked.join(sums.select("component", large.alias("large")), "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "node", "size", "bitmap", "large"))
+    alone = sets_of(docs, wanted.where("NOT large"), id, text).select("component", F.lit(-1).cast("long").alias("side"), "node", "bitmap", "hashes")
+    edges = linked_runs(alone, ["component"], ["node"], _intersected)
+    if wanted.where("large").isEmpty():
+        return edges
+    big = common.settle(sets_of(docs, wanted.where("large"), id, text))
+    if big.count() > wanted.where("large").count():  # rows repeat, in several tasks
+        big = common.settle(big.dropDuplicates(["node"]))
+    return edges.unionByName(_in_large_groups(big))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """(component, node, size, bitmap, hashes) of the ``wanted`` nodes, whose texts are read again; of rows that repeat, one a task.
+
+    The list of what is wanted is sent to where the texts are, if it is counted to be short; otherwise texts move once to meet it.
+    """
+    names, wanted = ["component", "node", "size", "bitmap"], common.small(wanted)
     texts = _keyed(docs, id, text)
-    names = ["component", "node", "size", "bitmap", "large"]
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in common.slices(batches, "text"):
+            batch = batch.filter(pa.array([not (v in seen or seen.add(v)) for v in batch.column("node").to_pylist()], pa.bool_()))
             hashes, sizes = shingle_sets(batch.column("text").to_pylist(), WIDTH)
             offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], [*names, "hashes"])
 
-    sets = texts.mapInArrow(run, "component long, node long, size long, bitmap binary, large boolean, hashes array<bigint>")
-    sets = common.settle(sets.dropDuplicates(["node"]))  # rows may repeat
-    small = sets.where("NOT large").select("component", F.lit(-1).cast("long").alias("side"), "node", "bitmap", "hashes")
-    edges = linked_runs(small, ["component"], ["node"], _intersected)
-    big = sets.where("large")
-    return edges if big.isEmpty() else edges.unionByName(_in_large_groups(big.drop("large")))
+    return texts.mapInArrow(run, "component long, node long, size long, bitmap binary, hashes array<bigint>")
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
