@@ -2,7 +2,11 @@
 
 Every document's measures are counted into quantile sketches, one for each language, source and measure: counts of
 logarithmic buckets, which merge by adding and give each quantile within GAMMA of its value, in any order of
-merging and with the same result on every run. Upper fences are read from the sketches and joined back to the documents.
+merging and with the same result on every run. Of each sketch the quartiles give two fences, SPREADS times their
+distance below and above them, which are joined back to the documents; a value is beyond one if it is so by more than
+the sketch's precision. There is no other threshold: where three
+quarters of a group have none of a thing, any of it is beyond the fence. A value beyond a fence is unusual, not yet
+poor; a document goes if it is so in two ways.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ from . import common, wordhash
 LEAST_WORDS, REPEAT_WORDS, MOST_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
 
-#: Of each measure: the least spread that its fence allows for. Of most texts the first, third and fourth are 0, so
-#: their quartiles are too: a share that a fence of least spreads takes in is never an outlier.
-MEASURES = {"symbols": 0.015, "capitals": 0.002, "repeats": 0.01, "duplicate_lines": 0.018, "word_length": 0.05}
-#: A fence stands SPREADS spreads above the upper quantile; a spread is from the middle one to the upper one.
-MIDDLE, UPPER, SPREADS = 0.5, 0.75, 20.0
+#: Each measure, and the way in which a text is unusual where it is beyond a fence: a line that repeats repeats its words too.
+MEASURES = {"symbols": "symbols", "capitals": "capitals", "repeats": "repetition", "duplicate_lines": "repetition", "word_length": "word_length"}
+#: Ways in which a text that goes is unusual.
+WAYS = 2
+#: The quartiles, and the share of their distance at which the fences stand beyond them.
+LOWER, MIDDLE, UPPER, SPREADS = 0.25, 0.5, 0.75, 1.5
+#: A text's distance from the middle counts n / (n + SHORT_WORDS), n being its words: shares of few words are chance.
+SHORT_WORDS = 20
 #: Ratio of neighbouring buckets, and the least value that has one of its own; below lies bucket 0.
-GAMMA, TINY = 1.02, 1e-4
+GAMMA, TINY = 1.005, 1e-4
 #: Rows that a language's quantiles count for beside a group's own, and those of all rows beside a language's.
-PRIOR_ROWS = 200
+PRIOR_ROWS = 20
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters")
 _SPACES = " \t\n\x0b\x0c\r"
@@ -115,37 +122,44 @@ def quantiles(sketch: DataFrame, group: list[str], shares: dict[str, float]) ->
 
 
 def fences(rows: DataFrame, lang: str = "lang", source: str = "source", rule: str = "rule", prior_rows: int = PRIOR_ROWS) -> DataFrame:
-    """(lang, source, fence): the upper fence of each measure, in the order of MEASURES, for each language and source of ``rows``.
+    """(lang, source, fence): for each language and source of ``rows``, an array in the order of MEASURES of (low, middle, high).
 
     A group's quantiles are averaged with its language's, which count for ``prior_rows`` rows, and a language's with
-    those of all rows in the same way; so the fewer rows a group has, the more it leans on others.
+    those of all rows in the same way; so a group of few rows leans on others.
     """
     sketch = common.settle(sketches(rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(rule).alias("rule")), ["lang", "source"]))
-    shares = {"middle": MIDDLE, "upper": UPPER}
+    shares = {"lower": LOWER, "middle": MIDDLE, "upper": UPPER}
     own = quantiles(sketch, ["lang", "source"], shares)
-    wider = quantiles(sketch, ["lang"], shares).select(F.col("lang").alias("l_lang"), "measure", F.struct("rows", "middle", "upper").alias("l"))
-    widest = quantiles(sketch, [], shares).select("measure", F.struct("rows", "middle", "upper").alias("a"))
+    wider = quantiles(sketch, ["lang"], shares).select(F.col("lang").alias("l_lang"), "measure", F.struct("rows", *shares).alias("l"))
+    widest = quantiles(sketch, [], shares).select("measure", F.struct("rows", *shares).alias("a"))
     every = own.join(wider, (own.lang.eqNullSafe(wider.l_lang)) & (own.measure == wider.measure)).drop(wider.measure).join(F.broadcast(widest), "measure")  # widest: a row a measure
     mean = lambda n, x, y: (n * x + prior_rows * y) / (n + prior_rows)
-    of = lambda q: mean(F.col("rows"), F.col(q), mean(F.col("l.rows"), F.col(f"l.{q}"), F.col(f"a.{q}")))
-    spread = F.create_map(*(F.lit(x) for k, v in MEASURES.items() for x in (k, v)))
-    fence = of("upper") + SPREADS * F.greatest(of("upper") - of("middle"), spread[F.col("measure")])
+    lower, middle, upper = (mean(F.col("rows"), F.col(q), mean(F.col("l.rows"), F.col(f"l.{q}"), F.col(f"a.{q}"))) for q in shares)
+    fence = F.struct((lower - SPREADS * (upper - lower)).alias("low"), middle.alias("middle"), (upper + SPREADS * (upper - lower)).alias("high"))
     by_measure = every.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias("f"))  # an entry a measure
     return by_measure.select("lang", "source", F.array(*(F.col("f")[k] for k in MEASURES)).alias("fence"))
 
 
 def judged(rows: DataFrame, lang: str = "lang", source: str = "source", rule: str = "rule", prior_rows: int = PRIOR_ROWS) -> DataFrame:
-    """Rows with the struct ``rule`` and, added to it, ``kept``: the base rule held, and no measure is beyond its group's fence.
+    """Rows with the struct ``rule`` and, added to it, ``unusual``, the ways in which a text is, and ``kept``: the base rule held, and there are fewer than WAYS.
 
-    ``rows`` is read twice: for the sketches, and to be judged. The fences are sent to where the rows are if they are
-    few enough (``common.small``: languages times sources, not documents); otherwise rows are shuffled to meet them.
+    ``rows`` is read twice, for the sketches and to be judged, so it should be settled. The fences are sent to where the
+    rows are if they are few enough (``common.small``: languages times sources, not documents); otherwise rows are
+    shuffled to meet them. Repeated rows count and stay each.
     """
     lang_, source_, fence_ = common.free(rows, "_lang", "_source", "_fence")
     fence = common.small(common.settle(fences(rows, lang, source, rule, prior_rows)).select(F.col("lang").alias(lang_), F.col("source").alias(source_), F.col("fence").alias(fence_)))
     met = rows.join(fence, F.col(lang).eqNullSafe(F.col(lang_)) & F.col(source).eqNullSafe(F.col(source_)), "left")
-    inside = [F.coalesce(v <= F.col(fence_)[k], F.lit(True)) for k, v in enumerate(_measures(rule).values())]
-    kept = ~F.col(rule)["base_failed"] & F.forall(F.array(*inside), lambda x: x)
-    return met.withColumn(rule, F.col(rule).withField("kept", kept)).drop(lang_, source_, fence_)
+    n = F.col(rule)["n_words"]
+    beyond: dict[str, Column] = {}
+    for k, (name, value) in enumerate(_measures(rule).items()):
+        own = F.col(fence_)[k]
+        near = own["middle"] + (value - own["middle"]) * (n / (n + SHORT_WORDS))
+        here = F.coalesce((near < own["low"] / GAMMA - TINY) | (near > own["high"] * GAMMA + TINY), F.lit(False))
+        beyond[MEASURES[name]] = beyond[MEASURES[name]] | here if MEASURES[name] in beyond else here
+    ways = F.filter(F.array(*(F.when(v, F.lit(k)) for k, v in beyond.items())), lambda x: x.isNotNull())
+    made = F.col(rule).withField("unusual", ways).withField("kept", ~F.col(rule)["base_failed"] & (sum(v.cast("int") for v in beyond.values()) < WAYS))
+    return met.withColumn(rule, made).drop(lang_, source_, fence_)
 
 
 def rate(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
@@ -159,7 +173,7 @@ def rate(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns that they had."""
+    """The rows of ``docs`` that are kept, with the columns that they had. Texts are measured once, and settled with their counts."""
     (rule,) = common.free(docs, "rule")
-    rows = measured(docs, text, name=rule)
+    rows = common.settle(measured(docs, text, name=rule))
     return judged(rows, lang, source, rule, prior_rows).where(F.col(rule)["kept"]).select(*docs.columns)

@@ -105,10 +105,10 @@ h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM h CROSS JOIN range(5) AS o(k) GROUP BY r),
 n AS (SELECT d.*, len(w) AS n_words, length(regexp_replace(text, '{_SPACES}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
   length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters FROM d JOIN l USING (r) LEFT JOIN c USING (r)),
-m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, ['symbols', 'capitals', 'repeats', 'duplicate_lines', 'word_length'] AS names, {list(quality.MEASURES.values())}::DOUBLE[] AS spreads,
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, ['symbols', 'capitals', 'repeats', 'duplicate_lines', 'word_length'] AS names,
   [n_symbols / nullif(n_words, 0), n_capitals / nullif(n_letters, 0), n_repeat_words / nullif(n_words, 0), n_dup_lines / nullif(n_lines, 0), word_chars / nullif(n_words, 0)] AS v FROM n)
 """
-_QUANTILES = "min(v) FILTER (upto >= 0.5 * n) AS middle, min(v) FILTER (upto >= 0.75 * n) AS upper"
+_QUANTILES = ", ".join(f"min(v) FILTER (upto >= {share}::DOUBLE * n) AS {name}" for name, share in (("lower_", quality.LOWER), ("middle", quality.MIDDLE), ("upper_", quality.UPPER)))
 _P = quality.PRIOR_ROWS
 
 
@@ -118,16 +118,17 @@ def _lean(q: str) -> str:
 
 OP9_SQL = f"""
 WITH {_ROWS},
-e AS (SELECT r, lang, source, unnest(names) AS k, unnest(spreads) AS spread, unnest(v) AS v FROM m),
-b AS (SELECT lang, source, k, spread, CASE WHEN v < {quality.TINY} THEN 0 ELSE greatest(1, CAST(ceil(ln(v / {quality.TINY}::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) AS INTEGER) + 1) END AS bucket FROM e WHERE v IS NOT NULL),
-x AS (SELECT lang, source, k, any_value(spread) AS spread, bucket, CASE WHEN bucket = 0 THEN 0.0 ELSE {quality.TINY}::DOUBLE * pow({quality.GAMMA}::DOUBLE, bucket - 1.5) END AS v, count(*) AS c FROM b GROUP BY lang, source, k, bucket),
-q0 AS (SELECT lang, source, k, any_value(spread) AS spread, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY lang, source, k) AS n FROM x) GROUP BY lang, source, k),
+e AS (SELECT r, n_words, lang, source, unnest(names) AS k, unnest(v) AS v FROM m),
+b AS (SELECT lang, source, k, CASE WHEN v < {quality.TINY} THEN 0 ELSE greatest(1, CAST(ceil(ln(v / {quality.TINY}::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) AS INTEGER) + 1) END AS bucket FROM e WHERE v IS NOT NULL),
+x AS (SELECT lang, source, k, bucket, CASE WHEN bucket = 0 THEN 0.0 ELSE {quality.TINY}::DOUBLE * pow({quality.GAMMA}::DOUBLE, bucket - 1.5) END AS v, count(*) AS c FROM b GROUP BY lang, source, k, bucket),
+q0 AS (SELECT lang, source, k, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY lang, source, k) AS n FROM x) GROUP BY lang, source, k),
 y AS (SELECT lang, k, bucket, any_value(v) AS v, sum(c) AS c FROM x GROUP BY lang, k, bucket),
 q1 AS (SELECT lang, k, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY lang, k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY lang, k) AS n FROM y) GROUP BY lang, k),
 z AS (SELECT k, bucket, any_value(v) AS v, sum(c) AS c FROM x GROUP BY k, bucket),
 q2 AS (SELECT k, any_value(n) AS n, {_QUANTILES} FROM (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY k) AS n FROM z) GROUP BY k),
-u AS (SELECT q0.lang, q0.source, q0.k, q0.spread, {_lean("middle")} AS middle, {_lean("upper")} AS upper FROM q0 JOIN q1 ON q1.lang IS NOT DISTINCT FROM q0.lang AND q1.k = q0.k JOIN q2 ON q2.k = q0.k),
-f AS (SELECT DISTINCT r FROM e JOIN u ON u.lang IS NOT DISTINCT FROM e.lang AND u.source IS NOT DISTINCT FROM e.source AND u.k = e.k WHERE e.v > u.upper + {quality.SPREADS} * greatest(u.upper - u.middle, u.spread))
+u AS (SELECT q0.lang, q0.source, q0.k, {_lean("lower_")} AS lo, {_lean("middle")} AS mid, {_lean("upper_")} AS hi FROM q0 JOIN q1 ON q1.lang IS NOT DISTINCT FROM q0.lang AND q1.k = q0.k JOIN q2 ON q2.k = q0.k),
+t AS (SELECT r, CASE e.k WHEN 'duplicate_lines' THEN 'repeats' ELSE e.k END AS way, lo, hi, mid + (v - mid) * (n_words / (n_words + {quality.SHORT_WORDS})) AS near FROM e JOIN u ON u.lang IS NOT DISTINCT FROM e.lang AND u.source IS NOT DISTINCT FROM e.source AND u.k = e.k WHERE v IS NOT NULL),
+f AS (SELECT r FROM t WHERE near < (lo - {quality.SPREADS}::DOUBLE * (hi - lo)) / {quality.GAMMA}::DOUBLE - {quality.TINY}::DOUBLE OR near > (hi + {quality.SPREADS}::DOUBLE * (hi - lo)) * {quality.GAMMA}::DOUBLE + {quality.TINY}::DOUBLE GROUP BY r HAVING count(DISTINCT way) >= {quality.WAYS})
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM f) AS kept FROM m
 """
 

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sitelumen.llm import chat, common, components, fingerprints, langid, packing, pieces, quality, secrets, sharding, simhash, toxicity, wordhash
@@ -834,24 +835,66 @@ def test_op9_sketch_quantiles_and_groups(spark):
     assert {(r.lang, r.source) for r in quality.fences(rows).collect()} == {(l, s) for l in ("en", None) for s in "ab"}
 
 
-def test_op9_fences_follow_the_data(spark):
-    """The fences of sketches against quantiles of all values; the fewer rows, the more a group leans on its language."""
+#: For each measure, the counts of a text of 1000 words in which it has a value.
+MEASURED = {
+    "symbols": lambda v: {"n_symbols": int(1000 * v)},
+    "capitals": lambda v: {"n_capitals": int(5000 * v)},
+    "repeats": lambda v: {"n_repeat_words": int(1000 * v)},
+    "duplicate_lines": lambda v: {"n_dup_lines": int(1000 * v)},
+    "word_length": lambda v: {"word_chars": int(1000 * v)},
+}
+
+
+def counted_rows(spark, rows):
+    """(id, lang, source, rule) of (id, lang, source, {measure: value}); a measure that isn't given has its middle value."""
+    made = []
+    for i, lang, source, values in rows:
+        counts = dict(n_words=1000, word_chars=5000, n_symbols=0, n_dup_lines=0, n_repeat_words=0, n_lines=1000, n_capitals=100, n_letters=5000)
+        for k, v in values.items():
+            counts |= MEASURED[k](v)
+        made.append((i, lang, source, {**counts, "base_failed": False}))
+    return spark.createDataFrame(made, "id long, lang string, source string, rule struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint,n_capitals:bigint,n_letters:bigint,base_failed:boolean>")
+
+
+@pytest.mark.parametrize("measure", quality.MEASURES)
+def test_op9_groups_of_different_spread_judge_one_text_differently(spark, measure):
+    """In each measure: the same values are usual in one source and unusual in another. A second measure is unusual in both."""
     rng = random.Random(19)
-    values = [("en", "wide", rng.lognormvariate(-3, 0.5)) for _ in range(4000)] + [("en", "narrow", rng.gauss(0.05, 0.002)) for _ in range(4000)] + [("de", "few", rng.gauss(0.09, 0.001)) for _ in range(10)]
-    rows = spark.createDataFrame([(l, s, int(10_000 * max(v, 0))) for l, s, v in values], "lang string, source string, c long").selectExpr("lang", "source", "struct(0L AS n_symbols, 10L AS n_words, c AS n_capitals, 10000L AS n_letters, 0L AS n_repeat_words, 0L AS n_dup_lines, 1L AS n_lines, 50L AS word_chars) AS rule")
-    got = {(r.lang, r.source): r.fence[1] for r in quality.fences(rows).collect()}
-    at = lambda own, q: sorted(own)[math.ceil(q * len(own)) - 1]
-    k = quality.PRIOR_ROWS
-
-    def lean(lang, source, q):
-        every, of, own = [v for *_, v in values], [v for l, _, v in values if l == lang], [v for l, s, v in values if (l, s) == (lang, source)]
-        wider = (len(of) * at(of, q) + k * at(every, q)) / (len(of) + k)
-        return (len(own) * at(own, q) + k * wider) / (len(own) + k)
-
-    for key, fence in got.items():
-        middle, upper = lean(*key, 0.5), lean(*key, 0.75)
-        assert fence == pytest.approx(upper + quality.SPREADS * max(upper - middle, quality.MEASURES["capitals"]), rel=0.1)
-    assert got["en", "wide"] > 3 * got["en", "narrow"]
+    scale = 5 if measure == "word_length" else 0.1
+    other = "capitals" if measure == "symbols" else "symbols"
+    draw = {"wide": lambda: scale * rng.uniform(0.2, 1.8), "narrow": lambda: scale * rng.gauss(0.5, 0.01)}
+    rows = [(k, "en", source, {measure: max(0, draw[source]())}) for source in draw for k in range(1500)]
+    rows += [(-1 - k, "en", source, {measure: 1.5 * scale, other: 0.9}) for k, source in enumerate(draw)]
+    rows = counted_rows(spark, rows)
+    place = list(quality.MEASURES).index(measure)
+    fence = {r.source: r.fence[place] for r in quality.fences(rows).collect()}
+    own = {source: sorted(r[0] for r in rows.where(F.col("source") == source).select(quality._measures()[measure]).collect()) for source in draw}
+    for source, values in own.items():  # near the quartiles of all values
+        low, high = values[len(values) // 4], values[3 * len(values) // 4]
+        assert fence[source].high == pytest.approx(high + 1.5 * (high - low), rel=0.1) and fence[source].low == pytest.approx(low - 1.5 * (high - low), abs=0.1 * high)
+    assert fence["wide"].high > 1.5 * fence["narrow"].high
+    judged = {r.source: r.rule for r in quality.judged(rows).where("id < 0").collect()}
+    assert judged["wide"].kept and not judged["narrow"].kept
+    assert judged["narrow"].unusual == sorted([quality.MEASURES[measure], other], key=list(dict.fromkeys(quality.MEASURES.values())).index) and judged["wide"].unusual == [other]
+
+
+def test_op9_few_rows_lean_on_their_language_and_short_texts_on_the_middle(spark):
+    rng = random.Random(20)
+    rows = [(k, "en", "large", {"capitals": rng.gauss(0.02, 0.002)}) for k in range(3000)] + [(9000 + k, "en", "few", {"capitals": 0.5}) for k in range(3)] + [(9100 + k, "de", "own", {"capitals": 0.5}) for k in range(300)]
+    fence = {r.source: r.fence[1] for r in quality.fences(counted_rows(spark, rows)).collect()}
+    assert fence["few"].middle < 0.1 and fence["own"].middle > 0.4
+    texts = [(k, " ".join(f"word{10 + (k + j) % 89}" for j in range(60)), "en", "s") for k in range(200)]
+    short = [(1000, "A B C D E F G H I # j", "en", "s"), (1001, "A # " * 12 + " ".join(f"# Q{j}" for j in range(200)), "en", "s")]
+    kept = {r.doc_id: r.kept for r in quality.rate(spark.createDataFrame([*texts, *short], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[k] for k in range(200)) and not kept[1001]
+
+
+def test_op9_good_documents_stay(spark, sf_dir):
+    """The constants were chosen on sf0.1; these rows are others."""
+    rows = {r.doc_id: r for r in QUERIES["op9_quality"](spark, sf_dir.replace("sf0.001", "sf0.01")).collect()}
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir.replace("sf0.001", "sf0.01"), "labels").collect()}
+    good, poor = ([rows[i] for i, q in labels.items() if q == k and i in rows and not rows[i].base_failed] for k in (1, 0))
+    assert sum(not r.kept for r in good) <= 0.01 * len(good) and sum(not r.kept for r in poor) >= 0.8 * len(poor)
 
 
 # Columns of a user
