@@ -467,15 +467,76 @@ def test_op5_query_and_awkward(spark, sf_dir):
     assert {round(r.score, 6) for r in none} == {0.5}
 
 
-def test_op5_label_model_weighs_voters():
-    rng = np.random.default_rng(6)
-    y = rng.random(4000) < 0.3
-    vote = np.zeros((4000, len(toxicity.VOTERS)), np.int64)
-    for k, right in enumerate([0.95, 0.9, 0.6, 0.9]):
-        vote[:, k] = np.where(rng.random(4000) < right, y, ~y) + 1
-    vote[:, 4] = vote[:, 2]  # a voter that only repeats another
-    model = toxicity.fit_label_model(vote, np.ones(4000), np.where(vote[:, 0] == 2, 0.7, 0.2))
-    assert (2, 4) in model.factors and ((model.posterior(vote) > 0.5) == y).mean() > 0.96
+def local(vote, count=None):
+    """The counts that the label model asks for, of votes in memory."""
+    count = np.ones(len(vote)) if count is None else count
+    return lambda share: toxicity.pair_counts(vote, count, share(vote))
+
+
+def drawn(seed, right, given, n=6000, share=0.2):
+    """(classes, votes): voters that vote in a share ``given`` of texts, and then are right as often as ``right`` says."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < share
+    vote = np.zeros((n, len(right)), np.int64)
+    for k, (r, g) in enumerate(zip(right, given, strict=True)):
+        vote[:, k] = np.where(rng.random(n) < g, np.where(rng.random(n) < r, y, ~y) + 1, 0)
+    return y, vote
+
+
+def log_loss(said, y):
+    return -np.mean(np.log(np.clip(np.where(y, said, 1 - said), 1e-9, 1)))
+
+
+def test_op5_label_model_learns_accuracies_without_labels():
+    right, given = [0.95, 0.9, 0.6, 0.9, 0.55, 0.8], [0.9, 0.7, 1.0, 0.5, 1.0, 0.8]
+    y, vote = drawn(6, right, given)
+    model = toxicity.fit_label_model(local(vote))
+    assert log_loss(model.posterior(vote), y) < 0.6 * log_loss(toxicity.majority(vote), y)
+    assert ((model.posterior(vote) > 0.5) == y).mean() > 0.95 > (np.where(toxicity.majority(vote) > 0.5, y, ~y)).mean()
+    alone = toxicity.fit_label_model(local(vote), correlated=False)
+    for k, (r, g) in enumerate(zip(right, given, strict=True)):
+        said = np.exp(alone.table[k])[:, 0]
+        assert said[1, 2] / said[1, 1:].sum() == pytest.approx(r, abs=0.04) and said[0, 1] / said[0, 1:].sum() == pytest.approx(r, abs=0.04) and said[:, 1:].sum(1) == pytest.approx(g, abs=0.03)
+    assert alone.prior == pytest.approx(0.2, abs=0.02)
+
+
+def test_op5_correlations_of_voters_that_lean_on_another():
+    y, vote = drawn(7, [0.9, 0.85, 0.65, 0.85, 0.9, 0.8, 0.85], [0.9] * 7)
+    rng = np.random.default_rng(8)
+    own = [np.where(rng.random(len(y)) < 0.65, y, ~y) + 1 for _ in range(3)]
+    leaning = np.stack([np.where(rng.random(len(y)) < 0.6, vote[:, 2], o) for o in own], 1)  # on a poor voter
+    vote = np.concatenate([vote, leaning], 1)
+    tree, alone = toxicity.fit_label_model(local(vote)), toxicity.fit_label_model(local(vote), correlated=False)
+    assert sum({k, int(p)} <= {2, 7, 8, 9} for k, p in enumerate(tree.parent) if p >= 0) == 3
+    assert log_loss(tree.posterior(vote), y) < 0.85 * log_loss(alone.posterior(vote), y)
+
+
+def test_op5_posteriors_alone_make_the_scores(spark):
+    """Turned round, they turn the scores round; the plain majority in their place makes a worse classifier."""
+    docs, labels = insults(spark, 900, 700)
+    toxic = {i: int(i % 5 == 0) for i in range(900)}
+    made = {"model": toxicity.fit(docs, labels), "turned": toxicity.fit(docs, labels, label_model=lambda model: lambda vote: 1 - model.posterior(vote)), "majority": toxicity.fit(docs, labels, label_model=lambda _: toxicity.majority)}
+    scores = {k: {r.doc_id: r.score for r in toxicity.score(docs, c).where(~toxicity.is_training("doc_id")).collect()} for k, c in made.items()}
+    mean = lambda k, y: np.mean([s for i, s in scores[k].items() if toxic[i] == y])
+    assert mean("model", 1) > 0.9 and mean("model", 0) < 0.1 and mean("turned", 1) < mean("turned", 0)
+    loss = {k: log_loss(np.array(list(s.values())), np.array([bool(toxic[i]) for i in s])) for k, s in scores.items()}
+    assert loss["model"] < loss["majority"]
+    weights, bias = toxicity.fit_classifier([[0], []] * 20, np.array([0.5] * 40), np.ones(40), 1)
+    assert abs(weights[0]) < 1e-6 and abs(bias) < 1e-6  # posteriors that say nothing leave it at zero
+
+
+@pytest.mark.parametrize(("voter", "toxic", "clean"), [
+    ("en", "you utter Moron", "more on this"), ("de", "so ein Dummkopf", "ein Kopf"), ("fr", "quel crétin", "la Crète"), ("es", "qué imbécil", "imbuido"),
+    ("spelled", "an 1d10t here", "10 items"), ("spaced", "such an i d i o t.", "a b c d"), ("address", "You're such a bore", "you are here"), ("dismissal", "just SHUT UP", "shut the door"),
+    ("shouting", "THIS WILL NEVER WORK", "NASA and ESA"), ("punctuation", "really?!?", "really?"), ("starred", "what a f**k", "a ** b"), ("stretched", "stuuuupid", "good"),
+    ("family", "grubby grubbyest grubbyer one", "grubby one two three"),
+])
+def test_op5_voters_of_separate_sources(voter, toxic, clean):
+    known = toxicity.Known({w: 1 << toxicity.VOTERS.index(lang) for lang, words in toxicity.INSULTS.items() for w in words.split()})
+    bit = 1 << toxicity.VOTERS.index(voter)
+    assert toxicity.votes(toxic, known)[0] & bit and not toxicity.votes(clean, known)[0] & bit
+    plain = toxicity.votes("ten plain words of a text that says nothing at all", known)
+    assert plain[0] == 0 and plain[1] == (1 << len(toxicity.LEARNED)) - 1 | 1 << toxicity.VOTERS.index("plain") and toxicity.votes("", known) == (0, 0)
 
 
 def test_op5_known_terms_are_the_text_s_terms(docs):
@@ -487,49 +548,68 @@ def test_op5_known_terms_are_the_text_s_terms(docs):
 
 
 def test_op5_equals_brute_force(spark):
-    """Term selection, label model and classifier against plain loops."""
+    """Term selection, label model, classifier and calibration against plain loops."""
     docs, labels = insults(spark, 600, 400)
     chosen = toxicity.label_sample(labels)
-    sample = docs.join(chosen, "doc_id").collect()
-    assert {(r.doc_id, r.toxic) for r in sample} == {(i, int(i % 5 == 0)) for i in range(400) if zlib.crc32(str(i).encode()) % 5}
-    ones, zeros = sum(r.toxic for r in sample), sum(1 - r.toxic for r in sample)
-    n, m = Counter(t for r in sample if r.toxic for t in toxicity.terms_of(r.text)), Counter(t for r in sample if not r.toxic for t in toxicity.terms_of(r.text))
+    sample = docs.join(chosen, "doc_id").withColumn("part", F.col("doc_id").cast("int") % 2)
+    rows = sample.collect()
+    assert {(r.doc_id, r.toxic) for r in rows} == {(i, int(i % 5 == 0)) for i in range(400) if zlib.crc32(str(i).encode()) % 5}
     want = {}
-    for t in n:
-        ratio = math.log((n[t] + 2) / (ones + 4)) - math.log((m[t] + 2) / (zeros + 4))
-        share = (n[t] + m[t]) / (ones + zeros)
-        spreads = math.sqrt(max(0, 2 * sum(k * math.log(k / (share * of)) for k, of in ((n[t], ones), (m[t], zeros)) if k)))
-        if n[t] >= 5 and abs(ratio) >= toxicity.LEAST_RATIO and spreads >= toxicity.LEAST_SPREADS:
-            want[t] = ratio
-    terms = toxicity.find_terms(docs.join(chosen, "doc_id"))
-    assert {t: terms.ratio[i] for t, i in terms.number.items()} == pytest.approx(want) and len(want) > 5
-
-    # One step of the label model: shares of votes by class, and Bayes' rule over its factors.
+    for part in (0, 1):
+        own = [r for r in rows if r.part == part]
+        ones, zeros = sum(r.toxic for r in own), sum(1 - r.toxic for r in own)
+        n, m = Counter(t for r in own if r.toxic for t in toxicity.terms_of(r.text)), Counter(t for r in own if not r.toxic for t in toxicity.terms_of(r.text))
+        for t in n | m:
+            share = (n[t] + m[t]) / (ones + zeros)
+            spreads = math.sqrt(max(0, 2 * sum(k * math.log(k / (share * of)) for k, of in ((n[t], ones), (m[t], zeros)) if k)))
+            if n[t] + m[t] >= toxicity.LEAST_DOCS:
+                want[t, part] = math.log((n[t] + 2) / (ones + 4)) - math.log((m[t] + 2) / (zeros + 4)), spreads
+    got = {(r.term, r.part): (r.ratio, r.spreads) for r in toxicity.telling_terms(sample, 2).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+    # The label model: shares of votes by class and by the parent's vote, and Bayes' rule over them.
     rng = np.random.default_rng(20)
-    vote, count, toxic = rng.integers(0, 3, (40, len(toxicity.VOTERS))), rng.integers(1, 9, 40).astype(float), rng.random(40)
-    factors = [(0, 3), *((v,) for v in range(len(toxicity.VOTERS)) if v not in (0, 3))]
-    model = toxicity._fit_tables(vote, count, toxic, factors)
-    prior = sum(c * y for c, y in zip(count, toxic, strict=True)) / count.sum()
-    for i in range(40):
+    vote, count, toxic = rng.integers(0, 3, (60, 4)), rng.integers(1, 9, 60).astype(float), rng.random(60)
+    parent = np.array([-1, 0, 0, -1])
+    model = toxicity._fitted(toxicity.pair_counts(vote, count, toxic), parent)
+    prior = (count * toxic).sum() / count.sum()
+    for i in range(60):
         odds = prior / (1 - prior)
-        for f in factors:
-            same = [all(vote[j, v] == vote[i, v] for v in f) for j in range(40)]
-            cells = 3 ** len(f)
-            like = [(sum(c * p for c, p, x in zip(count, side, same, strict=True) if x) + 0.1) / ((count * side).sum() + 0.1 * cells) for side in (toxic, 1 - toxic)]
+        for v, of in enumerate(parent):
+            like = []
+            for side in (toxic, 1 - toxic):
+                total = lambda keep, side=side: sum(c * p for c, p, k in zip(count, side, keep, strict=True) if k)
+                alone = [(total(vote[:, v] == x) + toxicity.EXTRA_VOTES / 3) / ((count * side).sum() + toxicity.EXTRA_VOTES) for x in range(3)]
+                above = vote[:, of] == vote[i, of] if of >= 0 else None
+                like.append(alone[vote[i, v]] if of < 0 else (total(above & (vote[:, v] == vote[i, v])) + toxicity.EXTRA_VOTES * alone[vote[i, v]]) / (total(above) + toxicity.EXTRA_VOTES))
             odds *= like[0] / like[1]
-        assert model.posterior(vote[i : i + 1])[0] == pytest.approx(odds / (1 + odds), abs=1e-6)
+        assert model.posterior(vote[i : i + 1])[0] == pytest.approx(odds / (1 + odds), abs=1e-9)
+    assert toxicity.turned(model).posterior(vote) == pytest.approx(1 - model.posterior(vote))
+
+    # The classifier and the calibration: no step in any direction lowers their losses.
+    rows, target, weight = [[0, 1], [1], [], [2, 0], [2]], np.array([0.9, 0.2, 0.1, 0.8, 0.4]), np.array([1.0, 2.0, 3.0, 1.0, 1.0])
+    weights, bias = toxicity.fit_classifier(rows, target, weight, 3, ridge=0.01)
+
+    def loss(said, pull):
+        return pull - sum(s * (y * math.log(p) + (1 - y) * math.log(1 - p)) for s, y, p in zip(weight / weight.sum(), target, said, strict=True))
 
-    # The classifier: no step in any direction lowers its loss.
-    rows, target, weight, ratio = [[0, 1], [1], [], [2, 0], [2]], np.array([0.9, 0.2, 0.1, 0.8, 0.4]), np.array([1.0, 2.0, 3.0, 1.0, 1.0]), np.array([1.5, -0.5, 0.3])
-    weights, bias = toxicity.fit_classifier(rows, target, weight, ratio)
+    fit = lambda w, b: loss([1 / (1 + math.exp(-(b + sum(w[t] for t in r)))) for r in rows], 0.005 * sum(x * x for x in w))
+    assert all(fit(weights + 0.2 * np.array(d[:3]), bias + 0.2 * d[3]) > fit(weights, bias) - 1e-4 for d in itertools.product((-1, 0, 1), repeat=4))
+    margin = np.array([2.0, -1.0, -0.5, 1.5, 0.2])
+    a, b = toxicity._calibrated(margin, target, weight)
+    scaled = lambda a, b: loss(1 / (1 + np.exp(-(a * margin + b))), 5e-4 * ((a - 1) ** 2 + b * b))
+    assert all(scaled(a + da, b + db) >= scaled(a, b) - 1e-9 for da in (-0.1, 0, 0.1) for db in (-0.1, 0, 0.1))
 
-    def loss(w, b):
-        said = [1 / (1 + math.exp(-(b + sum(w[t] for t in r)))) for r in rows]
-        fit = -sum(s * (y * math.log(p) + (1 - y) * math.log(1 - p)) for s, y, p in zip(weight / weight.sum(), target, said, strict=True))
-        return fit + toxicity.RIDGE / 2 * sum((x - toxicity.PRIOR_SHARE * r) ** 2 for x, r in zip(w, ratio, strict=True))
 
-    best = loss(weights, bias)
-    assert all(loss(weights + 0.2 * np.array(d[:3]), bias + 0.2 * d[3]) > best - 1e-4 for d in itertools.product((-1, 0, 1), repeat=4))
+def test_op5_counts_of_tasks_are_added_up(spark):
+    y, vote = drawn(9, [0.9] * 6, [0.5] * 6, 500)
+    bits = [(sum(int(x == 2) << k for k, x in enumerate(v)), sum(int(x == 1) << k for k, x in enumerate(v))) for v in vote.tolist()]
+    patterns = spark.createDataFrame([(*k, n) for k, n in Counter(bits).items()], "toxic_votes long, clean_votes long, n long").repartition(5)
+    whole = np.zeros((500, len(toxicity.VOTERS)), np.int64)
+    whole[:, :6] = vote
+    model = toxicity._fitted(local(whole)(toxicity.majority), np.full(len(toxicity.VOTERS), -1))
+    for share in (toxicity.majority, model.posterior):
+        assert toxicity._counter(patterns)(share) == pytest.approx(local(whole)(share))
 
 
 def test_op5_repeated_ids_count_once(spark):
@@ -539,12 +619,12 @@ def test_op5_repeated_ids_count_once(spark):
     assert one.number == two.number and Counter(r.doc_id for r in toxicity.score(twice, two).collect())[10] == 3
 
 
-def test_op5_spelling_is_read_in_linear_time():
+def test_op5_votes_take_linear_time():
     began = time.perf_counter()
-    terms = toxicity.Terms({"idiot": 0}, np.zeros(1), {"idiot": 0})
-    for text in ("x" * 500_000, "1" * 500_000, "a1" * 250_000, "x_" * 250_000):
-        toxicity.votes(text, terms, set())
-    assert toxicity.votes("such an 1d10t.", terms, set())[6] == toxicity.TOXIC and time.perf_counter() - began < 3
+    known = toxicity.Known({})
+    for text in ("x" * 500_000, "1" * 500_000, "a1" * 250_000, "x_" * 250_000, "A" * 500_000, "AAAA " * 100_000, "a b " * 120_000, "a." * 250_000, "*" * 500_000, "a*" * 250_000, "!" * 500_000):
+        toxicity.votes(text, known)
+    assert time.perf_counter() - began < 6
 
 
 # 6. Sharding
