@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common, wordhash
 
 SHINGLE_WORDS = 5
-FRACTION = 1 / 8
+FRACTION = 1 / 2
 FLOOR = 128
 WHOLE = 1 << 32
 #: Documents in a range of doc_id, the unit that is shuffled and read in order; several ranges make a partition. There

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -235,20 +236,22 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
     ``component_id`` is the smallest id that a row reaches over links of ``radius`` differing bits at most. Rows
     without words (null and empty texts too) have fingerprint zero and link like any other. Repeated rows stay.
-    Rows with a null id link too, and get their component, null if no row that they reach has an id. (Where an id is
-    2**62 or more there are no numbers beyond the ids, and fingerprints of such rows alone stay out.)
+    Rows with a null id link too, and get their component, null if no row that they reach has an id.
     Equal fingerprints are one node, so copies cost nothing beyond the first.
     """
     found = common.settle(with_fingerprint(docs, id, text))
-    top = found.agg(F.max("doc_id")).first()[0]
-    top = -1 if top is None else top
+    low, top = found.agg(F.min("doc_id"), F.max("doc_id")).first()
     # A fingerprint that only rows without an id have is a node too, numbered beyond all ids, so it names no component.
-    beyond = F.lit(top) + 1 + F.monotonically_increasing_id() if top < 1 << 62 else F.lit(None)
-    nodes = found.groupBy("bits").agg(F.min("doc_id").alias("id")).select("bits", F.coalesce("id", beyond).alias("node"))
-    nodes = common.settle(nodes.where("node IS NOT NULL"))
+    # Where ids leave no room for that, all are numbered from half of the room below.
+    down = 0 if top is None or top < 1 << 62 else 1 << 62
+    if down and low < -(1 << 62):
+        raise ValueError("ids take up more than three quarters of all numbers")
+    own, top = F.col("id") - F.lit(down), -1 if top is None else top - down
+    nodes = found.groupBy("bits").agg(F.min("doc_id").alias("id")).select("bits", F.coalesce(own, F.lit(top) + 1 + F.monotonically_increasing_id()).alias("node"))
+    nodes = common.settle(nodes)
     joined = components(near(nodes, radius))
     component = F.coalesce("component", "node")
-    named = nodes.join(joined, "node", "left").select("bits", F.when(component <= top, component).alias("component_id"))
+    named = nodes.join(joined, "node", "left").select("bits", F.when(component <= top, component + F.lit(down)).alias("component_id"))
     return found.join(named, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -374,6 +377,11 @@ def exact_forest(keys: np.ndarray, bits: np.ndarray, hashes: np.ndarray, sizes:
     return parent
 
 
+def _cell(a: F.Column, b: F.Column) -> F.Column:
+    """A number for two chunks, whichever comes first, of as many chunks as an int counts."""
+    return F.greatest(a, b).cast("long") * F.lit(1 << 31) + F.least(a, b)
+
+
 def _checked(docs: DataFrame, nodes: DataFrame, loose: DataFrame, id: str, text: str, width: int, radius: int, similarity: float, run_rows: int) -> DataFrame:
     """Edges (u, v) that connect just those nodes of each ``loose`` group (node, component) that are linked by their sets.
 
@@ -407,7 +415,7 @@ def _checked(docs: DataFrame, nodes: DataFrame, loose: DataFrame, id: str, text:
 
     sets = rows.mapInArrow(run, "component long, chunks int, node long, " + ", ".join(f"{b} long" for b in names) + ", hashes array<bigint>")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.greatest(k, F.col("own")) * F.lit(1_000_000).cast("long") + F.least(k, F.col("own")))
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: _cell(k, F.col("own")))
     grid = sets.withColumn("own", own).select("component", "node", *names, "hashes", F.explode(others).alias("cell"))
     return linked_runs(grid, ["component", "cell"], ["node"], link)
 
@@ -427,7 +435,7 @@ def _similar_rows(docs: DataFrame, id: str, text: str, similarity: float, width:
     short = _runs(runs.where(F.col("run") <= run_rows).select("key", "node", *names), ["key"], names, radius)
     chunks = F.ceil(F.col("run") / (run_rows // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.greatest(k, F.col("own")) * 1_000_000 + F.least(k, F.col("own")))
+    others = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: _cell(k, F.col("own")))
     grid = runs.where(F.col("run") > run_rows).withColumn("own", own).select("key", "node", *names, F.explode(others).alias("cell"))
     loose = components(short.unionByName(_runs(grid, ["key", "cell"], names, radius)))
     links = components(_checked(docs, nodes.drop("bands"), loose, id, text, width, radius, similarity, run_rows))
@@ -440,7 +448,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", simi
     """(doc_id, component_id): the groups of texts that are linked by a ``similarity`` of shingle sets or more.
 
     Candidates share a band and have near fingerprints of 64 LONG_WORDS bits, compared bit-sliced: at the least
-    similarity all but 1 in 1,000 pairs do. Their sets are then compared exactly. A run of candidates longer than
+    similarity all but 1 in 5,000 pairs do. Their sets are then compared exactly. A run of candidates longer than
     ``run_rows`` is cut into chunks, and every two of its chunks are compared by some task. Equal sets are one node;
     texts without words are alike. ``component_id`` is the smallest id of a group, null if no row of it has one.
     """
@@ -468,7 +476,8 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", similari
         return docs.join(gone, is_row(gone), "left_anti")
     others = common.small(common.settle(gone.unionByName(several.drop(group))))
     alone = docs.join(others, is_row(others), "left_anti")
-    order = W.Window.partitionBy(group).orderBy(F.asc_nulls_first(text), *(F.col(f"`{c}`") for c in sorted(docs.columns) if c not in (id, text)))
+    plain = lambda c, kind: F.to_json(F.struct(F.col(f"`{c}`").alias("x"))) if re.search("map<|variant|interval", kind) else F.col(f"`{c}`")  # noqa: E731 - what has no order is ordered as text
+    order = W.Window.partitionBy(group).orderBy(F.asc_nulls_first(text), *(plain(c, kind) for c, kind in sorted(docs.dtypes) if c not in (id, text)))
     few = common.small(several)
     first = docs.join(few, is_row(few)).withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return alone.unionByName(first.select(*docs.columns))

@@ -325,6 +325,26 @@ def test_op4_rows_without_an_id_link_too(spark, monkeypatch):
     assert [(r.doc_id, r.component_id) for r in sorted(simhash.near_copies(found).collect(), key=lambda r: r.fingerprint)] == [(7, 5), (None, 5), (5, 5), (None, None), (9, 9)]
 
 
+def test_op4_ids_near_the_ends_of_all_numbers(spark, monkeypatch):
+    """Fingerprints of rows without an id link whatever the ids are."""
+    large = (1 << 63) - 1
+    rows = [(large, 0b0), (None, 0b11), (large - 5, 0b1111), (None, 1 << 40 | 0xFF00), (-3, -1)]
+    found = spark.createDataFrame(rows, "doc_id long, bits long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda *args: found)
+    assert [(r.doc_id, r.component_id) for r in sorted(simhash.near_copies(found).collect(), key=lambda r: r.fingerprint)] == [(large, large - 5), (None, large - 5), (large - 5, large - 5), (None, None), (-3, -3)]
+
+
+def test_cells_of_many_chunks_fit(spark):
+    row = spark.range(3_000_000, 3_000_002).select(simhash._cell(F.col("id").cast("int"), F.lit(2_147_000).cast("int")).alias("cell"), simhash._cell(F.lit(2_147_000), F.col("id").cast("int")).alias("same")).collect()
+    assert all(r.cell == r.same for r in row) and len({r.cell for r in row}) == 2
+
+
+def test_keep_first_of_rows_with_a_map(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, text, {"a": 2}), (1, text, {"a": 1}), (2, text, None)], "doc_id long, text string, m map<string,int>")
+    assert [(r.doc_id, r.m) for r in simhash.keep_first(rows).collect()] == [(1, {"a": 1})]
+
+
 @pytest.mark.parametrize("run_rows", [4, 10_000])
 def test_op4_loses_no_link(spark, run_rows):
     rng = random.Random(3)
