@@ -152,41 +152,87 @@ class _Index:
             return d, next(iter(self.bins[fullest][y])), given, y
         return None
 
+    def sums(self) -> list[int]:
+        """By free tokens: bit f + y is set if a bin of more than so many free tokens, f, has a piece of y tokens."""
+        out = [0]
+        for f in range(len(self.masks) - 1, 0, -1):
+            out.append(out[-1] | self.masks[f] << f)
+        return out[::-1]
+
+    def step_down(self, giver: Counter[int], free: int, sums: list[int]) -> tuple[int, int, tuple[int, ...], int] | None:
+        """A step from a bin of ``free`` to an emptier one that raises the sum of squares, as ``best_step`` gives it.
+
+        Giving x for y to a bin of f raises it if f + y lies from x to less than x + free: then the taker ends fuller
+        than the giver was. ``sums`` must be those of the present bins.
+        """
+        ones, twos = sum(1 << x for x in giver), 0
+        for x, n in giver.items():
+            twos |= (ones if n > 1 else ones ^ 1 << x) << x
+        near, done = sums[free], 1
+        while done < free:
+            further = min(done, free - done)
+            near, done = near | near >> further, done + further
+        for sizes in (ones, twos):
+            if hit := near & sizes & ~1:
+                x = hit.bit_length() - 1
+                total = x + ((part := sums[free] >> x) & -part).bit_length() - 1
+                f = next(f for f in range(free + 1, len(self.masks)) if 0 <= total - f and self.masks[f] >> (total - f) & 1)
+                y = total - f
+                one = x if sizes is ones else next(v for v in giver if x - v in giver and (x != 2 * v or giver[v] > 1))
+                return x - y, next(iter(self.bins[f][y])), (x,) if sizes is ones else (one, x - one), y
+        return None
+
 
 def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Move, exchange one for one and two for one among all underfull bins, the emptiest giving first.
 
-    Each step raises the sum of squared fills; a bin gives until it is empty or no step is left for it. The passes
-    over all bins end when one makes no step, so no single step betters the result.
+    Each step raises the sum of squared fills; a bin gives to fuller ones until it is empty or no step is left for it.
+    When all bins have none left, fuller bins are asked for steps into emptier ones, and the passes go on from there.
+    They end when there is no step either way, so no single step betters the result.
     """
     size = lengths.tolist()
     free = [capacity - sum(size[i] for i in b) for b in bins]
     index = _Index(capacity)
     of = lambda b: (size[i] for i in bins[b])
-    for b in range(len(bins)):
-        if bins[b] and free[b] > CLOSED_FREE:
+    underfull = lambda: sorted((b for b in range(len(bins)) if bins[b] and free[b] > CLOSED_FREE), key=lambda b: -free[b])
+
+    def make(a: int, step: tuple[int, int, tuple[int, ...], int]) -> None:
+        """Carry out a step of ``a``, which is not in the index."""
+        d, b, given, taken = step
+        index.remove(b, free[b], of(b))
+        out = []
+        for x in given:
+            out.append(next(i for i in bins[a] if size[i] == x and i not in out))
+        back = [next(i for i in bins[b] if size[i] == taken)] if taken else []
+        bins[a] = [i for i in bins[a] if i not in out] + back
+        bins[b] = [i for i in bins[b] if i not in back] + out
+        free[a], free[b] = free[a] + d, free[b] - d
+        if free[b] > CLOSED_FREE:
             index.add(b, free[b], of(b))
+
+    for b in underfull():
+        index.add(b, free[b], of(b))
     stepped = True
     while stepped:
         stepped = False
-        for a in sorted((b for b in range(len(bins)) if bins[b] and free[b] > CLOSED_FREE), key=lambda b: -free[b]):
+        for a in underfull():
             if free[a] <= CLOSED_FREE:
                 continue  # filled in this pass
             index.remove(a, free[a], of(a))
             while bins[a] and (step := index.best_step(Counter(of(a)), free[a])):
-                d, b, given, taken = step
-                index.remove(b, free[b], of(b))
-                out = []
-                for x in given:
-                    out.append(next(i for i in bins[a] if size[i] == x and i not in out))
-                back = [next(i for i in bins[b] if size[i] == taken)] if taken else []
-                bins[a] = [i for i in bins[a] if i not in out] + back
-                bins[b] = [i for i in bins[b] if i not in back] + out
-                free[a], free[b], stepped = free[a] + d, free[b] - d, True
-                if free[b] > CLOSED_FREE:
-                    index.add(b, free[b], of(b))
+                make(a, step)
+                stepped = True
             if bins[a]:
                 index.add(a, free[a], of(a))
+        if not stepped:
+            sums = index.sums()
+            for a in underfull():
+                if free[a] > CLOSED_FREE and (step := index.step_down(Counter(of(a)), free[a], sums)):
+                    index.remove(a, free[a], of(a))
+                    make(a, step)
+                    if bins[a]:
+                        index.add(a, free[a], of(a))
+                    sums, stepped = index.sums(), True
     return [b for b in bins if b]
 
 
@@ -198,8 +244,8 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, bins: list[list[
     return min(swap_search(bins, lengths, capacity), fresh, key=len)
 
 
-def _assign(columns: list[str], length: str, capacity: int, base: int, width: int, open_name: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Packs one group; ``open_name`` marks the rows of bins that stay underfull."""
+def _assign(columns: list[str], length: str, capacity: int, base: int, groups: int, open_name: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Packs one of ``groups``; sequences are numbered from ``base`` up, those of the groups in turn; ``open_name`` marks the rows of bins that stay underfull."""
 
     def assign(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group[length].to_numpy(np.int64)
@@ -211,7 +257,7 @@ def _assign(columns: list[str], length: str, capacity: int, base: int, width: in
         for b, items in enumerate(pack_lengths(lengths, capacity, before)):
             ends = np.cumsum(lengths[items])
             order += items
-            bins += [base + int(key[0]) * width + b] * len(items)
+            bins += [base + b * groups + int(key[0])] * len(items)
             offsets += [0, *ends[:-1].tolist()]
             open_ += [capacity - int(ends[-1]) > CLOSED_FREE] * len(items)
         out = group.iloc[order][columns]
@@ -237,13 +283,12 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
     rows, base, done, sequences = left.count(), 0, [], None
     while rows:
         groups = max(1, rows // group_rows)
-        width = 2 * rows + group_rows  # sequences are numbered from base up: by group, and in it by bin
         # Row numbers of a checkpoint are the same at every reading, so a task that runs again gets the same group.
         # Later rounds deal sequences whole and go on from them, so their number never rises.
         dealt = left.withColumn(group, F.pmod(F.xxhash64(F.coalesce("sequence_id", F.monotonically_increasing_id())), F.lit(groups))).repartition(common.wide(left.sparkSession), group)
-        packed = common.settle(dealt.groupBy(group).applyInPandas(_assign(columns, length, capacity, base, width, open_), schema))
+        packed = common.settle(dealt.groupBy(group).applyInPandas(_assign(columns, length, capacity, base, groups, open_), schema))
         begins = F.col("offset") == 0
-        made, unfilled, rows = packed.agg(F.count_if(begins), F.count_if(begins & F.col(open_)), F.count_if(open_)).first()
+        made, unfilled, rows, last = packed.agg(F.count_if(begins), F.count_if(begins & F.col(open_)), F.count_if(open_), F.max("sequence_id")).first()
         if sequences is not None and made >= sequences:
             done.append(left)  # as the round before packed them
             break
@@ -252,7 +297,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, gr
             break
         done.append(packed.where(~F.col(open_)))
         left, sequences = packed.where(open_), unfilled
-        base += groups * width
+        base = last + 1
     if not done:
         done.append(left)
     return functools.reduce(DataFrame.unionByName, done).select(*columns, "sequence_id", "offset")

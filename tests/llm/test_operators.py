@@ -170,6 +170,35 @@ def every_step(bins, size, capacity):
                             yield (fill[a] - d) ** 2 + (fill[b] + d) ** 2 - fill[a] ** 2 - fill[b] ** 2, a, b, given, taken
 
 
+def test_op2_steps_into_emptier_bins():
+    size = [20, 19, 6, 6, 5, 3, 2]
+    after = packing.swap_search([[0, 1], [2, 3, 4, 5, 6]], np.array(size), 40)
+    assert sum(sum(size[i] for i in b) ** 2 for b in after) >= 2041
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_op2_no_single_step_is_left_in_many_small_cases(seed):
+    """Pieces up to half of the capacity, in bins that nobody chose."""
+    rng = random.Random(1000 + seed)
+    capacity = rng.choice([16, 40, 64])
+    size = [rng.randint(1, capacity // 2) for _ in range(rng.randint(2, 16))]
+    bins, at = [[]], 0
+    for i, x in enumerate(size):
+        if at + x > capacity or rng.random() < 0.2:
+            bins.append([])
+            at = 0
+        bins[-1].append(i)
+        at += x
+    after = packing.swap_search([list(b) for b in bins if b], np.array(size), capacity)
+    assert sorted(i for b in after for i in b) == list(range(len(size)))
+    assert max((g for g, *_ in every_step(after, size, capacity)), default=0) <= 0
+
+
+def test_op2_numbers_of_sequences_stay_small(spark):
+    packed = packing.pack(spark.createDataFrame([(int(x),) for x in np.random.default_rng(1).integers(300, 521, 2000)], "length long"), group_rows=100)
+    assert packed.agg(F.max("sequence_id")).first()[0] < 20 * 2000
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_op2_no_single_step_is_left(seed):
     rng = random.Random(seed)
