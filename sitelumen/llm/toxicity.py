@@ -28,7 +28,7 @@ from . import common
 
 #: Labelled rows of each class that terms are learned from at most, and documents of each posterior class that the
 #: classifier is fitted on: those of the lowest hashed ids.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, FIT_ROWS = 20_000, 8_000
 #: Disjoint parts of the labelled sample, each the source of voters of its own.
 FOLDS = 4
 #: Kinds of terms: words, words that are dense in a text, and beginnings of words that are dense in it.
@@ -70,7 +70,6 @@ DISMISSAL = re.compile(r"\b(?:shut up|get lost|go away|drop dead|halt die klappe
 SHOUTING = re.compile(r"\b[A-Z]{4,}(?: [A-Z]{4,}){2,}\b")
 PUNCTUATION = re.compile(r"[!?]{3,}")
 STARRED = re.compile(r"[^\W\d_]\*+[^\W\d_]")
-STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 SPACED = re.compile(r"(?<!\w)\w(?:[ ._-]\w){3,}(?!\w)")
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -212,28 +211,51 @@ def find_voters(sample: DataFrame) -> dict[str, int]:
 
 def _families(counts: Counter) -> bool:
     """Whether several different words of one beginning make up much of a text."""
-    n, words, total = Counter(), Counter(), sum(counts.values())
+    words = Counter([w[:FAMILY_LETTERS] for w in counts if len(w) > FAMILY_LETTERS])
+    several = {b for b, n in words.items() if n >= FAMILY_WORDS}
+    if not several:
+        return False
+    uses, total = Counter(), sum(counts.values())
     for w, k in counts.items():
-        if len(w) > FAMILY_LETTERS:
-            n[w[:FAMILY_LETTERS]] += k
-            words[w[:FAMILY_LETTERS]] += 1
-    return any(words[b] >= FAMILY_WORDS and FAMILY_SHARE * k >= total for b, k in n.items())
+        if w[:FAMILY_LETTERS] in several and len(w) > FAMILY_LETTERS:
+            uses[w[:FAMILY_LETTERS]] += k
+    return any(FAMILY_SHARE * k >= total for k in uses.values())
 
 
 _INSULTS = frozenset(w for words in INSULTS.values() for w in words.split())
 _LEARNED_BITS = (1 << len(LEARNED)) - 1
-_PATTERNS = {"address": ADDRESS, "dismissal": DISMISSAL, "shouting": SHOUTING, "punctuation": PUNCTUATION, "starred": STARRED, "stretched": STRETCHED}
+#: Patterns that are searched only where one of some strings stands, as most texts have none.
+_HINTS = {
+    "address": (ADDRESS, ("you", "du bist", "ihr seid", "tu es", "vous êtes", "eres un", "sois un")), "dismissal": (DISMISSAL, ("shut up", "get lost", "go away", "drop dead", "klappe", "verpiss", "ta gueule", "casse-toi", "cállate", "lárgate")),
+    "punctuation": (PUNCTUATION, ("!!", "??", "!?", "?!")), "starred": (STARRED, ("*",)),
+}
+_CAPITALS, _SIGNS = re.compile(r"[A-Z]{4}"), re.compile(r"[0-9@$]")
+_LETTER = np.zeros(256, bool)
+_LETTER[np.arange(ord("a"), ord("z") + 1)] = True
+
+
+def _stretched(low: str) -> bool:
+    """Whether a letter from a to z stands four times in a row."""
+    b = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    same = b[1:] == b[:-1]
+    return bool(_LETTER[b[3:][same[2:] & same[1:-1] & same[:-2]]].any())
 
 
 def votes(text: str, known: Known) -> tuple[int, int]:
     """(toxic, clean): the voters that say so, as bits. ``known``: finds terms, each with the voters that have it."""
+    low = text.lower()
     toxic, counted = 0, _counted(text)
     counts = counted[0]
     for t in known.terms_of(text, counted):
         toxic |= known.terms[t]
-    spelled = (w for m in SPELLED.findall(text) if any(map(str.isalpha, m)) for w in WORD.findall(m.lower().translate(LOOKALIKE)))
-    says = {"spelled": any(w in _INSULTS for w in spelled), "spaced": any(re.sub(r"[ ._-]", "", m.lower()) in _INSULTS for m in SPACED.findall(text)), "family": _families(counts)}
-    says |= {name: pattern.search(text) is not None for name, pattern in _PATTERNS.items()}
+    says = {name: any(x in low for x in hints) and pattern.search(text) is not None for name, (pattern, hints) in _HINTS.items()}
+    says["shouting"] = _CAPITALS.search(text) is not None and SHOUTING.search(text) is not None
+    says["stretched"] = _stretched(low)
+    says["family"] = _families(counts)
+    if _SIGNS.search(text):
+        says["spelled"] = any(w in _INSULTS for m in SPELLED.findall(text) if any(map(str.isalpha, m)) for w in WORD.findall(m.lower().translate(LOOKALIKE)))
+    if sum([k for w, k in counts.items() if len(w) == 1]) > 3:
+        says["spaced"] = any(re.sub(r"[ ._-]", "", m.lower()) in _INSULTS for m in SPACED.findall(text))
     for name, said in says.items():
         toxic |= said << VOTERS.index(name)
     clean = 0
@@ -426,8 +448,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     target = label_model(model)
 
     likely = _with_targets(voted, target).withColumn("side", F.col("target") >= 0.5)
-    rows = common.settle(_sample(likely, sample_rows))
-    texts = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "target", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # 2 * SAMPLE_ROWS rows of numbers at most
+    rows = common.settle(_sample(likely, min(sample_rows, FIT_ROWS)))
+    texts = own.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "target", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # 2 * FIT_ROWS rows of numbers at most
     texts = common.settle(texts)
     telling = telling_terms(texts.select("text", F.lit(0).alias("part"), F.col("target").alias("toxic"))).where((F.abs("ratio") >= LEAST_RATIO) & (F.col("spreads") >= LEAST_SPREADS))
     number = {r.term: k for k, r in enumerate(telling.select("term").orderBy("term").collect())}  # of a bounded sample
