@@ -173,13 +173,18 @@ THEME_TERMS = f"WITH t AS (SELECT unnest({_LOOSE('concat_ws(chr(32), p_name, low
 def covered_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, page): the first page that already covers a topic, by four fifths of its words; query before title.
 
-    Topics meet pages by words: a page that covers one has all its words but a fifth, so it is found by equality.
+    Topics meet pages by their rarest words: a page that covers one has all its words but a fifth.
     """
     part = _table(spark, sf_dir, "part")
     topics = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("topic")).distinct().withColumn("a", T.loose_tokens(F.col("topic")))
     fields = part.where("p_partkey % 7 = 0").select("p_partkey", F.explode(F.array(F.struct(F.lit(0).alias("f"), F.col("p_name").alias("x")), F.struct(F.lit(1).alias("f"), F.concat_ws(" ", F.lower("p_type"), F.lit("goods")).alias("x")))).alias("s"))
     pages = fields.select("p_partkey", "s.f", T.loose_tokens(F.col("s.x")).alias("b"))
-    met = topics.select("topic", "a", F.explode("a").alias("t")).join(pages.select("p_partkey", "f", "b", F.explode("b").alias("t")), "t").where(R.overlaps(F.col("a"), F.col("b")))
+    # Of n words a page may lack n - ceil(0.8 n), so it has one of the rarest words of one more; common words join nobody else.
+    each = pages.select("p_partkey", "f", "b", F.explode("b").alias("t"))
+    frequency = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = topics.select("topic", "a", F.explode("a").alias("t")).join(frequency, "t", "left").groupBy("topic").agg(F.first("a").alias("a"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("r"))
+    rare = ranked.select("topic", "a", F.explode(F.slice("r", F.lit(1), (F.size("a") - F.ceil(0.8 * F.size("a")) + 1).cast("int"))).alias("k")).select("topic", "a", F.col("k.t").alias("t"))
+    met = rare.join(each, "t").where(R.overlaps(F.col("a"), F.col("b")))
     found = met.groupBy("topic").agg(F.min(F.struct("p_partkey", "f")).alias("m"))
     return topics.select("topic").join(found, "topic", "left").select("topic", F.col("m.p_partkey").alias("page"), F.col("m.f").alias("field"))
 

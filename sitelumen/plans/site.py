@@ -128,9 +128,9 @@ def _checks() -> dict[str, tuple[str, F.Column]]:
         "thin-content": ("high", F.col("words") < 150),
         "is-http": ("high", F.col("url").startswith("http://")),
         "url-params": ("medium", F.col("url").contains("?")),
-        "canonical-missing": ("medium", ~F.col("html").contains('rel="canonical"')),
-        "viewport": ("high", ~F.col("html").contains('name="viewport"')),
-        "lang": ("low", ~F.col("html").rlike("<html[^>]* lang=")),
+        "canonical-missing": ("medium", ~F.col("has_canonical")),
+        "viewport": ("high", ~F.col("has_viewport")),
+        "lang": ("low", ~F.col("has_lang")),
     }
 
 
@@ -138,7 +138,12 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, subtype, check, severity, failed): every check of every page."""
     words = F.size(F.filter(F.split(F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style|nav)[^>]*>.*?</(script|style|nav)>", " "), "<[^>]*>", " "), r"\s+"), lambda x: x != ""))
     rows = pages(spark, sf_dir).select("page_id", "url", "html", F.trim(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"), F.trim(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)).alias("h1"), words.alias("words"), U.section(F.col("url")).alias("subtype"))
-    rows = rows.withColumn("same_title", F.count(F.lit(1)).over(W.Window.partitionBy(F.lower("title"))))
+    # What the checks read is worked out here; no page's text goes further. Titles are counted apart, those without one once for all.
+    seen = {"has_canonical": F.col("html").contains('rel="canonical"'), "has_viewport": F.col("html").contains('name="viewport"'), "has_lang": F.col("html").rlike("<html[^>]* lang=")}
+    rows = rows.withColumns({**seen, "key": F.lower("title")}).drop("html")
+    titles = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared, bare = titles.where("key <> ''"), F.broadcast(rows.agg(F.count_if(F.col("key") == "").alias("bare")))  # one row
+    rows = rows.join(shared, "key", "left").join(bare).withColumn("same_title", F.when(F.col("key") == "", F.col("bare")).otherwise(F.coalesce("n", F.lit(1))))
     checks = F.array(*(F.struct(F.lit(k).alias("check"), F.lit(v).alias("severity"), f.alias("failed")) for k, (v, f) in _checks().items()))
     return rows.select("page_id", "subtype", F.explode(checks).alias("c")).select("page_id", "subtype", "c.*")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from sitelumen.functions import url as U
-from sitelumen.operators.store import by_bytes, settle
+from sitelumen.operators.store import by_bytes, settle, small
 
 #: Levels below a first sitemap that are followed, sitemaps and URLs of a site that are read, bytes that a
 #: compressed file may unfold to, and the beginning that a file is told by.
@@ -223,11 +223,10 @@ def robots_rules(files: DataFrame, agent: str = "googlebot") -> DataFrame:
 def robots_blocked(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with ``robots_blocked``: whether the first rule of its domain that begins its path, or is a star, forbids it.
 
-    ``url`` values are different. A URL meets the rules of its own domain only, which are as many as its robots file has lines.
+    A domain's rules, as many as its robots file has lines, are one array, so each URL meets one row; repeated URLs stay.
     """
     path = F.concat(U.path(F.col(url)), F.regexp_extract(url, r"^[^#?]*(\?[^#]*)", 1))
-    rows = urls.select(F.col(url).alias("_u"), U.host(F.col(url)).alias("domain"), path.alias("path")).distinct()
-    met = rows.join(rules, "domain").where((F.col("prefix") == "*") | F.startswith("path", "prefix"))
-    first = met.groupBy("_u").agg(F.min_by("allow", "ord").alias("allow"))
-    found = urls.join(first, urls[url] == first["_u"], "left")
-    return found.select(*(urls[c] for c in urls.columns if c != "robots_blocked"), (~F.coalesce("allow", F.lit(True))).alias("robots_blocked"))
+    of = rules.groupBy(F.col("domain").alias("_d")).agg(F.array_sort(F.collect_list(F.struct("ord", "allow", "prefix"))).alias("_rules"))
+    met = urls.join(small(settle(of)), U.host(F.col(url)) == F.col("_d"), "left")
+    first = F.get(F.filter("_rules", lambda r: (r["prefix"] == "*") | F.startswith(path, r["prefix"])), F.lit(0))
+    return met.select(*(c for c in urls.columns if c != "robots_blocked"), (~F.coalesce(first["allow"], F.lit(True))).alias("robots_blocked"))
