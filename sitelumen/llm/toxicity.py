@@ -54,6 +54,8 @@ FAMILY_LETTERS, FAMILY_WORDS, FAMILY_SHARE = 5, 3, 64
 #: Least information, in nats, that a voter has about another one within the classes for the model to keep it.
 LEAST_INFORMATION = 1e-3
 EM_ROUNDS, FIT_ROUNDS = 25, 400
+#: Patterns of votes that a task counts in a round.
+PATTERN_ROWS = 50_000
 #: Documents that each cell of the label model's tables counts besides those seen, and the pull of weights to zero.
 EXTRA_VOTES, RIDGE = 1.0, 1e-4
 
@@ -440,6 +442,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     lists = find_voters(gold)
     voted = common.settle(_voted(own.where(is_training("doc_id")), lists, "doc_id"))
     patterns = common.settle(voted.groupBy("toxic_votes", "clean_votes").agg(F.count(F.lit(1)).alias("n")))
+    # Each round reads them again, so they lie in as many parts as their number asks for, not as many as the texts did.
+    patterns = common.settle(patterns.repartition(-(-patterns.count() // PATTERN_ROWS) or 1))
     model = fit_label_model(_counter(patterns))
     known = _voted(gold, lists, "toxic", "weight").toPandas()  # bounded as the sample is
     said = model.posterior(unpacked(known.toxic_votes.to_numpy(), known.clean_votes.to_numpy()))
