@@ -13,12 +13,6 @@ WINDOW_WORDS, LEAST_TAIL, STUFFED_DENSITY, STUFFED_WINDOW, EDGE_WORDS = 150, 75,
 PLACES = ("title", "h1", "url", "meta_description", "first_100_words", "a_subheading", "image_alt", "last_100_words")
 
 
-def last_window(n: Column) -> Column:
-    """The number of the last window of n words; a tail shorter than LEAST_TAIL belongs to the window before it."""
-    short = (n % WINDOW_WORDS > 0) & (n % WINDOW_WORDS < LEAST_TAIL)
-    return F.greatest(F.lit(0), F.floor((n - 1) / WINDOW_WORDS) - short.cast("int")).cast("int")
-
-
 def analysed(posts: DataFrame, text: str = "text", focus: str = "focus") -> DataFrame:
     """``posts`` (title, h1, url, meta_description, subheadings and alts (arrays), ``text``, ``focus``: stems) with ``density``.
 
@@ -26,11 +20,9 @@ def analysed(posts: DataFrame, text: str = "text", focus: str = "focus") -> Data
     (numbers of windows without a mention, from 1), max_in_window, stuffed, verdict, and ``lacking``: those of PLACES
     without the keyword. A text without words has no window and fails. Nulls count as empty.
     """
-    rows = M.mentions(posts, focus, text)
+    rows = M.mentions(posts, focus, text, WINDOW_WORDS, LEAST_TAIL)
     n = F.coalesce("mention.words", F.lit(0))
-    starts = F.concat("mention.exact", "mention.variant")
-    window = lambda s: F.least(F.floor(s / WINDOW_WORDS).cast("int"), last_window(n))
-    counts = F.when(n > 0, F.transform(F.sequence(F.lit(0), last_window(n)), lambda w: F.size(F.filter(starts, lambda s: window(s) == w)))).otherwise(F.array().cast("array<int>"))
+    counts = F.col("mention.counts")
     words = T.words(F.coalesce(F.col(text), F.lit("")))
     seen = F.struct(counts.alias("counts"), F.array_join(F.slice(words, 1, EDGE_WORDS), " ").alias("front"), F.array_join(F.reverse(F.slice(F.reverse(words), 1, EDGE_WORDS)), " ").alias("back"))
     rows = rows.withColumn("_d", F.explode(F.array(seen)))  # a generated row is worked out once
@@ -41,7 +33,7 @@ def analysed(posts: DataFrame, text: str = "text", focus: str = "focus") -> Data
         "title": has(F.col("title")), "h1": has(F.col("h1")), "url": has(F.translate("url", "/", " ")), "meta_description": has(F.col("meta_description")), "first_100_words": has(F.col("_d.front")),
         "a_subheading": some(F.col("subheadings")), "image_alt": some(F.col("alts")), "last_100_words": has(F.col("_d.back")),
     }
-    total, windows = F.size(starts), F.size("_d.counts")
+    total, windows = F.size("mention.exact") + F.size("mention.variant"), F.size("_d.counts")
     required = F.ceil(n / WINDOW_WORDS).cast("int")
     covered = F.size(F.filter("_d.counts", lambda c: c > 0))
     most = F.coalesce(F.array_max("_d.counts"), F.lit(0))
