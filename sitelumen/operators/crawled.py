@@ -8,6 +8,8 @@ sitemaps that list the page), ``query`` (the search that it earns most for), and
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from sitelumen.operators.store import settle
 
 #: Kinds of pages that are to be found for something of their own.
 LANDING = ("home", "landing")
+#: Kinds of pages that may compete.
+COMPETING = ("home", "landing", "blog_post", "blog_category")
 #: Properties that a shared page needs; the least similarity of twins, and words that they have.
 SHARED, TWINS, TWIN_WORDS = ("title", "description", "image"), 0.7, 60
 #: What a crawl may tell besides the markup, and what counts without it.
@@ -101,10 +105,47 @@ def listed_urls(facts: DataFrame) -> DataFrame:
     )
 
 
+def indexable(facts: DataFrame) -> DataFrame:
+    """The pages that a search engine may list: live, not forbidden, not naming another page as the one to list, of a kind that is found by search."""
+    return facts.where((F.col("status") == 200) & ~F.col("noindex") & (F.coalesce("canonical_kind", F.lit("missing")) != "other") & F.col("type").isin(*COMPETING))
+
+
 def competitors(facts: DataFrame, brand: str = "") -> DataFrame:
-    """(page, tokens, type, set, strength) of the crawl's live pages, for containment.competing."""
-    live = targets(facts.where((F.col("status") == 200) & F.col("type").isin(*LANDING, "blog_post")), brand)
+    """(page, tokens, type, set, strength) of the crawl's ``indexable`` pages, for containment.competing."""
+    live = targets(indexable(facts), brand)
     sets = shingles.shingle_sets(live, "page", "text").select(F.col("id").alias("page"), "set")
     rows = live.join(inlinks(facts), "key", "left").join(sets, "page", "left")
     strength = containment.strength(F.col("type"), F.col("inlinks"), F.col("word_count"), F.col("url"))
     return rows.select("page", "target.tokens", "type", F.coalesce("set", F.array().cast("array<bigint>")).alias("set"), strength.alias("strength"))
+
+
+def kept_twins(pairs: DataFrame) -> DataFrame:
+    """(page, twin) from pairs (a, b, similarity) that an earlier audit found, each of which stands for both of its pages: for an audit without texts."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("page"), "similarity"), F.struct(F.col("b").alias("page"), "similarity"))).alias("p"))
+    return both.groupBy("p.page").agg(F.max("p.similarity").alias("twin"))
+
+
+def summary(facts: DataFrame, landing: DataFrame, listed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(area, measure, value) of a deep audit: what its parts, all made from one snapshot, add up to.
+
+    ``landing``: the landing audit's findings; ``listed``: the sitemap's; ``pairs``: those of competing pages.
+    """
+    from sitelumen.operators import landing as L
+    from sitelumen.operators import sitemaps as M
+
+    def told(area: str, rows: DataFrame, **measures: Column) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(name).alias("measure"), F.col(name).cast("long").alias("value")) for name in measures))
+        return rows.agg(*(v.alias(k) for k, v in measures.items())).select(F.lit(area).alias("area"), F.explode(each).alias("m")).select("area", "m.measure", "m.value")
+
+    count = F.count(F.lit(1))
+    types = facts.groupBy("type").agg(count.alias("value")).select(F.lit("crawl").alias("area"), F.concat(F.lit("type:"), "type").alias("measure"), "value")
+    scored = settle(L.scores(landing))
+    grades = {f"grade_{g}": F.count_if(F.col("grade") == g) for g in "ABCDF"}
+    parts = [
+        told("crawl", facts, pages=count, live=F.count_if(F.col("status") == 200)), types,
+        told("landing", scored, pages=count, score=F.bround(F.avg("score")), high=F.coalesce(F.sum("high"), F.lit(0)), **grades),
+        told("landing", L.matrix(landing), issues=count, template_issues=F.count_if("template")),
+        told("sitemap", M.affected(listed), affected=count), told("sitemap", M.issues(listed), issues=count),
+        told("competition", pairs, pairs=count, **{k: F.count_if(F.col("severity") == k) for k in ("high", "medium", "low")}),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -129,6 +129,21 @@ def test_links_twins_and_own_words(spark):
     assert (1, 2) in pairs and (0, 91) not in pairs
 
 
+def test_summary_adds_the_parts_up(spark):
+    rows = crawl(spark, [(91, "https://s.com/dead", None), (92, "https://s.com/law-coaching-2", "<meta name=robots content=noindex><title>Law coaching</title><p>x")])
+    found, listed, pairs = landing.audit(crawled.landing_facts(rows)), sitemaps.diagnose(sitemaps.of_urls(crawled.listed_urls(rows))), containment.competing(crawled.competitors(rows))
+    told = {(r.area, r.measure): r.value for r in crawled.summary(rows, found, listed, pairs).collect()}
+    assert (told["crawl", "pages"], told["crawl", "live"], told["crawl", "type:home"], told["crawl", "type:blog_post"], told["landing", "pages"]) == (8, 7, 1, 1, 7)
+    assert sum(told["landing", f"grade_{g}"] for g in "ABCDF") == 7 and told["competition", "pairs"] == pairs.count() and told["sitemap", "issues"] == listed.select("code").distinct().count()
+    assert told["landing", "high"] == found.where("severity = 'high'").count()
+    assert 92 not in {r.page for r in crawled.indexable(rows).collect()}
+
+
+def test_kept_twins(spark):
+    rows = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95)], "a int, b int, similarity double")
+    assert {r.page: r.twin for r in crawled.kept_twins(rows).collect()} == {1: 0.9, 2: 0.95, 3: 0.95}
+
+
 def test_what_the_crawl_saw_counts(spark):
     rows = spark.createDataFrame([(1, "https://s.com/a", "<p>x", 404, "noindex", ["post-sitemap.xml"], True)], "page_id int, url string, html string, status int, x_robots_tag string, sitemaps array<string>, redirected boolean")
     (r,) = crawled.page_facts(rows).collect()
