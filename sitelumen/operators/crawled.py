@@ -149,3 +149,36 @@ def summary(facts: DataFrame, landing: DataFrame, listed: DataFrame, pairs: Data
         told("competition", pairs, pairs=count, **{k: F.count_if(F.col("severity") == k) for k in ("high", "medium", "low")}),
     ]
     return functools.reduce(DataFrame.unionByName, parts)
+
+
+#: The issues of a site's pages with their severity, what each severity weighs and how much more for all pages, what a failing check of the site costs.
+HEALTH = {
+    "Broken or unreachable pages": "high", "Missing page title": "high", "Duplicate titles": "medium", "Title longer than 60 characters": "low", "Missing meta description": "medium", "Duplicate meta descriptions": "low",
+    "Missing H1": "medium", "Multiple H1s": "low", "No structured data": "medium", "Images without alt text (4+ on page)": "low",
+}
+WEIGHT, ALL_PAGES, CHECK_COST, LONG_TITLE, BARE_IMAGES = {"high": 12, "medium": 6, "low": 2}, 4, 8, 60, 3
+
+
+def health_issues(facts: DataFrame) -> DataFrame:
+    """(site, issue, severity, pages): the pages of each site that have each of HEALTH's issues, where any has. Titles and descriptions are the same in whatever case."""
+    ok = F.col("status") == 200
+    rows = facts.select("page", "site", ok.alias("ok"), *(F.when(ok, F.nullif(F.lower(F.col(c)), F.lit(""))).alias(k) for k, c in (("t", "title"), ("d", "meta_description"))), "title_len", "h1", "schema_types", "img_missing_alt")
+    for k in ("t", "d"):
+        shared = rows.where(F.col(k).isNotNull()).groupBy("site", k).agg(F.count(F.lit(1)).alias(f"n_{k}")).where(F.col(f"n_{k}") > 1)
+        rows = rows.join(shared, ["site", k], "left")
+    live = lambda says: F.col("ok") & says
+    has = [~F.col("ok"), live(F.col("t").isNull()), F.col("n_t").isNotNull(), live(F.col("title_len") > LONG_TITLE), live(F.col("d").isNull()), F.col("n_d").isNotNull(), live(F.size("h1") == 0), live(F.size("h1") > 1), live(F.size("schema_types") == 0), live(F.col("img_missing_alt") > BARE_IMAGES)]
+    each = F.filter(F.array(*(F.when(F.coalesce(h, F.lit(False)), F.struct(F.lit(name).alias("issue"), F.lit(severity).alias("severity"))) for h, (name, severity) in zip(has, HEALTH.items(), strict=True))), lambda x: x.isNotNull())
+    return rows.select("site", F.explode(each).alias("i")).groupBy("site", "i.issue", "i.severity").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def health(facts: DataFrame, failing: DataFrame | None = None) -> DataFrame:
+    """(site, pages, ok, issues, score) of each site: 100 less what its issues weigh by the share of pages that have them, and what ``failing`` (site, failed) checks of the site itself cost."""
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHT.items() for x in kv))
+    sites = facts.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == 200).alias("ok"))
+    found = health_issues(facts).join(sites.select("site", F.col("pages").alias("n")), "site")
+    lost = found.groupBy("site").agg(F.count(F.lit(1)).alias("issues"), F.sum(weight[F.col("severity")] * F.least(F.lit(1.0), F.col("pages") / F.col("n")) * ALL_PAGES).alias("lost"))
+    rows = sites.join(lost, "site", "left")
+    rows = rows.withColumn("failed", F.lit(0)) if failing is None else rows.join(failing.groupBy("site").agg(F.sum("failed").alias("failed")), "site", "left")
+    score = F.greatest(F.lit(0), F.bround(F.round(100 - F.coalesce("lost", F.lit(0.0)) - CHECK_COST * F.coalesce("failed", F.lit(0)), 9)).cast("int"))
+    return rows.select("site", "pages", "ok", F.coalesce("issues", F.lit(0)).alias("issues"), score.alias("score"))

@@ -139,6 +139,20 @@ def test_summary_adds_the_parts_up(spark):
     assert 92 not in {r.page for r in crawled.indexable(rows).collect()}
 
 
+def test_health(spark):
+    html = lambda t, d="", more="": f"<title>{t}</title>" + (f"<meta name=description content='{d}'>" if d else "") + more
+    pages = [("a.com", html("Same", "one", "<h1>x</h1>")), ("a.com", html("SAME", "One", "<h1>x</h1><h1>y</h1>")), ("a.com", html("", "", "<img>" * 4)), ("a.com", None), ("b.com", html("x" * 61, "d", '<h1>x</h1><script type="application/ld+json">{"@type":"A"}</script>'))]
+    rows = crawled.page_facts(spark.createDataFrame([(k, f"https://{s}/{k}", h) for k, (s, h) in enumerate(pages)], "page_id int, url string, html string"))
+    issues = {(r.site, r.issue): r.pages for r in crawled.health_issues(rows).collect()}
+    assert issues == {
+        ("a.com", "Broken or unreachable pages"): 1, ("a.com", "Missing page title"): 1, ("a.com", "Duplicate titles"): 2, ("a.com", "Missing meta description"): 1, ("a.com", "Duplicate meta descriptions"): 2,
+        ("a.com", "Missing H1"): 1, ("a.com", "Multiple H1s"): 1, ("a.com", "No structured data"): 3, ("a.com", "Images without alt text (4+ on page)"): 1, ("b.com", "Title longer than 60 characters"): 1,
+    }
+    lost = 4 * (12 / 4 + 12 / 4 + 6 / 2 + 6 / 4 + 2 / 2 + 6 / 4 + 2 / 4 + 6 * 3 / 4 + 2 / 4)
+    failing = spark.createDataFrame([("b.com", 2), ("b.com", 1)], "site string, failed int")
+    assert {r.site: (r.pages, r.ok, r.issues, r.score) for r in crawled.health(rows, failing).collect()} == {"a.com": (4, 3, 9, round(100 - lost)), "b.com": (1, 1, 1, 100 - 8 - 24)}
+
+
 def test_kept_twins(spark):
     rows = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.95)], "a int, b int, similarity double")
     assert {r.page: r.twin for r in crawled.kept_twins(rows).collect()} == {1: 0.9, 2: 0.95, 3: 0.95}
