@@ -35,7 +35,7 @@ def _surveyed(spark: SparkSession, sf_dir: str) -> tuple[X.Survey, DataFrame, Da
     files = _files(spark, sf_dir)
     robots = files.where("url LIKE '%/robots.txt'")
     first = X.roots(robots, robots.select(U.host(F.col("url")).alias("domain")))
-    return X.survey(first, files), files, first
+    return X.survey(first, files, most_files=None, most_urls=None), files, first
 
 
 def discovered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,12 +125,12 @@ class Survey(NamedTuple):
     truncated: DataFrame
 
 
-def survey(first: DataFrame, files: DataFrame, depth: int = DEPTH, most_files: int = MOST_FILES, most_urls: int = MOST_URLS) -> Survey:
+def survey(first: DataFrame, files: DataFrame, depth: int = DEPTH, most_files: int | None = MOST_FILES, most_urls: int | None = MOST_URLS) -> Survey:
     """What the sitemaps in ``first`` (sitemap; perhaps domain and ord), and those that they name, list.
 
     Sitemaps are read level by level, in order within one, each once, so cycles end; a level of files is one join, and is
     settled. A page's ``url`` and ``lastmod`` are those of its first entry, and ``sitemaps`` names all that list it, the
-    first one first. (A recursive query would follow every path to a file, not every file, and Spark bounds its rows.)
+    first one first. ``most_files`` and ``most_urls`` bound a site; None reads it whole. (A recursive query would follow every path to a file, not every file, and Spark bounds its rows.)
     """
     listed = settle(entries(files).withColumn("k", U.norm_url(F.col("sitemap"))))
     has = lambda c, otherwise: F.col(c) if c in first.columns else otherwise
@@ -157,7 +157,8 @@ def survey(first: DataFrame, files: DataFrame, depth: int = DEPTH, most_files: i
     for more, again in found[1:]:
         every, once = every.unionByName(more), once.unionByName(again)
     order = F.row_number().over(W.Window.partitionBy("domain").orderBy("place.depth", "place.path", "k"))
-    once = settle(once.withColumn("n", order).where(F.col("n") <= most_files))
+    once = once.withColumn("n", order)
+    once = settle(once if most_files is None else once.where(F.col("n") <= most_files))
     parents = every.where("parent IS NOT NULL").groupBy("domain", "k").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
     told = once.join(parents, ["domain", "k"], "left").select("domain", F.col("place.sitemap").alias("sitemap"), F.col("place.depth").alias("depth"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
 
@@ -165,6 +166,8 @@ def survey(first: DataFrame, files: DataFrame, depth: int = DEPTH, most_files: i
     by = F.struct("n", "ord")
     names = F.transform(F.array_sort(F.collect_set(F.struct("n", "place.sitemap"))), lambda x: x["sitemap"])
     urls = pages.groupBy("domain", "key").agg(F.min(by).alias("by"), F.min_by("loc", by).alias("url"), names.alias("sitemaps"), F.min_by("lastmod", by).alias("lastmod"), F.count(F.lit(1)).alias("entries"))
+    if most_urls is None:
+        return Survey(told, settle(urls.select("domain", "key", "url", "sitemaps", "lastmod")), spark.createDataFrame([], "domain string, truncated long"))
     # Spark keeps the first rows of each task before it deals them, so a site of any size sends no more than most_urls from each.
     kept = urls.withColumn("_n", F.row_number().over(W.Window.partitionBy("domain").orderBy("by"))).where(F.col("_n") <= most_urls)
     kept = settle(kept.select("domain", "key", "url", "sitemaps", "lastmod", "entries"))
