@@ -39,6 +39,8 @@ DEAL_PARTS, REMEMBERED = 2_000_000, 1_000_000
 RUN_SETS, GROUP_SHINGLES = 32_768, 4_000_000
 #: Sets of a large group that all others meet first.
 PIVOTS = 48
+#: Hashes that share a long of the filter of wanted texts.
+FILTERED = 4
 #: 64-bit words of the smallest bitmap, and shingles a word of larger ones.
 LEAST_WORDS, SHINGLES_A_WORD = 8, 128
 
@@ -347,13 +349,28 @@ def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "te
     return edges.unionByName(_in_large_groups(big))
 
 
+def _maybe_among(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows of ``texts`` whose hash is ``wanted``, and a few others: two bits of one long for each of ``count`` hashes, FILTERED hashes a long."""
+    bit = lambda at: F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(text_hash, {at}) & 63 AS INT))")
+    place = F.pmod(F.xxhash64("text_hash"), F.lit(-(-count // FILTERED)).cast("long")).alias("_place")
+    mask = bit(1).bitwiseOR(bit(33)).alias("_mask")
+    bits = wanted.select(place, mask).groupBy("_place").agg(F.bit_or("_mask").alias("_bits"))
+    kept = texts.withColumns({"_place": place, "_mask": mask}).join(F.broadcast(bits), "_place").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    return kept.select(*texts.columns)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
     """(component, node, size, bitmap, hashes) of the ``wanted`` nodes, whose texts are read again; of rows that repeat, one a task.
 
-    The list of what is wanted is sent to where the texts are, if it is counted to be short; otherwise texts move once to meet it.
+    The list of what is wanted is sent to where the texts are, if it is counted to be short. A longer one is met by shuffle, but
+    only by texts that a filter of some bits for each of its rows lets pass.
     """
-    names, wanted = ["component", "node", "size", "bitmap"], common.small(wanted)
+    names, count = ["component", "node", "size", "bitmap"], wanted.count()
     texts = _keyed(docs, id, text)
+    if count > common.SMALL_ROWS:
+        texts = _maybe_among(texts, wanted.select(F.col("_hash").alias("text_hash")), count)
+    else:
+        wanted = F.broadcast(wanted)
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select(*names, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
