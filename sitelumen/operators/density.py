@@ -20,33 +20,29 @@ def analysed(posts: DataFrame, text: str = "text", focus: str = "focus") -> Data
     (numbers of windows without a mention, from 1), max_in_window, stuffed, verdict, and ``lacking``: those of PLACES
     without the keyword. A text without words has no window and fails. Nulls count as empty.
     """
-    rows = M.mentions(posts, focus, text, WINDOW_WORDS, LEAST_TAIL)
+    rows = M.mentions(posts, focus, text, WINDOW_WORDS, LEAST_TAIL, EDGE_WORDS)  # whose words are those of T.words
     n = F.coalesce("mention.words", F.lit(0))
-    counts = F.col("mention.counts")
-    words = T.words(F.coalesce(F.col(text), F.lit("")))
-    seen = F.struct(counts.alias("counts"), F.array_join(F.slice(words, 1, EDGE_WORDS), " ").alias("front"), F.array_join(F.reverse(F.slice(F.reverse(words), 1, EDGE_WORDS)), " ").alias("back"))
-    rows = rows.withColumn("_d", F.explode(F.array(seen)))  # a generated row is worked out once
     k = F.coalesce(focus, F.array().cast("array<string>"))
     has = lambda x: (F.size(k) > 0) & (F.size(T.coverage(k, x)[1]) == 0)
     some = lambda xs: F.exists(F.coalesce(xs, F.array().cast("array<string>")), has)
     stands = {
-        "title": has(F.col("title")), "h1": has(F.col("h1")), "url": has(F.translate("url", "/", " ")), "meta_description": has(F.col("meta_description")), "first_100_words": has(F.col("_d.front")),
-        "a_subheading": some(F.col("subheadings")), "image_alt": some(F.col("alts")), "last_100_words": has(F.col("_d.back")),
+        "title": has(F.col("title")), "h1": has(F.col("h1")), "url": has(F.translate("url", "/", " ")), "meta_description": has(F.col("meta_description")), "first_100_words": has(F.col("mention.front")),
+        "a_subheading": some(F.col("subheadings")), "image_alt": some(F.col("alts")), "last_100_words": has(F.col("mention.back")),
     }
-    total, windows = F.size("mention.exact") + F.size("mention.variant"), F.size("_d.counts")
+    total, windows = F.size("mention.exact") + F.size("mention.variant"), F.size("mention.counts")
     required = F.ceil(n / WINDOW_WORDS).cast("int")
-    covered = F.size(F.filter("_d.counts", lambda c: c > 0))
-    most = F.coalesce(F.array_max("_d.counts"), F.lit(0))
+    covered = F.size(F.filter("mention.counts", lambda c: c > 0))
+    most = F.coalesce(F.array_max("mention.counts"), F.lit(0))
     percent = F.when(n > 0, F.round(100 * total / n, 2)).otherwise(0.0)
     verdict = F.when((n > 0) & (covered == windows), "pass").when((n > 0) & (total >= required), "pass-on-average").otherwise("fail")
-    gaps = F.filter(F.transform("_d.counts", lambda c, i: F.when(c == 0, i + 1)), lambda i: i.isNotNull())
+    gaps = F.filter(F.transform("mention.counts", lambda c, i: F.when(c == 0, i + 1)), lambda i: i.isNotNull())
     lacking = F.filter(F.array(*(F.when(~F.coalesce(stands[p], F.lit(False)), p) for p in PLACES)), lambda p: p.isNotNull())
     density = F.struct(
         n.alias("words"), total.alias("mentions"), F.size("mention.exact").alias("exact"), required.alias("required"), F.greatest(F.lit(0), required - total).alias("shortfall"),
         F.when(total > 0, F.bround(n / total).cast("int")).alias("words_per_mention"), percent.alias("percent"), windows.alias("windows"), covered.alias("covered"), gaps.alias("gaps"),
         most.alias("max_in_window"), ((percent > STUFFED_DENSITY) | (most >= STUFFED_WINDOW)).alias("stuffed"), verdict.alias("verdict"), lacking.alias("lacking"),
     )
-    return rows.withColumn("density", density).drop("mention", "_d")
+    return rows.withColumn("density", F.explode(F.array(density))).drop("mention")  # a generated row is worked out once, whatever reads it
 
 
 BUCKETS = {"upto 150": (1, 150), "upto 300": (151, 300), "upto 600": (301, 600), "beyond 600": (601, 1 << 30)}

@@ -152,7 +152,10 @@ _KEYWORDS = {"en": "tion", "de": "sch", "fr": "eau", "es": "que"}
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = T.words(F.coalesce("text", F.lit("")))
+    text, most = F.coalesce("text", F.lit("")), max(density.EDGE_WORDS, 65)
+    first = T.words(F.substring(text, 1, 20 * most))
+    # Of a text's beginning, all words but the last are whole; where it has too few, the whole text is read.
+    w = F.when((F.size(first) > most) | (F.length(text) <= 20 * most), first).otherwise(T.words(text))
     words = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     focus = F.coalesce(*(F.when(F.col("lang") == k, F.array(F.lit(v))) for k, v in _KEYWORDS.items()))
     rows = documents(spark, sf_dir).select("doc_id", "text", focus.alias("focus"), "source", F.explode(F.array(w)).alias("w"))
