@@ -6,6 +6,7 @@
    nothing; a set with more of them takes them all, so no link is lost, and no tile grows with its band.
 2. In a tile, sets are compared by hashed bitmaps: a bit is the parity of the shingles that fall on it, so the bits that
    differ are at most the shingles that differ, and bound the overlap from above.
+   Chance agreement grows with the tiles and chains sets to large groups; those are screened again by finer bitmaps.
 3. What passes is grouped, and in a group each set is intersected with those that it is not yet linked with, as sorted
    arrays. Large groups are dealt to tasks, first with a few sets that all others meet. Links, not candidates, make the
    result's components.
@@ -43,6 +44,8 @@ PIVOTS = 48
 FILTERED = 4
 #: 64-bit words of the smallest bitmap, and shingles a word of larger ones.
 LEAST_WORDS, SHINGLES_A_WORD = 8, 128
+#: Shingles of a group that is screened again, and shingles a word of its finer bitmaps: 4 bits a shingle let pairs pass from a similarity of 0.79 on.
+SCREENED_SHINGLES, FINE_SHINGLES_A_WORD = 1_000_000, 16
 
 
 def levels(top: int) -> np.ndarray:
@@ -85,9 +88,9 @@ def parts(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def bitmaps(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+def bitmaps(hashes: np.ndarray, sizes: np.ndarray, shingles_a_word: int = SHINGLES_A_WORD) -> list[bytes]:
     """Each set's bitmap; its width is a power of two that grows with the set."""
-    words = np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes / SHINGLES_A_WORD, 1))).astype(np.int64))
+    words = np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes / shingles_a_word, 1))).astype(np.int64))
     end = np.cumsum(words * 64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     at = (end - words * 64)[doc] + (wordhash.mix(hashes + np.uint64(7)) & (words * 64 - 1)[doc].astype(np.uint64)).astype(np.int64)
@@ -325,20 +328,42 @@ def _in_large_groups(sets: DataFrame) -> DataFrame:
     return first.unionByName(linked_runs(cells, ["component", "cell"], ["node"], _intersected))
 
 
+#: Columns of nodes whose texts are to be read again.
+WANTED = ("first.doc_id AS _id", "first.text_hash AS _hash", "component", "node", "size", "bitmap")
+
+
+def _groups(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the ``nodes`` that bitmaps connect in the tiles ``met``; no link is left out, but not all that is connected is linked."""
+    sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"))
+    rows = met.join(sizes, "tile").join(nodes.select("node", "size", "bitmap"), "node")
+    chunks = F.when(F.col("sets") <= RUN_SETS, 1).otherwise(F.ceil(F.col("sets") / (RUN_SETS // 2)))
+    return components(linked_runs(_cells(_dealt(rows, chunks)).select("tile", "cell", "side", "node", "size", "bitmap"), ["tile", "cell"], ["node"], _screened))
+
+
+def _screened_again(docs: DataFrame, met: DataFrame, asked: DataFrame, id: str, text: str) -> DataFrame:
+    """``asked``, settled, its groups of over SCREENED_SHINGLES put together again by finer bitmaps of their sets, which replace theirs.
+
+    So what later moves as sets are groups about as large as those that links make, not what chance connects.
+    """
+    sums = asked.groupBy("component").agg(F.sum("size").alias("shingles")).where(F.col("shingles") > SCREENED_SHINGLES)
+    wide = common.settle(asked.join(sums.select("component"), "component").selectExpr(*WANTED, "first"))
+    if wide.isEmpty():
+        return asked
+    fine = common.settle(maps_of(docs, wide.drop("first"), id, text).dropDuplicates(["node"]))
+    inside = common.settle(met.join(fine.select("node"), "node").select("tile", "node"))
+    tight = fine.drop("component").join(wide.select("node", "first"), "node").join(_groups(inside, fine), "node")
+    return common.settle(asked.join(wide.select("node"), "node", "left_anti").unionByName(tight))
+
+
 def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (u, v) between the nodes of ``found`` that connect just those that links connect."""
     first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     nodes = common.settle(found.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), first.alias("first")))
     met = common.settle(tiles(docs, text))
-    sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"))
-    rows = met.join(sizes, "tile").join(nodes.select("node", "size", "bitmap"), "node")
-    chunks = F.when(F.col("sets") <= RUN_SETS, 1).otherwise(F.ceil(F.col("sets") / (RUN_SETS // 2)))
-    loose = components(linked_runs(_cells(_dealt(rows, chunks)).select("tile", "cell", "side", "node", "size", "bitmap"), ["tile", "cell"], ["node"], _screened))
-
-    asked = common.settle(nodes.join(loose, "node"))
+    asked = _screened_again(docs, met, common.settle(nodes.join(_groups(met, nodes), "node")), id, text)
     sums = asked.groupBy("component").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("sets"))
     large = (F.col("shingles") > GROUP_SHINGLES) | (F.col("sets") > RUN_SETS)
-    wanted = common.settle(asked.join(sums.select("component", large.alias("large")), "component").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "component", "node", "size", "bitmap", "large"))
+    wanted = common.settle(asked.join(sums.select("component", large.alias("large")), "component").selectExpr(*WANTED, "large"))
     alone = sets_of(docs, wanted.where("NOT large"), id, text).select("component", F.lit(-1).cast("long").alias("side"), "node", "bitmap", "hashes")
     edges = linked_runs(alone, ["component"], ["node"], _intersected)
     if wanted.where("large").isEmpty():
@@ -359,29 +384,51 @@ def _maybe_among(texts: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     return kept.select(*texts.columns)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(component, node, size, bitmap, hashes) of the ``wanted`` nodes, whose texts are read again; of rows that repeat, one a task.
+def _read_again(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """(component, node, size, bitmap, text) of the ``wanted`` nodes.
 
     The list of what is wanted is sent to where the texts are, if it is counted to be short. A longer one is met by shuffle, but
     only by texts that a filter of some bits for each of its rows lets pass.
     """
-    names, count = ["component", "node", "size", "bitmap"], wanted.count()
-    texts = _keyed(docs, id, text)
+    count, texts = wanted.count(), _keyed(docs, id, text)
     if count > common.SMALL_ROWS:
         texts = _maybe_among(texts, wanted.select(F.col("_hash").alias("text_hash")), count)
     else:
         wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select(*names, "text")
+    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]) & (texts["text_hash"] == wanted["_hash"])).select("component", "node", "size", "bitmap", "text")
+
+
+def _once(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    return batch.filter(pa.array([not (v in seen or seen.add(v)) for v in batch.column("node").to_pylist()], pa.bool_()))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """(component, node, size, bitmap, hashes) of the ``wanted`` nodes, whose texts are read again; of rows that repeat, one a task."""
+    names = ["component", "node", "size", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in common.slices(batches, "text"):
-            batch = batch.filter(pa.array([not (v in seen or seen.add(v)) for v in batch.column("node").to_pylist()], pa.bool_()))
+            batch = _once(batch, seen)
             hashes, sizes = shingle_sets(batch.column("text").to_pylist(), WIDTH)
             offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))], [*names, "hashes"])
 
-    return texts.mapInArrow(run, "component long, node long, size long, bitmap binary, hashes array<bigint>")
+    return _read_again(docs, wanted, id, text).mapInArrow(run, "component long, node long, size long, bitmap binary, hashes array<bigint>")
+
+
+def maps_of(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
+    """(component, node, size, bitmap) of the ``wanted`` nodes with finer bitmaps, from their texts; of rows that repeat, one a task."""
+    names = ["component", "node", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in common.slices(batches, "text"):
+            batch = _once(batch, seen)
+            maps = bitmaps(*shingle_sets(batch.column("text").to_pylist(), WIDTH), FINE_SHINGLES_A_WORD)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(maps, pa.binary())], [*names, "bitmap"])
+
+    return _read_again(docs, wanted, id, text).mapInArrow(run, "component long, node long, size long, bitmap binary")
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
