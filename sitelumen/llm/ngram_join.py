@@ -6,7 +6,7 @@
    nothing; a set with more of them takes them all, so no link is lost, and no tile grows with its band.
 2. In a tile, sets are compared by hashed bitmaps: a bit is the parity of the shingles that fall on it, so the bits that
    differ are at most the shingles that differ, and bound the overlap from above.
-   Chance agreement grows with the tiles and chains sets to large groups; those are screened again by finer bitmaps.
+   Sets that are almost linked pass too, and chain groups that grow faster than the table; large ones are screened again by finer bitmaps.
 3. What passes is grouped, and in a group each set is intersected with those that it is not yet linked with, as sorted
    arrays. Large groups are dealt to tasks, first with a few sets that all others meet. Links, not candidates, make the
    result's components.
@@ -89,8 +89,12 @@ def parts(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bitmaps(hashes: np.ndarray, sizes: np.ndarray, shingles_a_word: int = SHINGLES_A_WORD) -> list[bytes]:
-    """Each set's bitmap; its width is a power of two that grows with the set."""
+    """Each set's bitmap; its width is a power of two that grows with the set.
+
+    Twice that where else half of the bits, in which unrelated sets differ, are less than six standard deviations above the most that linked ones differ in.
+    """
     words = np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(sizes / shingles_a_word, 1))).astype(np.int64))
+    words <<= words * 32 - 24 * np.sqrt(words) < most_different(2 * sizes)
     end = np.cumsum(words * 64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     at = (end - words * 64)[doc] + (wordhash.mix(hashes + np.uint64(7)) & (words * 64 - 1)[doc].astype(np.uint64)).astype(np.int64)
@@ -137,9 +141,9 @@ def grouped(keys: np.ndarray, sizes: np.ndarray, maps: list[bytes], sets: tuple[
                 continue
             if apart is not None and apart[i] >= 0:
                 others = others[apart[others] != apart[i]]
+            others = others[100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])]
             total = n[others] + n[i]
-            differ = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-            near = (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i])) & (differ <= most_different(total))
+            near = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64) <= most_different(total)
             others, total = others[near], total[near]
             if ranked is not None and len(others):
                 shared = ranked.overlaps(i, others)
@@ -333,25 +337,24 @@ WANTED = ("first.doc_id AS _id", "first.text_hash AS _hash", "component", "node"
 
 
 def _groups(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of the ``nodes`` that bitmaps connect in the tiles ``met``; no link is left out, but not all that is connected is linked."""
+    """(node, component) of the ``nodes`` that bitmaps connect in the tiles (or groups) ``met``; no link is left out, but not all that is connected is linked."""
     sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"))
     rows = met.join(sizes, "tile").join(nodes.select("node", "size", "bitmap"), "node")
     chunks = F.when(F.col("sets") <= RUN_SETS, 1).otherwise(F.ceil(F.col("sets") / (RUN_SETS // 2)))
     return components(linked_runs(_cells(_dealt(rows, chunks)).select("tile", "cell", "side", "node", "size", "bitmap"), ["tile", "cell"], ["node"], _screened))
 
 
-def _screened_again(docs: DataFrame, met: DataFrame, asked: DataFrame, id: str, text: str) -> DataFrame:
+def _screened_again(docs: DataFrame, asked: DataFrame, id: str, text: str) -> DataFrame:
     """``asked``, settled, its groups of over SCREENED_SHINGLES put together again by finer bitmaps of their sets, which replace theirs.
 
-    So what later moves as sets are groups about as large as those that links make, not what chance connects.
+    Each bitmap moves once, to the task of its group, or to cells of chunks of RUN_SETS. So what later moves as sets are groups about as large as those that links make, not what chance connects.
     """
     sums = asked.groupBy("component").agg(F.sum("size").alias("shingles")).where(F.col("shingles") > SCREENED_SHINGLES)
     wide = common.settle(asked.join(sums.select("component"), "component").selectExpr(*WANTED, "first"))
     if wide.isEmpty():
         return asked
     fine = common.settle(maps_of(docs, wide.drop("first"), id, text).dropDuplicates(["node"]))
-    inside = common.settle(met.join(fine.select("node"), "node").select("tile", "node"))
-    tight = fine.drop("component").join(wide.select("node", "first"), "node").join(_groups(inside, fine), "node")
+    tight = fine.drop("component").join(wide.select("node", "first"), "node").join(_groups(fine.select(F.col("component").alias("tile"), "node"), fine), "node")
     return common.settle(asked.join(wide.select("node"), "node", "left_anti").unionByName(tight))
 
 
@@ -360,7 +363,7 @@ def links(docs: DataFrame, found: DataFrame, id: str = "doc_id", text: str = "te
     first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     nodes = common.settle(found.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), first.alias("first")))
     met = common.settle(tiles(docs, text))
-    asked = _screened_again(docs, met, common.settle(nodes.join(_groups(met, nodes), "node")), id, text)
+    asked = _screened_again(docs, common.settle(nodes.join(_groups(met, nodes), "node")), id, text)
     sums = asked.groupBy("component").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("sets"))
     large = (F.col("shingles") > GROUP_SHINGLES) | (F.col("sets") > RUN_SETS)
     wanted = common.settle(asked.join(sums.select("component", large.alias("large")), "component").selectExpr(*WANTED, "large"))
